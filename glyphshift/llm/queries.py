@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphshift.llm import bpe, decontaminate, quality, secrets, token_counts
+from glyphshift.llm import bpe, decontaminate, quality, secrets, simhash, substrings, token_counts
 from glyphshift.llm._shared import documents
 
 
@@ -24,9 +24,28 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scan, op3_token_counts, op5_decontamination, op9_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_secret_scan,
+        op3_token_counts,
+        op5_decontamination,
+        op6_simhash_neardup,
+        op8_substring_dedup,
+        op9_byte_bpe,
+    )
+}
 ORACLES: dict[str, str] = {}
