@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphshift.llm import bpe, decontaminate, quality, secrets, simhash, substrings, token_counts
+from glyphshift.llm import bpe, decontaminate, quality, rules, secrets, simhash, substrings, token_counts
 from glyphshift.llm._shared import documents
 
 
@@ -20,6 +20,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(documents(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -42,10 +46,11 @@ QUERIES = {
         op1_quality_classifier,
         op2_secret_scan,
         op3_token_counts,
+        op4_quality_rules,
         op5_decontamination,
         op6_simhash_neardup,
         op8_substring_dedup,
         op9_byte_bpe,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_quality_rules": rules.ORACLE}
