@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphshift.llm import bpe, decontaminate, quality, rules, secrets, simhash, substrings, token_counts
+from glyphshift.llm import bpe, chat, decontaminate, lines, quality, rules, secrets, simhash, substrings, token_counts
 from glyphshift.llm._shared import documents
 
 
@@ -32,6 +32,10 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(documents(spark, sf_dir))
 
@@ -40,6 +44,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -49,8 +57,10 @@ QUERIES = {
         op4_quality_rules,
         op5_decontamination,
         op6_simhash_neardup,
+        op7_preference_format,
         op8_substring_dedup,
         op9_byte_bpe,
+        op10_line_dedup,
     )
 }
-ORACLES = {"op4_quality_rules": rules.ORACLE}
+ORACLES = {"op4_quality_rules": rules.ORACLE, "op7_preference_format": chat.ORACLE, "op10_line_dedup": lines.ORACLE}
