@@ -32,11 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Whether Spark deletes a finished query's shuffle files at once, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_cut(df: DataFrame) -> DataFrame:
-    """Like `cut`, for tables of many rows: written compressed and by column, beside the checkpoints, and read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Like `cut`, for tables of many rows: written compressed and by column, beside the checkpoints, and read again. The
+    shuffle files that the table came from go when it is written."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -186,7 +186,7 @@ def later_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     anchors = write_cut(find_anchors(docs, length))
     texts = anchors.select("doc_id", "seq", "seq2").distinct()
     firsts = texts.groupBy("seq", "seq2").agg(F.min("doc_id").alias("first"))
-    copies = texts.join(firsts, ["seq", "seq2"]).where("doc_id > first").select("doc_id")
+    copies = write_cut(texts.join(firsts, ["seq", "seq2"]).where("doc_id > first").select("doc_id"))
     sides = F.array(F.struct(F.col("right").alias("w"), F.col("pos").alias("half")), F.struct(F.col("left").alias("w"), (F.col("pos") - (half - short)).alias("half")))
     doubled = repeated(anchors, "h").select("doc_id", "seq", F.explode(sides).alias("e")).select("doc_id", "seq", "e.w", "e.half").where("w is not null")
     around = repeated(doubled, "w").groupBy("doc_id").agg(F.collect_set("half").alias("halves")).join(copies, "doc_id", "left_anti")
