@@ -76,23 +76,23 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "awords": (("placed",), "SELECT DISTINCT word FROM placed"),
     "apairs": (("awords",), f"SELECT word AS en, {to_he('word')} AS he FROM awords"),
 }
-for name, pairs in (("", "apairs"), ("m", "mpairs")):
+for name, pairs, english in (("", "apairs", ("en",)), ("m", "mpairs", ("en",)), ("t", "apairs", ("en", "so"))):
     PARTS[f"{name}evals"] = (
         (pairs, "ngrams", "meta", "collisions"),
-        f"""SELECT en, he, list(struct_pack(j := j, d := d, coll := coll) ORDER BY j) AS evals FROM (
-    SELECT en, he, j, round((bh + sum(sh) OVER o) - (be + sum(se) OVER o), 9) AS d,
+        f"""SELECT en, he, list(struct_pack(j := j, d := d, coll := coll) ORDER BY j) AS evals FROM (SELECT en, he, j, max(coll) AS coll, round(min(d), 9) AS d FROM (
+    SELECT en, he, j, (bh + sum(sh) OVER o) - (be + sum(se) OVER o) AS d,
            substr(le, 1, least(j + 2, length(le))) IN (SELECT word FROM collisions) OR substr(lh, 1, least(j + 2, length(le))) IN (SELECT word FROM collisions) AS coll
-    FROM (SELECT p.en, p.he, p.j, le, lh, ln((coalesce(e4.cnt, 0) + 1) / (coalesce(e3.cnt, 0) + me.v)) AS se, ln((coalesce(h4.cnt, 0) + 1) / (coalesce(h3.cnt, 0) + mh.v)) AS sh,
+    FROM (SELECT me.model, p.en, p.he, p.j, le, lh, ln((coalesce(e4.cnt, 0) + 1) / (coalesce(e3.cnt, 0) + me.v)) AS se, ln((coalesce(h4.cnt, 0) + 1) / (coalesce(h3.cnt, 0) + mh.v)) AS sh,
                  ln((coalesce(e2.cnt, 0) + 1) / (me.t + me.v * me.v)) AS be, ln((coalesce(h2.cnt, 0) + 1) / (mh.t + mh.v * mh.v)) AS bh
           FROM (SELECT en, he, lower(en) AS le, lower(he) AS lh, j::INTEGER AS j FROM (SELECT DISTINCT en, he FROM {pairs} WHERE length(en) >= 2), unnest(range(1, length(en))) AS u(j)) p
-          LEFT JOIN ngrams e4 ON e4.model = 'en' AND e4.n = 4 AND e4.gram = substr(' ' || le || ' ', j, 4)
-          LEFT JOIN ngrams e3 ON e3.model = 'en' AND e3.n = 3 AND e3.gram = substr(' ' || le || ' ', j, 3)
-          LEFT JOIN ngrams e2 ON e2.model = 'en' AND e2.n = 2 AND e2.gram = ' ' || substr(le, 1, 1)
+          JOIN meta me ON me.model IN ({", ".join(map(lit, english))}) JOIN meta mh ON mh.model = 'he'
+          LEFT JOIN ngrams e4 ON e4.model = me.model AND e4.n = 4 AND e4.gram = substr(' ' || le || ' ', j, 4)
+          LEFT JOIN ngrams e3 ON e3.model = me.model AND e3.n = 3 AND e3.gram = substr(' ' || le || ' ', j, 3)
+          LEFT JOIN ngrams e2 ON e2.model = me.model AND e2.n = 2 AND e2.gram = ' ' || substr(le, 1, 1)
           LEFT JOIN ngrams h4 ON h4.model = 'he' AND h4.n = 4 AND h4.gram = substr(' ' || lh || ' ', j, 4)
           LEFT JOIN ngrams h3 ON h3.model = 'he' AND h3.n = 3 AND h3.gram = substr(' ' || lh || ' ', j, 3)
-          LEFT JOIN ngrams h2 ON h2.model = 'he' AND h2.n = 2 AND h2.gram = ' ' || substr(lh, 1, 1)
-          JOIN meta me ON me.model = 'en' JOIN meta mh ON mh.model = 'he')
-    WINDOW o AS (PARTITION BY en, he ORDER BY j)) GROUP BY en, he""",
+          LEFT JOIN ngrams h2 ON h2.model = 'he' AND h2.n = 2 AND h2.gram = ' ' || substr(lh, 1, 1))
+    WINDOW o AS (PARTITION BY model, en, he ORDER BY j)) GROUP BY en, he, j) GROUP BY en, he""",
     )
 PARTS["items"] = (("placed", "evals"), f"SELECT p.*, length(word)::INTEGER AS size, coalesce(e.evals, []) AS evals FROM placed p LEFT JOIN evals e ON e.en = p.word AND e.he = {to_he('p.word')}")
 HIT = "list_filter(evals, lambda e: NOT e.coll AND (CASE WHEN correct THEN 1 ELSE -1 END) * e.d > 4.0 + 0.5 * pow(k, 2))[1]"
@@ -108,8 +108,13 @@ for name, start in (("fp", "true"), ("fn", "false")):
         (f"state_{name}",),
         f"SELECT doc_id, lang, line_no, w, word, size, correct, k, tail, hit IS NOT NULL AS switched, CASE WHEN hit.j = size - 1 THEN -1 ELSE hit.j + 1 END AS idx FROM (SELECT s.*, i.lang, i.word, i.size, {HIT} AS hit FROM state_{name} s JOIN items i USING (doc_id, line_no, w))",
     )
+PARTS["titems"] = (("placed", "tevals"), PARTS["items"][1].replace("evals e ON", "tevals e ON"))
+PARTS["state_tech"] = (("titems",), PARTS["state_fp"][1].replace("state_fp", "state_tech").replace("items", "titems"))
+PARTS["ev_tech"] = (("state_tech",), PARTS["ev_fp"][1].replace("state_fp", "state_tech").replace("items", "titems"))
 PARTS["fp"] = (("ev_fp",), "SELECT doc_id, lang, line_no, count(*) AS n_words, count(*) FILTER (switched AND correct) AS fp_count, count(*) FILTER (switched AND NOT correct) AS recovery_count FROM ev_fp GROUP BY ALL")
 PARTS["fp_report"] = (("fp",), "SELECT lang, count(*) AS lines_tested, sum(n_words)::BIGINT AS words_tested, sum(fp_count)::BIGINT AS fp_count, sum(recovery_count)::BIGINT AS recovery_count, count(*) FILTER (fp_count > 0) AS lines_with_fp FROM fp GROUP BY lang")
+PARTS["tech"] = (("ev_tech",), PARTS["fp"][1].replace("ev_fp", "ev_tech"))
+PARTS["tech_report"] = (("tech",), PARTS["fp_report"][1].replace("FROM fp", "FROM tech"))
 PARTS["fn"] = (
     ("ev_fn",),
     """SELECT doc_id, lang, line_no, n_words, line_switched, CASE WHEN line_switched THEN late ELSE every END AS latency, CASE WHEN line_switched THEN missed ELSE n_words END AS words_not_switched
@@ -143,14 +148,14 @@ PARTS["segs"] = (
 )
 PARTS["swords"] = (
     ("segs",),
-    """SELECT *, (count(*) FILTER (en <> '') OVER o - CASE WHEN en <> '' THEN 1 ELSE 0 END) AS k, start + (sum(length(en) + 1) OVER o - length(en) - 1) AS at, i < n - 1 AS ended FROM (
+    """SELECT *, (count(*) FILTER (en <> '') OVER o - CASE WHEN en <> '' THEN 1 ELSE 0 END) AS k, start + (sum(length(en) + 1) OVER o - length(en) - 1) AS place, i < n - 1 AS ended FROM (
     SELECT trap, sample_id, seg, layout, start, len(ens) AS n, unnest(ens) AS en, unnest(hes) AS he, unnest(range(0, len(ens))) AS i FROM (
     SELECT *, regexp_split_to_array(en, '[ \\n\\t]') AS ens, regexp_split_to_array(he, '[ \\n\\t]') AS hes FROM segs)) WINDOW o AS (PARTITION BY trap, sample_id, seg ORDER BY i)""",
 )
 PARTS["mpairs"] = (("swords",), "SELECT DISTINCT en, he FROM swords WHERE en <> ''")
 PARTS["cand"] = (
     ("swords", "mevals"),
-    """SELECT trap, sample_id, k, at + CASE WHEN e.j = size - 1 THEN size + 1 ELSE e.j + 2 END AS pos, CASE WHEN layout = 'en' THEN e.d ELSE -e.d END AS d
+    """SELECT trap, sample_id, k, place + CASE WHEN e.j = size - 1 THEN size + 1 ELSE e.j + 2 END AS pos, CASE WHEN layout = 'en' THEN e.d ELSE -e.d END AS d
     FROM (SELECT s.*, length(s.en) AS size, unnest(evals) AS e FROM swords s JOIN mevals USING (en, he) WHERE s.en <> '') WHERE NOT e.coll AND (e.j < size - 1 OR ended)""",
 )
 PARTS["grid"] = ((), f"SELECT d0, a, p FROM unnest({list(K.GRID_BASELINES)}::DOUBLE[]) AS x(d0), unnest({list(K.GRID_ALPHAS)}::DOUBLE[]) AS y(a), unnest({list(K.GRID_POWERS)}::DOUBLE[]) AS z(p)")
@@ -201,6 +206,11 @@ PARTS["decided"] = (
            length(active) >= 2 AND (lower(active) IN (SELECT word FROM collisions) OR lower(shadow) IN (SELECT word FROM collisions)) AS coll
     FROM ptexts p JOIN ps_en e ON e.text = en_text JOIN ps_he h ON h.text = he_text)""",
 )
+for m, form in (("en", "lower(word)"), ("he", to_he("word"))):
+    PARTS[f"d7_{m}"] = (
+        ("awords", "ngrams", "meta", "firsts"),
+        "SELECT *, round(raw, 6) AS score FROM (" + SCORE.replace("{m}", m).replace("awords", f"(SELECT DISTINCT ' ' || {form} || ' ' AS word FROM awords)").replace(", 6) AS score", ", 15) AS raw") + ")",
+    )
 CATEGORY = "CASE WHEN abs(score_diff) > 3 THEN '|x| > 3' WHEN abs(score_diff) > 2 THEN '3 > |x| > 2' WHEN abs(score_diff) > 1 THEN '2 > |x| > 1' ELSE '1 > |x|' END"
 PARTS["log"] = (
     ("decided",),
@@ -279,6 +289,10 @@ ORACLES = {
     "d4_step_score": sql("SELECT substr(gram, 1, 3) AS context, substr(gram, 4, 1) AS ch, round(min(step), 6) AS step FROM trace WHERE j > 0 GROUP BY 1, 2", "trace"),
     "d5_score_en": sql("SELECT e.text, greatest(e.score, s.score) AS score FROM score_en e JOIN score_so s USING (text)", "score_en", "score_so"),
     "d6_resolve_mode": "SELECT doc_id, mode, technical, CASE WHEN mode IN ('technical', 'standard') THEN mode WHEN technical THEN 'technical' ELSE 'standard' END AS resolved FROM (SELECT doc_id, ['smart', 'technical', 'odd', 'standard'][doc_id % 4 + 1] AS mode, lower(source) IN ('src0', 'src3') AS technical FROM documents)",
+    "d7_compare_layouts": sql(
+        "SELECT word, e.score AS score_en, h.score AS score_he, round(h.raw - e.raw, 6) AS diff_if_en, round(e.raw - h.raw, 6) AS diff_if_he, CASE WHEN h.raw > e.raw THEN 'he' ELSE 'en' END AS verdict FROM (SELECT word, ' ' || lower(word) || ' ' AS en, ' ' || " + to_he("word") + " || ' ' AS he FROM awords) w JOIN d7_en e ON e.text = w.en JOIN d7_he h ON h.text = w.he",
+        "d7_en", "d7_he",
+    ),
     "e1_lexicon_en": sql("SELECT * FROM lex_en", "lex_en"),
     "e2_lexicon_he": sql("SELECT * FROM lex_he", "lex_he"),
     "e3_collision_pairs": sql("SELECT * FROM pairs_c", "pairs_c"),
@@ -319,6 +333,8 @@ ORACLES = {
     "f12_mixed_metrics": sql("SELECT * FROM metrics_one", "metrics_one"),
     "f13_grid_search": sql("SELECT * FROM metrics_grid", "metrics_grid"),
     "f14_leaderboard": sql("SELECT * FROM metrics_grid ORDER BY fpr, recall DESC, lat, d0, a, p LIMIT 10", "metrics_grid"),
+    "f15_audit_compare": sql("SELECT 'standard' AS version, * FROM fp_report UNION ALL SELECT 'technical', * FROM tech_report", "fp_report", "tech_report"),
+    "g2_segment_stream": "SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) + 3600000000 AS ended_us, count(*) AS n_events FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s HAVING epoch_us(max(ts)) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events) - 60000000",
     "g1_segment": "SELECT event_id, user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS segment FROM (SELECT *, CASE WHEN lag(ts) OVER o IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER o) > 3600000000 OR event_type IN ('click', 'tab', 'caps', 'select_all', 'suspend') THEN 1 ELSE 0 END AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))",
     "g3_score_stream": sql("SELECT * REPLACE (round(score_diff, 6) AS score_diff) FROM decided", "decided"),
     "g4_ngram_stream": sql(EN_MODEL + " WHERE model = 'en'", "ngrams"),

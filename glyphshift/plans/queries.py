@@ -444,18 +444,6 @@ def g1_segment(spark, sf):
     return context.segment(X.table(spark, sf, "events"), idle=3600).select("event_id", "user_id", "segment")
 
 
-def event_stream(spark, sf):
-    schema = X.table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
-
-
-@query
-def g2_segment_stream(spark, sf):
-    out = scratch(spark)
-    streams.start_once(streams.segment_stream(event_stream(spark, sf), idle="1 hour"), f"{out}/data", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/data")
-
-
 def file_stream(spark, df):
     """`df` as a stream of files."""
     path = scratch(spark)
@@ -463,6 +451,13 @@ def file_stream(spark, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+@query
+def g2_segment_stream(spark, sf):
+    out = scratch(spark)
+    streams.start_once(streams.segment_stream(file_stream(spark, X.table(spark, sf, "events")), idle="1 hour"), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data").select("user_id", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n_events")
+
+
 @query
 def g3_score_stream(spark, sf):
     out = scratch(spark)
