@@ -202,3 +202,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
         docs = map_batches(docs, work, docs.schema)
     return docs
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(10, len(t)) AS size, array_to_string(t[k:k + least(10, len(t)) - 1], ' ') AS g FROM b, unnest(range(1, len(t) - least(10, len(t)) + 2)) AS u(k) WHERE len(t) > 0),
+w AS (SELECT doc_id, k, size, array_to_string(t[k:k + size - 1], ' ') AS g FROM d, (SELECT DISTINCT size FROM p) s, unnest(range(1, len(t) - size + 2)) AS u(k)),
+h AS (SELECT doc_id, item_id, k, size FROM w JOIN p USING (size, g)),
+n AS (SELECT doc_id, count(DISTINCT k + e) AS n_hit FROM h, unnest(range(0, size)) AS v(e) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""

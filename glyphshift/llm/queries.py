@@ -63,4 +63,10 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-ORACLES = {"op4_quality_rules": rules.ORACLE, "op7_preference_format": chat.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLES = {
+    "op4_quality_rules": rules.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
+    "op7_preference_format": chat.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
+    "op10_line_dedup": lines.ORACLE,
+}

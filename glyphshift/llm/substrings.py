@@ -242,3 +242,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return batch.set_column(place, "text", pa.array(out, pa.binary()).cast(pa.string())).select(names)
 
     return map_batches(joined, work, docs.schema)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+w AS (SELECT doc_id, k, md5(array_to_string(t[k:k + 49], ' ')) AS g FROM d, unnest(range(1, len(t) - 48)) AS u(k)),
+f AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY g) AS first FROM w) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, k + e AS k FROM f, unnest(range(0, 50)) AS v(e)),
+words AS (SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS k FROM d),
+rest AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN rest USING (doc_id)
+"""
