@@ -4,7 +4,8 @@ The first level's windows (about a quarter of `length`) are chosen by their cont
 those with the least hash. Two equal windows choose alike, so no repeat is lost and one window in about twenty goes to the
 shuffle. Windows of the first level that stand in different texts are extended to half of `length`, to either side; of
 these, the repeated ones are extended to all windows of `length` around them, and the first document of each is found.
-Each level is a grouping with partial sums and a join back; nothing is collected but what one document holds.
+Each level is a grouping with partial sums and a join back, in which very common windows meet a bounded broadcast table where
+they lie; nothing is collected but what one document holds.
 
 Documents with equal word sequences are one text up to the last step: all but the first are wholly covered.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import id_and_text, map_batches, text_bytes, write_cut
+from glyphshift.llm._shared import hot_limit, id_and_text, join_back, map_batches, text_bytes, write_cut
 
 LENGTH = 50
 SPACE = np.zeros(256, dtype=bool)
@@ -150,10 +151,10 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(id_and_text(docs).where("doc_id is not null"), work, ANCHORS)
 
 
-def repeated(windows: DataFrame, key: str) -> DataFrame:
+def repeated(windows: DataFrame, key: str, limit: int) -> DataFrame:
     """The rows whose window stands in different texts."""
-    keys = windows.groupBy(key).agg(F.min("seq").alias("low"), F.max("seq").alias("high")).where("low < high").select(key)
-    return windows.join(keys, key, "left_semi")
+    sums = windows.groupBy(key).agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")).select(key, "n", (F.col("low") < F.col("high")).alias("use"))
+    return join_back(windows, write_cut(sums.where(F.col("use") | (F.col("n") >= limit))), [key], limit, "left_semi")
 
 
 def full_windows(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
@@ -184,15 +185,18 @@ def later_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     -1 stands for all of a document that repeats an earlier one whole."""
     short, half = (length + 3) // 4, (length + 1) // 2
     anchors = write_cut(find_anchors(docs, length))
-    texts = anchors.select("doc_id", "seq", "seq2").distinct()
-    firsts = texts.groupBy("seq", "seq2").agg(F.min("doc_id").alias("first"))
-    copies = write_cut(texts.join(firsts, ["seq", "seq2"]).where("doc_id > first").select("doc_id"))
+    limit = hot_limit(anchors.count())
+    texts = write_cut(anchors.select("doc_id", "seq", "seq2").distinct())
+    firsts = texts.groupBy("seq", "seq2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("use")).where("n > 1")
+    copies = write_cut(join_back(texts, firsts, ["seq", "seq2"], hot_limit(texts.count())).where("doc_id > first").select("doc_id"))
     sides = F.array(F.struct(F.col("right").alias("w"), F.col("pos").alias("half")), F.struct(F.col("left").alias("w"), (F.col("pos") - (half - short)).alias("half")))
-    doubled = repeated(anchors, "h").select("doc_id", "seq", F.explode(sides).alias("e")).select("doc_id", "seq", "e.w", "e.half").where("w is not null")
-    around = repeated(doubled, "w").groupBy("doc_id").agg(F.collect_set("half").alias("halves")).join(copies, "doc_id", "left_anti")
+    doubled = write_cut(repeated(anchors, "h", limit).select("doc_id", "seq", F.explode(sides).alias("e")).select("doc_id", "seq", "e.w", "e.half").where("w is not null"))
+    around = repeated(doubled, "w", limit).groupBy("doc_id").agg(F.collect_set("half").alias("halves")).join(copies, "doc_id", "left_anti")
     windows = write_cut(full_windows(docs, around, length))
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
-    later = windows.join(first, ["w1", "w2"]).where("doc_id > first").select("doc_id", "pos")
+    limit = hot_limit(windows.count())
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    first = write_cut(first.select("w1", "w2", "first", "n", (F.col("first") < F.col("last")).alias("use")).where(F.col("use") | (F.col("n") >= limit)))
+    later = join_back(windows, first, ["w1", "w2"], limit).where("doc_id > first").select("doc_id", "pos")
     return later.unionByName(copies.select("doc_id", F.lit(-1).alias("pos"))).groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
 
 
