@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphshift.llm._shared import hot_limit, join_back
+
 START, END = "<|turn|>", "<|end|>"
 
 
@@ -29,8 +31,8 @@ def turns_of(conversations: DataFrame) -> DataFrame:
 def pairs_by_opening(turns: DataFrame) -> DataFrame:
     """chosen, rejected: the first conversation of those with the same turn 0, with each of the others. A star, not all pairs."""
     opening = turns.where("turn = 0").select("conv_id", F.sha2(F.concat_ws("\n", "role", "text"), 256).alias("opening"))
-    least = opening.groupBy("opening").agg(F.min("conv_id").alias("chosen"), F.count(F.lit(1)).alias("n")).where("n > 1").select("opening", "chosen")
-    return opening.join(least, "opening").where("conv_id > chosen").select("chosen", F.col("conv_id").alias("rejected"))
+    least = opening.groupBy("opening").agg(F.min("conv_id").alias("chosen"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("use")).where("n > 1")
+    return join_back(opening, least, ["opening"], hot_limit(opening.count())).where("conv_id > chosen").select("chosen", F.col("conv_id").alias("rejected"))
 
 
 def pairs_by_number(turns: DataFrame) -> DataFrame:
