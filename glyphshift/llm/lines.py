@@ -6,7 +6,7 @@ that stands twice shares a fingerprint for certain. Fingerprints that stand at t
 extended both ways to the windows of `size` lines around them; runs of any length are unions of such windows. A line is
 deleted if it lies in such a window that also starts earlier, by (doc_id, line). Blank lines stay.
 
-Everything is DataFrame functions; groupings have partial sums, and joins back are split where a line is very common.
+Everything is DataFrame functions; groupings have partial sums, and rows of very common lines are joined back where they lie.
 
 Lines are judged on the input, so what was deleted can still be the earlier run. A null or empty text has no lines and stays
 as it is. Texts of any length are cut whole. A row without an id is neither cut nor a source; repeated rows of one id are cut
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import id_and_text, write_cut
+from glyphshift.llm._shared import hot_limit, id_and_text, join_back, write_cut
 from glyphshift.llm.rules import bound
 
 #: Lines of a window: shorter runs are never deleted.
@@ -56,10 +56,11 @@ def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def later_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, starts: of each document with any, the windows (by content line) that also start earlier."""
     selected = write_cut(fingerprints(docs, size))
-    twice = selected.groupBy("f").agg(F.min(F.struct("doc_id", "start")).alias("low"), F.max(F.struct("doc_id", "start")).alias("high")).where("low != high").select("f")
-    extended = selected.join(twice, "f", "left_semi")
-    first = extended.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = extended.join(first, ["w1", "w2"]).where(F.struct("doc_id", "start") > F.col("first"))
+    limit = hot_limit(selected.count())
+    places = lambda df, *keys: df.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"), F.count(F.lit(1)).alias("n"))
+    wanted = lambda df: write_cut(df.withColumn("use", F.col("first") != F.col("last")).drop("last").where(F.col("use") | (F.col("n") >= limit)))
+    extended = write_cut(join_back(selected, wanted(places(selected, "f")).drop("first"), ["f"], limit, "left_semi"))
+    later = join_back(extended, wanted(places(extended, "w1", "w2")), ["w1", "w2"], limit).where(F.struct("doc_id", "start") > F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
 
 
