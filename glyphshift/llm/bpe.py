@@ -189,19 +189,20 @@ def codec(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, ids, starts, ends (character offsets) of every text."""
+def encode(docs: DataFrame, path: str = RANKS, offsets: bool = True) -> DataFrame:
+    """doc_id, ids and, if asked for, starts and ends (character offsets) of every text."""
+    ints = pa.list_(pa.int32())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, rows = codec(path), texts(batch)
-        ids, offsets = own.ids(rows), own.offsets(rows)
-        ints = pa.list_(pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(ids, ints), pa.array([o[0] for o in offsets], ints), pa.array([o[1] for o in offsets], ints)],
-            ["doc_id", "ids", "starts", "ends"],
-        )
-
-    return map_batches(id_and_text(docs), work, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+        own = codec(path)
+        columns = {"doc_id": batch.column("doc_id"), "ids": own.encode_texts(batch.column("text")).ids()}
+        if offsets:
+            places = own.offsets(texts(batch))
+            columns |= {"starts": pa.array([o[0] for o in places], ints), "ends": pa.array([o[1] for o in places], ints)}
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
+    return map_batches(id_and_text(docs), work, schema, ROWS, BYTES)
 
 
 def decode(tokens: DataFrame, path: str = RANKS) -> DataFrame:
