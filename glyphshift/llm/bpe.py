@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from glyphshift.llm._shared import id_and_text, map_batches, texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Rows, and bytes of text, that are encoded together.
+#: Rows, and bytes of text, that are encoded together where only digests are returned; ids themselves take more memory.
 ROWS, BYTES = 10_000, 16_000_000
 #: A space at an end of the text, or beside other white space.
 ODD_SPACE = r"^ |[\p{Z}\t\n\v\f\r\x{85}] | [\p{Z}\t\n\v\f\r\x{85}]| $"
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, path: str = RANKS, offsets: bool = True) -> DataFram
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return map_batches(id_and_text(docs), work, schema, ROWS, BYTES)
+    return map_batches(id_and_text(docs), work, schema)
 
 
 def decode(tokens: DataFrame, path: str = RANKS) -> DataFrame:
