@@ -97,5 +97,4 @@ def mixed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 def pairs(every: DataFrame) -> DataFrame:
     """time, active, shadow, layout, on_delimiter: distinct words of the audited lines, on either layout."""
     words = ngrams.words(audit_lines(every)).distinct()
-    both = audit.word_buffers(words).where("length(active) <= 12")
-    return both.select(F.lit("2024-01-01 00:00:00.000").alias("time"), "active", "shadow", "layout", (F.length("active") % 2 == 0).alias("on_delimiter"))
+    return audit.word_buffers(words).select(F.lit("2024-01-01 00:00:00.000").alias("time"), "active", "shadow", "layout", (F.length("active") % 2 == 0).alias("on_delimiter"))
