@@ -476,7 +476,7 @@ def g4_ngram_stream(spark, sf):
 @query
 def g5_detect_stream(spark, sf):
     """A session is an audited document: its words, one a second, with a click before every line."""
-    every = X.audit_lines(X.lines(spark, sf)).where("lang != 'en'")
+    every = X.audit_lines(X.lines(spark, sf))
     placed = audit.line_words(every)
     evals = audit.forms(placed.select("word").distinct()).join(stored(X.audit_scores(spark, sf)), ["en", "he"], "left").select("word", "evals")
     none = F.lit(None).cast("array<struct<j:int,d:double,coll:boolean>>")
