@@ -75,9 +75,11 @@ def candidates(words: DataFrame, scored: DataFrame, prune: bool = True) -> DataF
 
 def outcomes(found: DataFrame, params: DataFrame) -> DataFrame:
     """d0, a, p, sample_id, pos, trap_at of the first trigger under each row of `params` (d0, a, p); none, no row. The table of
-    parameters is the fixed query set: each candidate is held against all of it."""
-    over = found.join(F.broadcast(params), F.col("d") > F.col("d0") + F.col("a") * F.pow(F.col("k").cast("double"), F.col("p")))
-    return over.groupBy("d0", "a", "p", "sample_id").agg(F.min(F.struct("pos", "trap_at")).alias("x")).select("d0", "a", "p", "sample_id", "x.pos", "x.trap_at")
+    parameters is the fixed query set: a sample's candidates, in order, are held against all of it where they lie."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "trap_at", "k", "d")))
+    over = found.groupBy("sample_id").agg(ordered.alias("c")).join(F.broadcast(params), F.lit(True))
+    first = F.get(F.filter("c", lambda x: x["d"] > F.col("d0") + F.col("a") * F.pow(x["k"].cast("double"), F.col("p"))), 0)
+    return over.withColumn("x", first).where("x is not null").select("d0", "a", "p", "sample_id", "x.pos", "x.trap_at")
 
 
 def trap_places(runs: DataFrame) -> DataFrame:

@@ -79,10 +79,19 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_id, text: the first line of an English document before that of the German one behind it, as pseudo-Hebrew."""
-    every = lines(spark, sf_dir).where("line_no = 0")
-    english, hebrew = every.where("lang = 'en'").select("doc_id", "line"), hebrew_lines(every).select((F.col("doc_id") - 1).alias("doc_id"), F.col("line").alias("other"))
-    return english.join(hebrew, "doc_id").select(F.col("doc_id").alias("sample_id"), F.concat("line", F.lit(" "), "other").alias("text"))
+    """sample_id, text: the n-th English line before the n-th pseudo-Hebrew one, by (doc_id, line_no). The language with fewer
+    lines begins again when it ends, so that every line of both takes part."""
+    every = lines(spark, sf_dir)
+    ranked = lambda df: cleaning.running_totals(df.select("doc_id", "line_no", "line"), F.floor(F.col("doc_id") / 4_096), ["doc_id", "line_no"], {"n": F.lit(1)})
+    english, hebrew = ranked(every.where("lang = 'en'")), ranked(hebrew_lines(every))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    sizes = count(every.where("lang = 'en'"), "en").join(count(hebrew_lines(every), "he"), F.lit(True))
+
+    def placed(df: DataFrame, own: str, name: str) -> DataFrame:
+        again = F.sequence("n", F.greatest("en", "he") - 1, F.col(own))
+        return df.join(F.broadcast(sizes), F.lit(True)).select(F.explode(again).alias("sample_id"), F.col("line").alias(name))
+
+    return placed(english, "en", "line").join(placed(hebrew, "he", "other"), "sample_id").select("sample_id", F.concat("line", F.lit(" "), "other").alias("text"))
 
 
 def mixed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
