@@ -51,6 +51,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")  # a run that fails the length is followed by no other start in it, so this equals + and a check
 CONTEXTS = [
     ASSIGN,
+    # The base key names again, with a value of any signs up to the closing quote or white space.
+    re.compile(f"({any_case('password|passwd|secret|token|api_?key')})[\"']?\\x20*[:=]\\x20*[\"']?((?<=\")[^\"\\s]+|(?<=')[^'\\s]+|[^\"'\\s]\\S*)"),
     re.compile(f"({any_case('pwd|passphrase|passcode|credential|private_?key|access_?key|auth')})[\"']?\\x20*[:=]\\x20*[\"']?([!-~]+)"),
     re.compile(f"({any_case('bearer|basic')})\\x20+({VALUE})"),
     re.compile("([A-Za-z][A-Za-z0-9+.-]{1,15}://[^\\s/:@]{1,64}):([^\\s/@]+)@"),
@@ -134,16 +136,17 @@ def guess_cost(value: str) -> float:
 
 
 def guess_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
-    """Values of credential contexts that cost at least `min_guesses`."""
-    found = set()
+    """Values of credential contexts that cost at least `min_guesses`; of those that start at one place the longest."""
+    found: dict[int, int] = {}
     for context in CONTEXTS:
         for m in context.finditer(text):
             start, end = m.span(2)
-            value = m[2].rstrip("\"',;.)]}")
+            quoted = text[start - 1] in "\"'" and text[end : end + 1] == text[start - 1]
+            value = m[2] if quoted else m[2].rstrip("\"',;.)]}")
             end = start + len(value)
-            if len(value) >= 6 and guess_cost(value) >= min_guesses:
-                found.add((start, end, "guess"))
-    return sorted(found)
+            if len(value) >= 6 and end > found.get(start, 0) and guess_cost(value) >= min_guesses:
+                found[start] = end
+    return [(start, end, "guess") for start, end in sorted(found.items())]
 
 
 HINTS = ("pass", "secret", "token", "key", "pwd", "credential", "auth", "bearer", "basic", "://")

@@ -78,6 +78,18 @@ def test_assignments_are_consumed_whole():
     assert secrets.base_spans("ſecret=abcdefg apiKey:abcdefg") == [(15, 29, "assign")]
 
 
+def test_guessed_values_run_to_the_quote_or_white_space():
+    for text, value in (
+        ('password = "S3cr$t!Xq9"', "S3cr$t!Xq9"),
+        ("say password=correct!horse; then", "correct!horse"),
+        ("{'api_key': 'p#9~Lw)x.'}", "p#9~Lw)x."),
+        ("token: zK4$vv?Qm, secret=", "zK4$vv?Qm"),
+    ):
+        start = text.index(value)
+        assert secrets.guess_spans(text) == [(start, start + len(value), "guess")]
+    assert secrets.base_spans('password = "S3cr$t!Xq9"') == [] and secrets.guess_spans('token="" password=\'\'') == []
+
+
 def plain_cost(value):
     """The cheapest segmentation by trying all pieces from every place."""
     words, _ = secrets.lexicon()
