@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and guess-cost dynamic programming on values in credential contexts.
 
 Three base patterns (assignments, access ids, hex strings) give spans of characters, end exclusive. Beyond them, the
-value in each credential context (more key names than the base, bearer headers, passwords in addresses) is priced: the
+value in each credential context (more key names than the base, authorization headers, passwords in addresses) is priced: the
 cheapest way to cut it into dictionary words, dates, repeats, keyboard walks and brute-force spans gives the guesses,
 in powers of ten, that an attacker needs. A value that costs at least `min_guesses` is a span of kind `guess`; cheap
 values ("password", "aaaaaaaa", "qwerty123") are placeholders and add none. Base spans always stay.
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glyphshift.llm._shared import id_and_text, map_batches, texts
+from glyphshift.llm.bpe import RANKS, read_ranks
 
 #: log10 of the guesses from which on a value counts as a secret.
 MIN_GUESSES = 8.0
 KINDS = ("assign", "access", "hex", "guess")
 
-# Words that people build passwords of, most frequent first.
+# Words that people build passwords of, most frequent first; those of the public vocabulary come after them.
 COMMON_WORDS = """password admin welcome login master secret letmein dragon monkey shadow sunshine princess football
 baseball superman batman trustno starwars whatever freedom hello charlie jordan hunter ranger buster soccer hockey
 killer george michael jennifer thomas robert daniel andrew joshua pepper ginger summer winter spring autumn monday
@@ -54,7 +55,7 @@ CONTEXTS = [
     # The base key names again, with a value of any signs up to the closing quote or white space.
     re.compile(f"({any_case('password|passwd|secret|token|api_?key')})[\"']?\\x20*[:=]\\x20*[\"']?((?<=\")[^\"\\s]+|(?<=')[^'\\s]+|[^\"'\\s]\\S*)"),
     re.compile(f"({any_case('pwd|passphrase|passcode|credential|private_?key|access_?key|auth')})[\"']?\\x20*[:=]\\x20*[\"']?([!-~]+)"),
-    re.compile(f"({any_case('bearer|basic')})\\x20+({VALUE})"),
+    re.compile(f"({any_case('authorization')})[\"']?\\x20*[:=]\\x20*[\"']?(?:{any_case('bearer|basic')})\\x20+({VALUE})"),
     re.compile("([A-Za-z][A-Za-z0-9+.-]{1,15}://[^\\s/:@]{1,64}):([^\\s/@]+)@"),
 ]
 
@@ -74,8 +75,12 @@ def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 @lru_cache(maxsize=1)
 def lexicon() -> tuple[dict[str, float], int]:
-    """log10 of the guesses for each common word, and the longest word's length."""
-    return {w: math.log10(rank) for rank, w in enumerate(COMMON_WORDS, 1)}, max(map(len, COMMON_WORDS))
+    """log10 of the guesses for each word, and the longest word's length: the common words, then the words of three letters or
+    more in the public vocabulary, by its rank."""
+    pieces = sorted(read_ranks(RANKS).items(), key=lambda x: x[1])
+    vocabulary = [w[1:].lower() for w in (p.decode("utf-8", "replace") for p, _ in pieces) if w[:1] == " " and len(w) >= 4 and w[1:].isalpha()]
+    words = list(dict.fromkeys([*COMMON_WORDS, *vocabulary]))
+    return {w: math.log10(rank) for rank, w in enumerate(words, 1)}, max(map(len, words))
 
 
 @lru_cache(maxsize=1)
