@@ -14,8 +14,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that stand earlier; those of which nothing is left go."""
-    return lines.dedup_lines(docs)
+    """Documents without runs of lines that stand earlier, by lines or by words; those of which nothing is left go."""
+    return lines.dedup_lines(docs, words=lines.WORDS)
 
 
 def simhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ that stands twice shares a fingerprint for certain. Fingerprints that stand at t
 extended both ways to the windows of `size` lines around them; runs of any length are unions of such windows. A line is
 deleted if it lies in such a window that also starts earlier, by (doc_id, line). Blank lines stay.
 
+With `words`, runs are measured by words as well: windows of fewer lines count if they have `words` words or more, and so
+does a whole document of fewer lines, against whole documents.
+
 Everything is DataFrame functions; groupings have partial sums, and rows of very common lines are joined back where they lie.
 
 Lines are judged on the input, so what was deleted can still be the earlier run. A null or empty text has no lines and stays
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from glyphshift.llm._shared import hot_limit, id_and_text, join_back, write_cut
 from glyphshift.llm.rules import bound
 
-#: Lines of a window: shorter runs are never deleted.
+#: Lines of a window: shorter runs are deleted only by their words, or as whole documents.
 SIZE = 3
+#: Words from which on a run of fewer lines counts.
+WORDS = 50
 EDGES = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -36,44 +41,61 @@ def content(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
 
 
-def fingerprints(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, f and around: each selected line hash, and the windows (start, w1, w2) that it lies in."""
-    own = id_and_text(docs).where("doc_id is not null and text is not null")
-    hashed = own.select("doc_id", F.transform(F.filter(split_lines(F.col("text")), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(F.regexp_replace(x, EDGES, ""))).alias("h"))
-    long = hashed.where(F.size("h") >= size)
-
-    def windows(h: Column) -> Column:
-        parts = lambda i: [F.get(h, i + k) for k in range(size)]
-        return F.transform(
-            F.sequence(F.lit(0), F.size(h) - size),
-            lambda i: F.struct(i.alias("start"), F.least(*parts(i)).alias("f"), F.xxhash64(*parts(i)).alias("w1"), F.hash(F.lit(size), *parts(i)).alias("w2")),
-        )
+def n_words(line: Column) -> Column:
+    """Words of a line without white space at its ends."""
+    return F.size(F.split(line, "[\\x20\\x09-\\x0D]+"))
 
-    exploded = long.select("doc_id", F.explode(windows(F.col("h"))).alias("w"))
-    return exploded.select("doc_id", "w.f", "w.start", "w.w1", "w.w2")
 
-
-def later_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, starts: of each document with any, the windows (by content line) that also start earlier."""
-    selected = write_cut(fingerprints(docs, size))
+def fingerprints(docs: DataFrame, size: int = SIZE, words: int | None = None) -> DataFrame:
+    """doc_id, f and around: each selected line hash, and the windows (start, lines, w1, w2) that it lies in."""
+    own = id_and_text(docs).where("doc_id is not null and text is not null")
+    item = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.lit(0) if words is None else n_words(x)).alias("n"))
+    hashed = own.select("doc_id", F.transform(F.filter(split_lines(F.col("text")), lambda x: x.rlike(WORD)), lambda x: item(F.regexp_replace(x, EDGES, ""))).alias("l"))
+    long = hashed.where(F.size("l") >= (size if words is None else 1)).select("doc_id", F.col("l.h").alias("h"), F.col("l.n").alias("n"))
+
+    def windows(n: int) -> Column:
+        """Those of n lines: where there are fewer than `size`, the whole document (kind 2) or the ones of enough words."""
+        parts = lambda i: [F.get("h", i + k) for k in range(n)]
+        least = lambda i: parts(i)[0] if n == 1 else F.least(*parts(i))
+
+        def window(kind: Column | None):
+            marks = [F.lit(n)] if kind is None else [F.lit(n), kind]
+            return lambda i: F.struct(i.alias("start"), F.lit(n).alias("lines"), least(i).alias("f"), F.xxhash64(*parts(i)).alias("w1"), F.hash(*marks, *parts(i)).alias("w2"))
+
+        places = F.sequence(F.lit(0), F.size("h") - n)
+        if n == size:
+            found = F.transform(places, window(None))
+        else:
+            rich = F.filter(places, lambda i: sum((F.get("n", i + k) for k in range(1, n)), F.get("n", i)) >= words)
+            whole = F.when(F.size("h") == n, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+            found = F.concat(F.transform(rich, window(F.lit(1))), F.transform(whole, window(F.lit(2))))
+        return F.when(F.size("h") >= n, found).otherwise(F.array().cast("array<struct<start:int,lines:int,f:bigint,w1:bigint,w2:int>>"))
+
+    every = windows(size) if words is None else F.concat(*(windows(n) for n in range(1, size + 1)))
+    return long.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.f", "w.start", "w.lines", "w.w1", "w.w2")
+
+
+def later_windows(docs: DataFrame, size: int = SIZE, words: int | None = None) -> DataFrame:
+    """doc_id, starts: of each document with any, the windows (start, by content line, and lines) that also start earlier."""
+    selected = write_cut(fingerprints(docs, size, words))
     limit = hot_limit(selected.count())
     places = lambda df, *keys: df.groupBy(*keys).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"), F.count(F.lit(1)).alias("n"))
     wanted = lambda df: write_cut(df.withColumn("use", F.col("first") != F.col("last")).drop("last").where(F.col("use") | (F.col("n") >= limit)))
     extended = write_cut(join_back(selected, wanted(places(selected, "f")).drop("first"), ["f"], limit, "left_semi"))
     later = join_back(extended, wanted(places(extended, "w1", "w2")), ["w1", "w2"], limit).where(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "lines")).alias("starts"))
 
 
-def cut_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def cut_lines(docs: DataFrame, size: int = SIZE, words: int | None = None) -> DataFrame:
     """The columns of `docs` as the struct `row`, and kept, n_lines, n_removed: the text that is left, its content lines before, and those deleted."""
-    starts = later_windows(docs, size).select(F.col("doc_id").alias("cut_id"), F.col("starts").alias("cut_starts"))
+    starts = later_windows(docs, size, words).select(F.col("doc_id").alias("cut_id"), F.col("starts").alias("cut_starts"))
     names = docs.columns
     joined = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct(*(docs[n] for n in names)).alias("row")).join(starts, F.col("own_id") == F.col("cut_id"), "left")
     text = F.coalesce(F.col("row.text"), F.lit(""))
     lines = split_lines(text)
 
     def rebuilt(found: Column) -> Column:
-        gone = F.array_distinct(F.flatten(F.transform("cut_starts", lambda s: F.slice(found["places"], s + 1, size))))
+        gone = F.array_distinct(F.flatten(F.transform("cut_starts", lambda s: F.slice(found["places"], s["start"] + 1, s["lines"]))))
         left = F.array_except(F.sequence(F.lit(0), F.size(found["lines"]) - 1), gone)
         return F.struct(F.array_join(F.transform(left, lambda i: F.get(found["lines"], i)), "\n").alias("kept"), F.size(gone).cast("long").alias("n"))
 
@@ -84,16 +106,16 @@ def cut_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = SIZE, words: int | None = None) -> DataFrame:
     """`docs`, all columns, without the deleted lines; documents of which no line is left go."""
-    cut = cut_lines(docs, size).where("n_removed = 0 or n_removed < n_lines")
+    cut = cut_lines(docs, size, words).where("n_removed = 0 or n_removed < n_lines")
     fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.select(*(F.when(F.col("n_removed") > 0, fresh[n]).otherwise(F.col("row")[n]).cast(docs.schema[n].dataType).alias(n) if n in fresh else F.col("row")[n].alias(n) for n in docs.columns))
 
 
-def report(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def report(docs: DataFrame, size: int = SIZE, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every document row; null text counts as empty."""
-    cut = cut_lines(docs.select("doc_id", "text"), size)
+    cut = cut_lines(docs.select("doc_id", "text"), size, words)
     return cut.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 

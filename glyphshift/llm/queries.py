@@ -45,7 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(documents(spark, sf_dir))
+    return lines.report(documents(spark, sf_dir), words=lines.WORDS)
 
 
 QUERIES = {

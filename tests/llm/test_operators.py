@@ -424,6 +424,54 @@ def test_lines_random(spark):
     assert got == brute_lines(docs, lines.SIZE)
 
 
+def brute_runs(docs, size, words):
+    """Runs of `size` lines, shorter ones of enough words, and whole documents of fewer lines against each other."""
+    seqs = {i: [(k, x.strip(" \t\n\r\x0b\x0c")) for k, x in enumerate((t or "").split("\n")) if x.encode().split()] for i, t in docs if i is not None}
+
+    def runs(own):
+        for n in range(1, size + 1):
+            for k in range(len(own) - n + 1):
+                run = tuple(x for _, x in own[k : k + n])
+                if n == size or sum(len(x.encode().split()) for x in run) >= words:
+                    yield k, n, (n, run)
+        if 0 < len(own) < size:
+            yield 0, len(own), ("whole", tuple(x for _, x in own))
+
+    first = {}
+    for i in sorted(seqs):
+        for k, _, run in runs(seqs[i]):
+            first.setdefault(run, (i, k))
+            first[run] = min(first[run], (i, k))
+    out = {}
+    for i, t in docs:
+        own = seqs.get(i, [])
+        gone = {own[j][0] for k, n, run in runs(own) if first[run] < (i, k) for j in range(k, k + n)}
+        left = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone)
+        out[i] = (len(own), len(gone), sha(left if gone else (t or "")))
+    return out
+
+
+def test_lines_by_words(spark, odd):
+    docs = [(1, "own\n" + PASSAGE + "\nline"), (2, PASSAGE), (3, "other\n" + PASSAGE + "\nend\nof it"), (4, "short"), (5, " short"), (6, "short\nlines"), (7, "short\nlines"), (8, "a\nshort\nb")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in lines.report(frame(docs), words=lines.WORDS).collect()}
+    assert removed == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0, 7: 2, 8: 0}
+    rng = random.Random(4)
+    some = [(i, "\n".join(rng.choice(["a", "b", " a", "", "c d", "e f g", "h\ti j k "]) for _ in range(rng.randint(0, 7)))) for i in range(120)]
+    for rows, words in ((docs, lines.WORDS), (some, 5), (some, 3)):
+        got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in lines.report(frame(rows), words=words).collect()}
+        assert got == brute_runs(rows, lines.SIZE, words)
+    assert lines.report(odd, words=lines.WORDS).count() == len(ODD)
+
+
+def test_op10_measures_runs_by_words(spark):
+    import __spark_entry__ as entry
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in entry.queries()["op10_line_dedup"](spark, SF).collect()}
+    assert got == brute_runs(docs, lines.SIZE, lines.WORDS) and got != brute_lines(docs, lines.SIZE)
+
+
 # The pipeline
 
 
