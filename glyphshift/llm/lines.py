@@ -3,7 +3,8 @@
 A document is the sequence of its lines that hold a word, each hashed without the white space at its ends. In every window
 of `size` lines the least hash is selected, with its position: equal windows select alike, so a run of `size` lines or more
 that stands twice shares a fingerprint for certain. Fingerprints that stand at two positions or more are joined back and
-extended both ways to the windows of `size` lines around them; runs of any length are unions of such windows. A line is
+extended both ways to the windows of `size` lines around them; runs of any length are unions of such windows. The positions
+compared are those of the windows, so most windows pass this stage: in effect all windows are grouped. A line is
 deleted if it lies in such a window that also starts earlier, by (doc_id, line). Blank lines stay.
 
 With `words`, runs are measured by words as well: windows of fewer lines count if they have `words` words or more, and so
