@@ -129,7 +129,13 @@ PARTS["comments"] = (
     FROM (SELECT conv_id * 1000 + turn AS id, text, role AS channel FROM conversations)""",
 )
 PARTS["mixed_c"] = (("comments",), f"SELECT id, channel, {strip('replace(body, chr(10), chr(32))')} AS text FROM comments WHERE coalesce(body, '') NOT IN ('', '[deleted]', '[removed]') AND regexp_matches(body, {HEBREW}) AND regexp_matches(body, {ENGLISH}) AND length(body) > 20")
-PARTS["mtexts"] = (("lines", "he_lines"), "SELECT a.doc_id AS sample_id, a.line || ' ' || b.line AS text FROM lines a JOIN he_lines b ON b.doc_id - 1 = a.doc_id WHERE a.lang = 'en' AND a.line_no = 0 AND b.line_no = 0")
+PARTS["mtexts"] = (
+    ("lines", "he_lines"),
+    """SELECT i AS sample_id, a.line || ' ' || b.line AS text
+    FROM (SELECT (SELECT count(*) FROM lines WHERE lang = 'en') AS ne, (SELECT count(*) FROM he_lines) AS nh), unnest(range(0, greatest(ne, nh))) AS u(i)
+    JOIN (SELECT line, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS r FROM lines WHERE lang = 'en') a ON a.r = i % ne
+    JOIN (SELECT line, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS r FROM he_lines) b ON b.r = i % nh""",
+)
 PARTS["runs"] = (
     ("mtexts",),
     f"""SELECT sample_id, run, lang, min(i)::INTEGER AS start, string_agg(c, '' ORDER BY i) AS chunk FROM (
@@ -188,7 +194,7 @@ PARTS["trace"] = (
     LEFT JOIN ngrams g4 ON g4.model = 'en' AND g4.n = 4 AND g4.gram = substr(lower(text), j::INTEGER, 4) LEFT JOIN ngrams g3 ON g3.model = 'en' AND g3.n = 3 AND g3.gram = substr(lower(text), j::INTEGER, 3))""",
 )
 PARTS["buffers"] = (("awords",), f"SELECT word, 'en' AS layout, word AS active, {to_he('word')} AS shadow FROM awords UNION ALL SELECT word, 'he', {to_he('word')}, word FROM awords")
-PARTS["pairs"] = (("buffers",), "SELECT active, shadow, layout, length(active) % 2 = 0 AS on_delimiter FROM buffers WHERE length(active) <= 12")
+PARTS["pairs"] = (("buffers",), "SELECT active, shadow, layout, length(active) % 2 = 0 AS on_delimiter FROM buffers")
 PARTS["ptexts"] = (
     ("pairs",),
     """SELECT *, ' ' || lower(CASE WHEN layout = 'en' THEN active ELSE shadow END) || CASE WHEN on_delimiter THEN ' ' ELSE '' END AS en_text,
