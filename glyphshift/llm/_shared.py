@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphshift.session import delete_folder, scratch, shared_folder
+
 #: Rows, and bytes, of the slices of an Arrow batch that are worked on at a time; they bound what a worker holds beside it.
 SLICE_ROWS, SLICE_BYTES = 512, 4_000_000
 
@@ -18,14 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and cut from its lineage by a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -38,15 +30,23 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def write_cut(df: DataFrame) -> DataFrame:
     """Like `cut`, for tables of many rows: written compressed and by column, beside the checkpoints, and read again. The
-    shuffle files that the table came from go when it is written."""
+    shuffle files that the table came from go when it is written; the table goes with `release`."""
     spark = df.sparkSession
-    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    path, before = scratch(spark), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of `write_cut` that no later step reads."""
+    for table in tables:
+        delete_folder(table.sparkSession, table.written_at)
 
 
 #: A key counts as hot if it holds more than this part of all rows, so there are never more hot keys than this.
@@ -100,3 +100,8 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only what an operator reads: further columns, whatever their names, are pruned at the scan."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and `key`, a hash of the text: rows that share an id but no text are told apart by it."""
+    return id_and_text(docs).withColumn("key", F.xxhash64("text"))

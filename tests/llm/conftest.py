@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, starts long, fp string, h string, kept string, cut_id long, gone_id long, own_id long, term string, quality int"
+SCHEMA = "doc_id long, text string, key long, cut_starts string, row string, lang string, source string, n_chars long, score double, spans string, starts long, fp string, h string, kept string, cut_id long, gone_id long, own_id long, term string, quality int"
 LONG = " ".join(f"w{i % 977}x{i % 1009}" for i in range(60_000))
 PASSAGE = " ".join(f"passage{i}" for i in range(80))
 LINES = "\n".join(f"This is the shared line number {i} of a block" for i in range(6))
@@ -31,7 +31,7 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    rows = [(i, t, "en", "src0", len(t or ""), 0.5, "x", i, "f", "h", "k", i, i, i, "t", 1) for i, t in ODD]
+    rows = [(i, t, i, "c", "r", "en", "src0", len(t or ""), 0.5, "x", i, "f", "h", "k", i, i, i, "t", 1) for i, t in ODD]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
 
