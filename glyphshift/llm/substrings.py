@@ -7,11 +7,13 @@ these, the repeated ones are extended to all windows of `length` around them, an
 Each level is a grouping with partial sums and a join back, in which very common windows meet a bounded broadcast table where
 they lie; nothing is collected but what one document holds.
 
-Documents with equal word sequences are one text up to the last step: all but the first are wholly covered.
+Documents with equal texts are one text up to the last step: all but the first are wholly covered.
 
 A word is covered if it lies in a window of `length` words that also starts in a document with a smaller id. Windows are
 compared by 64 bits on the lower levels and by 96 on the last. A null or empty text has no words, and texts shorter than
-`length` words are never cut. A row without an id is neither cut nor a source. Repeated rows of one id are cut alike.
+`length` words are never cut. A row without an id is neither cut nor a source. Rows are told apart by id and text: repeated
+rows are cut alike, and other texts of the same id are judged by their own words, never against each other. Further columns,
+whatever their names, are passed on.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import hot_limit, id_and_text, join_back, map_batches, text_bytes, write_cut
+from glyphshift.llm._shared import hot_limit, join_back, keyed, map_batches, release, text_bytes, write_cut
 
 LENGTH = 50
 SPACE = np.zeros(256, dtype=bool)
@@ -82,13 +84,6 @@ class Words:
         sums, down = self.sums[base]
         return mixed((sums[at + length] - sums[at]) * down[at])
 
-    def whole(self, base: int) -> np.ndarray:
-        """A hash of each text's word sequence."""
-        if base not in self.sums:
-            self.sums[base] = range_sums(self.hash, base)
-        sums, down = self.sums[base]
-        return mixed((sums[self.first[1:]] - sums[self.first[:-1]]) * down[self.first[:-1]] + self.size.astype(np.uint64))
-
 
 def sliding(pick, values: np.ndarray, width: int) -> np.ndarray:
     """`pick` (minimum or maximum) over each run of `width` values."""
@@ -114,7 +109,7 @@ def anchors_of(words: Words, length: int) -> np.ndarray:
     return np.flatnonzero((most == hashes) & (most > 0))
 
 
-ANCHORS = "doc_id long, seq long, seq2 int, pos int, h long, right long, left long"
+ANCHORS = "doc_id long, key long, key2 int, pos int, h long, right long, left long"
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -126,10 +121,9 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
     short, half = (length + 3) // 4, (length + 1) // 2
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, ids = Words(text_bytes(batch)), batch.column("doc_id").to_numpy()
+        words = Words(text_bytes(batch))
         at = anchors_of(words, length)
         text = words.text[at]
-        seq, seq2 = words.whole(WORD_BASES[0]), words.whole(WORD_BASES[1])
         pos = at - words.first[text]
         to_right, to_left = words.left[at] >= half, pos >= half - short
         right, left = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
@@ -137,32 +131,30 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
         left[to_left] = words.windows(at[to_left] - (half - short), half)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(ids[text]),
-                pa.array(signed(seq)[text]),
-                pa.array((seq2[text] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                *(batch.column(name).take(pa.array(text)) for name in ("doc_id", "key", "key2")),
                 pa.array(pos.astype(np.int32)),
                 pa.array(signed(words.windows(at, short))),
                 pa.array(signed(right), mask=~to_right),
                 pa.array(signed(left), mask=~to_left),
             ],
-            ["doc_id", "seq", "seq2", "pos", "h", "right", "left"],
+            ["doc_id", "key", "key2", "pos", "h", "right", "left"],
         )
 
-    return map_batches(id_and_text(docs).where("doc_id is not null"), work, ANCHORS)
+    return map_batches(keyed(docs).where("doc_id is not null").withColumn("key2", F.hash("text")), work, ANCHORS)
 
 
-def repeated(windows: DataFrame, key: str, limit: int) -> DataFrame:
+def repeated(windows: DataFrame, by: str, limit: int) -> DataFrame:
     """The rows whose window stands in different texts."""
-    sums = windows.groupBy(key).agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")).select(key, "n", (F.col("low") < F.col("high")).alias("use"))
-    return join_back(windows, write_cut(sums.where(F.col("use") | (F.col("n") >= limit))), [key], limit, "left_semi")
+    sums = windows.groupBy(by).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).select(by, "n", (F.col("low") < F.col("high")).alias("use"))
+    return join_back(windows, write_cut(sums.where(F.col("use") | (F.col("n") >= limit))), [by], limit, "left_semi")
 
 
 def full_windows(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
-    """doc_id, pos, w1, w2: all windows of `length` words around the half windows of `around` (doc_id, halves)."""
+    """doc_id, key, pos, w1, w2: all windows of `length` words around the half windows of `around` (doc_id, key, halves)."""
     half = (length + 1) // 2
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, ids = Words(text_bytes(batch)), batch.column("doc_id").to_numpy()
+        words = Words(text_bytes(batch))
         mark = np.zeros(len(words.hash) + 1, dtype=np.int32)
         halves = batch.column("halves")
         at = halves.flatten().to_numpy() + np.repeat(words.first[:-1], np.asarray([len(h) for h in halves], dtype=np.int64))
@@ -173,31 +165,36 @@ def full_windows(docs: DataFrame, around: DataFrame, length: int) -> DataFrame:
         text = words.text[at]
         w2 = (words.windows(at, length, WORD_BASES[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[text]), pa.array((at - words.first[text]).astype(np.int32)), pa.array(signed(words.windows(at, length))), pa.array(w2)],
-            ["doc_id", "pos", "w1", "w2"],
+            [*(batch.column(name).take(pa.array(text)) for name in ("doc_id", "key")), pa.array((at - words.first[text]).astype(np.int32)), pa.array(signed(words.windows(at, length))), pa.array(w2)],
+            ["doc_id", "key", "pos", "w1", "w2"],
         )
 
-    return map_batches(id_and_text(docs).join(around, "doc_id").select("doc_id", "text", "halves"), work, "doc_id long, pos int, w1 long, w2 int")
+    return map_batches(keyed(docs).join(around, ["doc_id", "key"]).select("doc_id", "key", "text", "halves"), work, "doc_id long, key long, pos int, w1 long, w2 int")
 
 
 def later_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and starts: of each document with any, the places of windows that also start in a document with a smaller id.
-    -1 stands for all of a document that repeats an earlier one whole."""
+    """doc_id, key and starts: of each text with any, the places of windows that also start in a document with a smaller id.
+    -1 stands for all of a text that repeats an earlier document's whole."""
     short, half = (length + 3) // 4, (length + 1) // 2
     anchors = write_cut(find_anchors(docs, length))
     limit = hot_limit(anchors.count())
-    texts = write_cut(anchors.select("doc_id", "seq", "seq2").distinct())
-    firsts = texts.groupBy("seq", "seq2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("use")).where("n > 1")
-    copies = write_cut(join_back(texts, firsts, ["seq", "seq2"], hot_limit(texts.count())).where("doc_id > first").select("doc_id"))
+    texts = write_cut(anchors.select("doc_id", "key", "key2").distinct())
+    firsts = texts.groupBy("key", "key2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("use")).where("n > 1")
+    copies = write_cut(join_back(texts, firsts, ["key", "key2"], hot_limit(texts.count())).where("doc_id > first").select("doc_id", "key"))
+    release(texts)
     sides = F.array(F.struct(F.col("right").alias("w"), F.col("pos").alias("half")), F.struct(F.col("left").alias("w"), (F.col("pos") - (half - short)).alias("half")))
-    doubled = write_cut(repeated(anchors, "h", limit).select("doc_id", "seq", F.explode(sides).alias("e")).select("doc_id", "seq", "e.w", "e.half").where("w is not null"))
-    around = repeated(doubled, "w", limit).groupBy("doc_id").agg(F.collect_set("half").alias("halves")).join(copies, "doc_id", "left_anti")
+    doubled = write_cut(repeated(anchors, "h", limit).select("doc_id", "key", F.explode(sides).alias("e")).select("doc_id", "key", "e.w", "e.half").where("w is not null"))
+    release(anchors)
+    around = repeated(doubled, "w", limit).groupBy("doc_id", "key").agg(F.collect_set("half").alias("halves")).join(copies, ["doc_id", "key"], "left_anti")
     windows = write_cut(full_windows(docs, around, length))
+    release(doubled)
     limit = hot_limit(windows.count())
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     first = write_cut(first.select("w1", "w2", "first", "n", (F.col("first") < F.col("last")).alias("use")).where(F.col("use") | (F.col("n") >= limit)))
-    later = join_back(windows, first, ["w1", "w2"], limit).where("doc_id > first").select("doc_id", "pos")
-    return later.unionByName(copies.select("doc_id", F.lit(-1).alias("pos"))).groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    later = join_back(windows, first, ["w1", "w2"], limit).where("doc_id > first").select("doc_id", "key", "pos")
+    starts = write_cut(later.unionByName(copies.select("doc_id", "key", F.lit(-1).alias("pos"))).groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts")))
+    release(windows, first, copies)
+    return starts
 
 
 def kept_words(words: list[bytes], starts: list[int] | None, length: int) -> list[bytes]:
@@ -228,22 +225,21 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
         )
 
-    joined = id_and_text(docs).join(later_starts(docs, length), "doc_id", "left").select("doc_id", "text", "starts")
+    joined = keyed(docs).join(later_starts(docs, length), ["doc_id", "key"], "left").select("doc_id", "text", "starts")
     return map_batches(joined, work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs`, all columns, with covered words cut out of `text`; texts that lose none stay as they are, to the byte."""
-    starts = later_starts(docs, length).withColumnRenamed("doc_id", "cut_id")
-    names = docs.columns
-    joined = docs.join(starts, docs["doc_id"] == starts["cut_id"], "left").select(*(docs[n] for n in names), starts["starts"].alias("cut_starts"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.struct(*(docs[n] for n in docs.columns)).alias("row"))
+    joined = own.join(later_starts(docs, length), ["doc_id", "key"], "left").select("row", "starts")
+    names, place = docs.columns, docs.columns.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, starts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cut_starts").to_pylist()):
-            out.append(b" ".join(kept_words(text.split(), starts, length)) if text and starts else text)
-        place = batch.schema.get_field_index("text")
-        return batch.set_column(place, "text", pa.array(out, pa.binary()).cast(pa.string())).select(names)
+        columns = batch.column("row").flatten()
+        cut = [b" ".join(kept_words(t.split(), starts, length)) if t and starts else t for t, starts in zip(columns[place].cast(pa.binary()).to_pylist(), batch.column("starts").to_pylist())]
+        columns[place] = pa.array(cut, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return map_batches(joined, work, docs.schema)
 
