@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding: the tokenizers library over Arrow batches.
 
 Encoding splits a text at the pre-token pattern, gives each distinct pre-token of a slice to the library once, and
-strings the ids of the occurrences together; every token carries its character offsets in the text. Decoding reverses the byte table: ids
-become bytes, and bytes become characters, also where one character was split over several tokens.
+strings the ids of the occurrences together. Every token's character offsets in the text follow from the byte lengths of the
+tokens before it and the characters that its bytes belong to. Decoding reverses the byte table: ids become bytes, and bytes
+become characters, also where one character was split over several tokens.
 
 A null or empty text has no tokens and decodes to the empty text. Very long texts are encoded whole. Repeated rows and
 rows with a null id are encoded each for itself; further columns are ignored. An empty table gives an empty table.
@@ -21,11 +22,11 @@ import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from glyphshift.llm._shared import id_and_text, map_batches, texts
+from glyphshift.llm._shared import id_and_text, map_batches, text_bytes
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Rows, and bytes of text, that are encoded together where only digests are returned; ids themselves take more memory.
-ROWS, BYTES = 10_000, 16_000_000
+ROWS, BYTES = 10_000, 8_000_000
 #: A space at an end of the text, or beside other white space.
 ODD_SPACE = r"^ |[\p{Z}\t\n\v\f\r\x{85}] | [\p{Z}\t\n\v\f\r\x{85}]| $"
 
@@ -137,15 +138,9 @@ class Codec:
 
     def offsets(self, batch: list[str]) -> list[tuple[list[int], list[int]]]:
         """Character offsets of each text's tokens: starts and ends. Tokens of one split character share its offsets."""
-        out = []
-        for text, ids in zip(batch, self.ids(batch)):
-            # A character begins at each byte that continues none; a token's characters are those its bytes belong to.
-            raw = np.frombuffer(text.encode(), dtype=np.uint8)
-            char = np.cumsum((raw & 0xC0) != 0x80) - 1
-            last = np.cumsum(self.byte_length[np.asarray(ids, dtype=np.int64)])
-            begin = last - self.byte_length[np.asarray(ids, dtype=np.int64)]
-            out.append((char[begin].tolist(), (char[last - 1] + 1).tolist()))
-        return out
+        done = self.encode_texts(pa.array(batch, pa.string()))
+        starts, ends = (done.by_text(places).to_pylist() for places in done.offsets([t.encode() for t in batch]))
+        return list(zip(starts, ends))
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -163,10 +158,32 @@ class Encoded:
         ends = np.concatenate([[0], np.cumsum(counts[codes])])
         self.n_tokens = np.diff(ends[np.cumsum(sizes)], prepend=0).astype(np.int64)
 
-    def ids(self) -> pa.ListArray:
+    def flat_ids(self) -> np.ndarray:
         starts = np.cumsum(self.counts) - self.counts
-        every = take_ranges(self.flat, starts[self.codes], self.counts[self.codes])
-        return pa.ListArray.from_arrays(bounds(self.n_tokens), pa.array(every.astype(np.int32)))
+        return take_ranges(self.flat, starts[self.codes], self.counts[self.codes])
+
+    def by_text(self, values: np.ndarray) -> pa.ListArray:
+        """A value for each token as a list for each text."""
+        return pa.ListArray.from_arrays(bounds(self.n_tokens), pa.array(values.astype(np.int32, copy=False)))
+
+    def ids(self) -> pa.ListArray:
+        return self.by_text(self.flat_ids())
+
+    def offsets(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """First character of each token, and the one after its last, counted in its text; `rows` are the texts as UTF-8."""
+        raw = np.frombuffer(b"".join(rows), dtype=np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)  # characters begun up to each byte
+        sizes = self.own.byte_length[self.flat_ids()]
+        last = np.cumsum(sizes)
+        ends = np.cumsum([0, *map(len, rows)])[:-1]
+        before = np.repeat(np.where(ends > 0, char[ends - 1] if len(char) else 0, 0), self.n_tokens)
+        return char[last - sizes] - 1 - before, char[last - 1] - before
+
+    def offset_digests(self, rows: list[bytes]) -> list[str]:
+        """SHA-256 of each text's starts, then its ends, as little-endian 32-bit numbers."""
+        starts, ends = (places.astype("<i4", copy=False) for places in self.offsets(rows))
+        at = bounds(self.n_tokens)
+        return [hashlib.sha256(starts[a:b].tobytes() + ends[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])]
 
     def joined(self, of_id: pa.Array, by: str | bytes) -> list:
         """Each text's ids as `of_id` has them, joined: first in the distinct chunks, then in the texts."""
@@ -189,20 +206,18 @@ def codec(path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str = RANKS, offsets: bool = True) -> DataFrame:
-    """doc_id, ids and, if asked for, starts and ends (character offsets) of every text."""
-    ints = pa.list_(pa.int32())
+def encode(docs: DataFrame, path: str = RANKS, decoded: bool = False) -> DataFrame:
+    """doc_id, ids, starts and ends (character offsets) of every text and, if asked for, `text`: what its ids decode to."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(path)
-        columns = {"doc_id": batch.column("doc_id"), "ids": own.encode_texts(batch.column("text")).ids()}
-        if offsets:
-            places = own.offsets(texts(batch))
-            columns |= {"starts": pa.array([o[0] for o in places], ints), "ends": pa.array([o[1] for o in places], ints)}
+        done = codec(path).encode_texts(batch.column("text"))
+        starts, ends = done.offsets(text_bytes(batch))
+        columns = {"doc_id": batch.column("doc_id"), "ids": done.ids(), "starts": done.by_text(starts), "ends": done.by_text(ends)}
+        if decoded:
+            columns["text"] = pa.array(done.decoded(), pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return map_batches(id_and_text(docs), work, schema)
+    return map_batches(id_and_text(docs), work, "doc_id long, ids array<int>, starts array<int>, ends array<int>" + ", text string" * decoded)
 
 
 def decode(tokens: DataFrame, path: str = RANKS) -> DataFrame:
@@ -218,14 +233,16 @@ def decode(tokens: DataFrame, path: str = RANKS) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text: encoded, then decoded from the ids, chunk by chunk."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and offsets_sha256 of every text: encoded, then decoded from the ids, chunk
+    by chunk. The last is the digest of all tokens' starts, then ends, as little-endian 32-bit numbers."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
         done = own.encode_texts(batch.column("text"))
         digests = [[hashlib.sha256(x).hexdigest() for x in column] for column in ((d.encode() for d in done.decimals()), done.decoded())]
+        digests.append(done.offset_digests(text_bytes(batch)))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(done.n_tokens), *(pa.array(d, pa.string()) for d in digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            [batch.column("doc_id"), pa.array(done.n_tokens), *(pa.array(d, pa.string()) for d in digests)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"]
         )
 
-    return map_batches(id_and_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ROWS, BYTES)
+    return map_batches(id_and_text(docs), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string", ROWS, BYTES)

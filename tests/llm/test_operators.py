@@ -362,7 +362,7 @@ def test_bpe(spark, odd, none):
 
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.RANKS), special_tokens={})
     want = Counter((i, len(ids := own.encode_ordinary(t or "")), sha(" ".join(map(str, ids))), sha(t or "")) for i, t in ODD)
-    assert Counter(rows(bpe.round_trip_digests(odd))) == want and bpe.round_trip_digests(none).count() == 0
+    assert Counter(rows(bpe.round_trip_digests(odd).drop("offsets_sha256"))) == want and bpe.round_trip_digests(none).count() == 0
     encoded = bpe.encode(odd)
     assert Counter((r.doc_id, r.text) for r in bpe.decode(encoded).collect()) == Counter((i, t or "") for i, t in ODD)
     for r in encoded.collect():
