@@ -29,8 +29,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the token ids of every document."""
-    return bpe.encode(docs, offsets=False)
+    """doc_id, the token ids of every document, their character offsets, and the text that the ids decode to."""
+    return bpe.encode(docs, decoded=True)
 
 
 STAGES = [
