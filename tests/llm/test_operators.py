@@ -56,7 +56,8 @@ def test_temperature_and_index_vectors():
     logits = np.asarray([4.0, -4.0, 4.0, -4.0] * 50)
     y = np.asarray([1, 0, 0, 1] * 50)
     assert quality.fit_temperature(logits, y) > 4
-    assert (quality.index_vector("a") == quality.index_vector("a")).all() and np.abs(quality.index_vector("a")).sum() <= quality.NONZERO
+    one, two = quality.index_vectors(["a", "b"]), quality.index_vectors(["b", "a"])
+    assert (one == two[::-1]).all() and (np.abs(one).sum(axis=1) <= quality.NONZERO).all() and (one[0] != one[1]).any()
 
 
 # 2
