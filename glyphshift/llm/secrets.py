@@ -6,8 +6,8 @@ cheapest way to cut it into dictionary words, dates, repeats, keyboard walks and
 in powers of ten, that an attacker needs. A value that costs at least `min_guesses` is a span of kind `guess`; cheap
 values ("password", "aaaaaaaa", "qwerty123") are placeholders and add none. Base spans always stay.
 
-A null or empty text has no spans. Long texts are scanned whole, and a value of any length is priced in linear time.
-Repeated rows are scanned each for itself; further columns are ignored; an empty table gives an empty table.
+A null or empty text has no spans. Long texts are scanned whole. Of the places where a repeat or walk may begin only those
+are kept that can still win, so that long values are priced in about linear time. Repeated rows are scanned each for itself; further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ CONTEXTS = [
     re.compile(f"({any_case('password|passwd|secret|token|api_?key')})[\"']?\\x20*[:=]\\x20*[\"']?((?<=\")[^\"\\s]+|(?<=')[^'\\s]+|[^\"'\\s]\\S*)"),
     re.compile(f"({any_case('pwd|passphrase|passcode|credential|private_?key|access_?key|auth')})[\"']?\\x20*[:=]\\x20*[\"']?([!-~]+)"),
     re.compile(f"({any_case('authorization')})[\"']?\\x20*[:=]\\x20*[\"']?(?:{any_case('bearer|basic')})\\x20+({VALUE})"),
-    re.compile("([A-Za-z][A-Za-z0-9+.-]{1,15}://[^\\s/:@]{1,64}):([^\\s/@]+)@"),
+    re.compile("(?<=[A-Za-z0-9])://([^\\s/:@]+):([^\\s/@]+)@"),
 ]
 
 
@@ -90,7 +90,14 @@ def next_keys() -> set[str]:
     return pairs | {p[::-1] for p in pairs}
 
 
-DATE = re.compile(r"(?:(?:19|20)\d\d[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)?\d\d|(?:19|20)\d\d)")
+CENTURY, YEAR, MONTH, DAY, PART = "(?:19|20)", "\\d\\d", "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12]\\d|3[01])", "[-./]?"
+#: Years and dates, each of one length at one place, and the guesses that they take.
+DATES = [
+    (re.compile(CENTURY + YEAR, re.ASCII), 150),
+    (re.compile(CENTURY + YEAR + PART + MONTH + PART + DAY, re.ASCII), 150 * 366),
+    (re.compile(DAY + PART + MONTH + PART + CENTURY + YEAR, re.ASCII), 150 * 366),
+    (re.compile(DAY + PART + MONTH + PART + YEAR, re.ASCII), 150 * 366),
+]
 
 
 def brute_cost(char: str) -> float:
@@ -102,40 +109,62 @@ def brute_cost(char: str) -> float:
     return math.log10(33) if char.isascii() else 2.0
 
 
+class Starts:
+    """Places where a piece that ends here may begin, whose cost grows by log10 of its length: only those that can still win.
+    A place that loses to an earlier one has lost for good, as the later one's lead by length only shrinks."""
+
+    def __init__(self):
+        self.places: list[tuple[int, float]] = []
+
+    def least(self, end: int) -> float:
+        """The cheapest of the pieces of three characters or more."""
+        best, kept = math.inf, []
+        for at, cost in self.places:
+            if end - at < 3:
+                kept.append((at, cost))
+            elif (own := cost + math.log10(end - at)) < best:
+                best = own
+                while kept and kept[-1][1] >= cost:  # earlier and no cheaper to come to
+                    kept.pop()
+                kept.append((at, cost))
+        self.places = kept
+        return best
+
+
 def guess_cost(value: str) -> float:
     """log10 of the guesses for `value` at the cheapest segmentation. best[i] is that of the first i characters."""
     words, longest = lexicon()
     walks, low = next_keys(), value.lower()
+    if len(low) != len(value):  # a letter whose small form is longer stays as it is
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     n = len(value)
     best = [0.0] + [math.inf] * n
-    repeat = walk = 0  # where the run of one character, or the walk, that ends here began
-    dates: dict[int, list[int]] = {}
+    repeats, strolls = Starts(), Starts()
+    dates: dict[int, list[tuple[int, int]]] = {}
     for start in range(n):
-        if value[start].isdigit() and (m := DATE.match(value, start)):
-            dates.setdefault(m.end(), []).append(start)
-            if m.end() - start > 4 and value[start : start + 2] in ("19", "20"):
-                dates.setdefault(start + 4, []).append(start)
+        if value[start].isdigit():
+            for pattern, guesses in DATES:
+                if m := pattern.match(value, start):
+                    dates.setdefault(m.end(), []).append((start, guesses))
     # A piece costs its own guesses, and a little for there being one more piece.
     piece = math.log10(2)
     for end in range(1, n + 1):
         at = end - 1
         if at and low[at] != low[at - 1]:
-            repeat = at
+            repeats = Starts()
         if at and low[at - 1 : end] not in walks:
-            walk = at
+            strolls = Starts()
+        repeats.places.append((at, best[at]))
+        strolls.places.append((at, best[at]))
         cost = best[at] + brute_cost(value[at])
         for start in range(max(0, end - longest), end - 2):
-            word = plain[start:end]
-            if (rank := words.get(word)) is not None or (rank := words.get(low[start:end])) is not None:
-                own = value[start:end]
-                cost = min(cost, best[start] + piece + rank + (0 if own == low[start:end] else 0.5) + (0 if word == low[start:end] else 0.5))
-        if end - repeat >= 3:
-            cost = min(cost, best[repeat] + piece + brute_cost(value[at]) + math.log10(end - repeat))
-        if end - walk >= 3:
-            cost = min(cost, best[walk] + piece + math.log10(len(KEY_ROWS) * 12) + math.log10(end - walk))
-        for start in dates.get(end, ()):
-            cost = min(cost, best[start] + piece + (math.log10(150) if end - start == 4 else math.log10(150 * 366)))
+            for word, leet in ((low[start:end], False), (plain[start:end], True)):
+                if (rank := words.get(word)) is not None and not (leet and word == low[start:end]):
+                    cost = min(cost, best[start] + piece + rank + 0.5 * (value[start:end] != low[start:end]) + 0.5 * leet)
+        cost = min(cost, repeats.least(end) + piece + brute_cost(value[at]), strolls.least(end) + piece + math.log10(len(KEY_ROWS) * 12))
+        for start, guesses in dates.get(end, ()):
+            cost = min(cost, best[start] + piece + math.log10(guesses))
         best[end] = cost
     return best[n]
 
