@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import cut
+from glyphshift.llm._shared import release, write_cut
 
 
 def star(pairs: DataFrame) -> DataFrame:
@@ -24,18 +24,21 @@ def state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) to (node, least): of every node with an edge, the least node that it reaches."""
+    """edges (a, b) to (node, least), a written table: of every node with an edge, the least node that it reaches."""
     clean = lambda df: df.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = cut(clean(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    now = write_cut(clean(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     seen = state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = clean(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(clean(star(large)))
+        before, now = now, write_cut(clean(star(large)))
+        release(before)
         if (then := state(now)) == seen:
             break
         seen = then
     # Every edge now points at the least node of its component.
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(roots)
+    found = write_cut(now.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(roots))
+    release(now)
+    return found

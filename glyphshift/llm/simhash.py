@@ -1,16 +1,20 @@
-"""SimHash near-duplicates: fingerprints, candidate buckets, pivot distance tables, verification, components.
+"""SimHash near-duplicates: fingerprints, pivot distance tables, verification, components.
 
 Equal fingerprints are put together first. Two fingerprints within three bits agree on at least two of five blocks of
 bits, so each fingerprint is dealt to ten buckets, one for each pair of blocks, and no link is lost. In a bucket, the
-distances to fixed reference fingerprints are tabulated once: the difference of two table rows never exceeds the distance
-of the two fingerprints, so a pair with a coordinate that differs by more than three is discarded, and only survivors are
-verified. A bucket hands on links that join what was apart (a forest), never all of its pairs.
+distances to many fixed reference fingerprints (pivots) are tabulated once. They differ by no more than the distance of the
+two fingerprints, so a bucket is put in order of the distances to one pivot, of a large bucket to that which leaves the fewest
+pairs, and a pair is enumerated only if it stands within three there. Of these, a pair with any coordinate that differs by more
+than three is discarded, and only survivors are verified. A bucket hands on links that join what was apart (a forest), never
+all of its pairs.
 
 Buckets above `chunk` fingerprints are split into chunks, and each pair of chunks is compared in a group of its own, so no
-group holds more than two chunks, and all pairs are still compared.
+group holds more than two chunks, and all pairs are still judged. Very common fingerprints and very large buckets meet a
+bounded broadcast table where they lie.
 
 A null or empty text has fingerprint zero and is linked like any other. Repeated rows get a row each. A row without an id
-is fingerprinted and links others, but is no smallest id; where a group has no id at all, component_id is null.
+is fingerprinted and links others, but is no smallest id; where a group has no id at all, component_id is null. Further
+columns, whatever their names, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import cut, id_and_text, map_batches, text_bytes
+from glyphshift.llm._shared import hot_limit, id_and_text, join_back, map_batches, release, text_bytes, write_cut
 from glyphshift.llm.components import components
 
 SHINGLE = 3
@@ -68,56 +72,76 @@ def bucket_keys(fp: str = "fp"):
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
 
 
-class Forest:
-    """Union by the lower root, over places in a batch."""
+#: Fingerprints from which on a group is ordered by a pivot of its own.
+LARGE = 64
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
 
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+def best_pivot(table: np.ndarray, distance: int) -> int:
+    """The pivot at which the fewest pairs stand within `distance`."""
+    counts = np.stack([np.bincount(column, minlength=65) for column in table.T]).astype(np.float64)
+    upto = np.cumsum(counts, axis=1)
+    near = upto[:, np.minimum(np.arange(65) + distance, 64)] - upto
+    return int(np.argmin((counts * (counts - 1) / 2 + counts * near).sum(axis=1)))
 
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
 
-
-def group_links(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Places of linked fingerprints: a forest for each group. `group` is sorted; pairs are compared at growing offsets."""
-    table, forest, out = pivot_table(fps), Forest(len(fps)), []
+def group_links(group: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Places of linked fingerprints, a forest for each group; and the pairs that are all of the groups', were enumerated,
+    passed the pivots, and were verified. `group` is sorted; in its pivot's order, pairs are compared at growing offsets."""
+    n, table = len(fps), pivot_table(fps)
     _, first, size = np.unique(group, return_index=True, return_counts=True)
-    left = np.repeat(size, size) - (np.arange(len(fps)) - np.repeat(first, size))  # places from here to the end of the group
-    labels = np.arange(len(fps))
-    at, offset = np.arange(len(fps)), 1
-    while len(at := at[left[at] > offset]):
-        i = at[labels[at] != labels[at + offset]]
+    by = np.zeros(n, dtype=np.int64)
+    for start, many in zip(first[size > LARGE], size[size > LARGE]):
+        by[start : start + many] = best_pivot(table[start : start + many], distance)
+    order = np.lexsort((table[np.arange(n), by], group))
+    fps, table = fps[order], table[order]
+    line = table[np.arange(n), by[order]]
+    left = np.repeat(size, size) - (np.arange(n) - np.repeat(first, size))  # places from here to the end of the group
+    root, out = np.arange(n), []
+    counts = np.asarray([(size * (size - 1) // 2).sum(), 0, 0, 0], dtype=np.int64)
+    at, offset = np.arange(n), 1
+    while len(at := at[left[at] > offset]) and len(at := at[line[at + offset] - line[at] <= distance]):
+        i = at[root[at] != root[at + offset]]
+        counts[1] += len(i)
         i = i[np.abs(table[i] - table[i + offset]).max(axis=1, initial=0) <= distance]
+        counts[2] += len(i)
         i = i[np.bitwise_count(fps[i] ^ fps[i + offset]) <= distance]
-        joined = [(a, a + offset) for a in i.tolist() if forest.join(a, a + offset)]
-        if joined:
-            out += joined
-            labels = np.asarray([forest.root(k) for k in range(len(fps))])
+        counts[3] += len(i)
+        for a in i.tolist():
+            low, high = sorted((find(root, a), find(root, a + offset)))
+            if low != high:
+                root[high] = low
+                out.append((int(order[a]), int(order[a + offset])))
+        if len(i):
+            while (root != (root := root[root])).any():
+                pass
         offset += 1
-    return out
+    return out, counts
 
 
-def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): enough links between the distinct fingerprints `fp` that all components come out."""
+def find(root: np.ndarray, i: int) -> int:
+    while root[i] != i:
+        i = root[i]
+    return i
+
+
+def bucket_groups(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """fp, bucket, low, high: the groups in which the distinct fingerprints `fp` are compared, each sorted in one partition."""
     dealt = distinct.select("fp", F.explode(bucket_keys()).alias("bucket"))
-    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = dealt.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    sizes = write_cut(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumns({"members": F.col("n"), "use": F.lit(True)}))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = join_back(dealt, sizes, ["bucket"], hot_limit(total)).withColumn("chunks", F.ceil(F.col("members") / chunk).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(own, k).alias("low"), F.greatest(own, k).alias("high")))
     groups = members.select("fp", "bucket", F.explode(pairs).alias("pair")).select("fp", "bucket", "pair.low", "pair.high")
-    groups = groups.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "fp")
+    return groups.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "fp")
+
+
+def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): enough links between the distinct fingerprints `fp` that all components come out; and a row with neither for
+    each batch of groups: all pairs of its groups, those enumerated, those that passed the pivots, and those verified."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -132,12 +156,22 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
             if ready is None or not ready.num_rows:
                 continue
             fps = ready.column("fp").to_numpy()
-            found = group_links(group_codes(ready), fps.view(np.uint64))
-            if found:
-                a, b = np.asarray(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
+            found, counts = group_links(group_codes(ready), fps.view(np.uint64))
+            a, b = np.asarray(found, dtype=np.int64).reshape(-1, 2).T
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b]), none, none, none, none], COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([c]) for c in counts.tolist())], COUNTED)
+
+    return bucket_groups(distinct, chunk).mapInArrow(work, ", ".join(f"{n} long" for n in COUNTED))
+
+
+COUNTED = ["a", "b", "pairs", "enumerated", "passed", "verified"]
+
 
-    return groups.mapInArrow(work, "a long, b long")
+def pair_counts(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row: all pairs in the buckets, those enumerated in the pivots' order, those that passed all pivots, those verified."""
+    found = links(fingerprints(docs).select("fp").distinct(), chunk)
+    return found.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in COUNTED[2:]))
 
 
 def chain_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -157,12 +191,15 @@ def group_codes(table: pa.Table) -> np.ndarray:
 
 def classes(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """doc_id, fp, component_id of every document row."""
-    prints = cut(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = components(links(distinct.select("fp"), chunk))
-    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least_id", F.coalesce("least", "fp").alias("root"))
+    prints = write_cut(fingerprints(docs))
+    distinct = write_cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    found = components(links(distinct.select("fp"), chunk).where("a is not null").select("a", "b"))
+    named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", "n", F.coalesce("least", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    keyed = write_cut(named.join(ids, "root").select("fp", "component_id", "n", F.lit(True).alias("use")))
+    total = prints.count()
+    release(distinct, found)
+    return join_back(prints, keyed, ["fp"], hot_limit(total)).select("doc_id", "fp", "component_id")
 
 
 def report(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -173,6 +210,6 @@ def report(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def keep_one(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """`docs`, all columns: of each component the document with the smallest id. Rows without an id, and repeated
     rows of the id that stays, stay."""
-    marked = classes(docs, chunk).where("doc_id is not null")
-    gone = marked.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = classes(docs, chunk).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct(*(docs[n] for n in docs.columns)).alias("row"))
+    return own.join(gone, F.col("own_id") == F.col("gone_id"), "left_anti").select("row.*")

@@ -1,6 +1,10 @@
 """Ids that stand on several texts, and columns whose names clash with the operators' own."""
 
-from glyphshift.llm import lines, substrings
+import random
+
+import numpy as np
+
+from glyphshift.llm import lines, simhash, substrings
 
 from .test_operators import brute_runs, sha
 
@@ -59,3 +63,42 @@ def test_winnowing_selects_fewer_lines_than_windows(spark):
     assert 0.4 < selected.count() / (50 * 38) < 0.65
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in lines.report(spark.createDataFrame(docs, "doc_id long, text string"), words=lines.WORDS).collect()}
     assert got == brute_runs(docs, lines.SIZE, lines.WORDS)
+
+
+def test_pivots_enumerate_fewer_pairs_and_lose_no_link():
+    rng = random.Random(13)
+    for size in (2, 50, 700):
+        values = sorted({c ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) & (2**64 - 1) for c in [rng.getrandbits(64) for _ in range(5)] for _ in range(size // 5 + 1)} | {rng.getrandbits(64) for _ in range(size)})
+        fps = np.asarray(values, dtype=np.uint64)
+        group = np.sort(np.asarray([rng.randrange(3) for _ in values]))
+        found, (pairs, enumerated, passed, verified) = simhash.group_links(group, fps)
+        want = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if group[i] == group[j] and (values[i] ^ values[j]).bit_count() <= 3]
+        assert connected(len(fps), found) == connected(len(fps), want)
+        assert pairs == sum(n * (n - 1) // 2 for n in np.bincount(group)) and pairs >= enumerated >= passed >= verified >= len(found)
+        assert enumerated < 0.7 * pairs or size < 50
+
+
+def connected(n, pairs):
+    root = list(range(n))
+    for a, b in pairs:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    out = []
+    for i in range(n):
+        while root[i] != i:
+            i = root[i]
+        out.append(i)
+    return out
+
+
+def test_fingerprints_that_many_rows_share(spark):
+    rows = [(k, "") for k in range(400)] + [(1000 + k, "one and the same text of a hot group") for k in range(400)] + [(2000, "another text altogether that is on its own here"), (None, None)]
+    got = {(r.component_id, r.fingerprint == "0" * 16): 0 for r in simhash.report(frame(spark, rows)).collect()}
+    assert set(got) == {(0, True), (1000, False), (2000, False)}
+    kept = simhash.keep_one(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "1000", "2000", "None"])
+    counts = simhash.pair_counts(frame(spark, rows)).first()
+    assert counts.pairs >= counts.enumerated >= counts.passed >= counts.verified
