@@ -303,18 +303,53 @@ def test_fingerprint_is_xxhash_majority(spark):
 # 7
 
 
+def brute_preferences(said):
+    """Pairs by opening and by number, turn by turn."""
+    turns = defaultdict(dict)
+    for conv, turn, role, text, *_ in said:
+        if conv is not None and turn is not None:
+            own = (role or "unknown", text or "") if role is not None else ("unknown", text or "")
+            turns[conv][turn] = min(turns[conv].get(turn, own), own)
+    openings = defaultdict(list)
+    for conv in turns:
+        if 0 in turns[conv]:
+            openings[turns[conv][0]].append(conv)
+    pairs = {(min(g), c) for g in openings.values() for c in g if c > min(g)} | {(c, c + 1) for c in turns if c % 2 == 0 and c + 1 in turns}
+    out = []
+    for a, b in pairs:
+        every = sorted(turns[a].keys() | turns[b].keys())
+        parting = next((t for t in every if turns[a].get(t) != turns[b].get(t)), None)
+        for piece in sorted({t // 4096 for t in every}):
+            here = [t for t in every if t // 4096 == piece]
+            common = [turns[a][t] for t in here if parting is None or t < parting]
+            sides = [[turns[c][t] for t in here if parting is not None and t >= parting and t in turns[c]] for c in (a, b)]
+            text = lambda part: "".join(f"{chat.START}{r}\n{x}{chat.END}" for r, x in part)
+            row = [a, b, piece, text(common)]
+            for side in sides:
+                ends = np.cumsum([0] + [len(text([t])) for t in side]).tolist()
+                row += [text(side), ",".join(f"{s}:{e}" for (r, _), s, e in zip(side, ends, ends[1:]) if r == "assistant")]
+            out.append(tuple(row))
+    return sorted(out, key=repr)
+
+
 def test_preferences(spark):
-    said = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (1, 0, "user", "hi"), (1, 1, "assistant", "go away"), (1, 2, "user", "why"), (2, 0, "user", "x"), (3, 0, "user", "x"), (4, 0, None, None), (5, 0, None, None), (5, 1, "assistant", None), (1, 1, "assistant", "go away"), (None, 0, "user", "lost"), (7, None, "user", "lost")]
-    talks = spark.createDataFrame([(*s, "x") for s in said], "conv_id long, turn long, role string, text string, said string")
-    got = {(r.chosen, r.rejected, r.part, r.turn): (r.rendered, r.trained) for r in chat.report(talks).collect()}
-    assert got[(0, 1, "prompt", 0)] == (f"{chat.START}user\nhi{chat.END}", False)
-    assert got[(0, 1, "chosen", 1)] == (f"{chat.START}assistant\nhello{chat.END}", True)
-    assert got[(0, 1, "rejected", 1)][1] and not got[(0, 1, "rejected", 2)][1]
-    assert {k[2] for k in got if k[:2] == (2, 3)} == {"prompt"} and (4, 5, "rejected", 1) in got
-    assert chat.report(talks.limit(0)).count() == 0
-    whole = {(r.chosen, r.rejected, r.part): r for r in chat.assemble(chat.report(talks)).collect()}
-    r = whole[(0, 1, "rejected")]
-    assert r.text[r.trained[0].start : r.trained[0].end] == got[(0, 1, "rejected", 1)][0] and len(r.trained) == 1
+    schema = "conv_id long, turn long, role string, text string, said string, chosen long, half long, copy int, members long, c long"
+    frame = lambda said: spark.createDataFrame([(*s, "x", 1, 2, 3, 4, 5) for s in said], schema).repartition(3)
+    said = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (1, 0, "user", "hi"), (1, 1, "assistant", "go away"), (1, 2, "user", "why"), (2, 0, "user", "x"), (3, 0, "user", "x"), (4, 0, None, None), (5, 0, None, None), (5, 1, "assistant", None), (1, 1, "assistant", "go away"), (1, 1, "assistant", "z"), (None, 0, "user", "lost"), (7, None, "user", "lost"), (8, 0, "user", "hi"), (9, 0, "user", "é😀"), (9, 1, "assistant", "ü"), (8, 3, "assistant", "late"), (2**60 + 1, 0, "user", "hi"), (2**60 + 1, 1, "assistant", "hello")]
+    got = rows(chat.report(frame(said)))
+    assert got == brute_preferences(said)
+    whole = {r[:2]: r for r in got}
+    assert whole[(0, 1)][3:] == (f"{chat.START}user\nhi{chat.END}", f"{chat.START}assistant\nhello{chat.END}", "0:30", f"{chat.START}assistant\ngo away{chat.END}{chat.START}user\nwhy{chat.END}", "0:32")
+    assert chat.report(frame(said).limit(0)).count() == 0
+    odd = said + [(0, t, "assistant", f"t{t}") for t in range(4090, 4100)] + [(8, t, "user", f"t{t}") for t in range(4095, 4098)] + [(-4, -1, "user", "hi"), (-3, -1, "user", "hi"), (-3, 0, "user", "hi")]
+    assert rows(chat.report(frame(odd))) == brute_preferences(odd)
+
+
+def test_preferences_with_a_common_opening(spark):
+    rng = random.Random(21)
+    said = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["a", "b"]) if t else rng.choice(["one", "one", "one", f"own {c}"])) for c in range(600) for t in range(rng.randint(1, 4))]
+    frame = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    assert rows(chat.report(frame)) == brute_preferences(said)
 
 
 # 8
