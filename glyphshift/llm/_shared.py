@@ -61,7 +61,7 @@ def hot_limit(total: int) -> int:
 def join_back(rows: DataFrame, keyed: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
     """`rows` joined with `keyed`, which has a row for each key: n, the key's rows, and `use`, whether they are wanted. Rows of
     hot keys (n >= limit, a bounded number of keys) meet a broadcast table where they lie; only the others are shuffled."""
-    hot, cold = keyed.where(F.col("n") >= limit), keyed.where((F.col("n") < limit) & F.col("use")).drop("n", "use")
+    hot, cold = keyed.where(F.col("n") >= limit), keyed.where((F.col("n") < limit) & F.col("use")).drop("n", "use").hint("merge")
     near = rows.join(F.broadcast(hot.where("use").drop("n", "use")), keys, how)
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)

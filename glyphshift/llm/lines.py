@@ -132,7 +132,8 @@ def cut_lines(docs: DataFrame, size: int = SIZE, words: int | None = None) -> Da
     """The columns of `docs` as the struct `row`, and kept, n_lines, n_removed: the text that is left, its content lines before, and those deleted."""
     starts = later_windows(docs, size, words).select(F.col("doc_id").alias("cut_id"), F.col("key").alias("cut_key"), F.col("starts").alias("cut_starts"))
     own = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.col("text").cast("string")).alias("own_key"), F.struct(*(docs[n] for n in docs.columns)).alias("row"))
-    joined = own.join(starts, (F.col("own_id") == F.col("cut_id")) & (F.col("own_key") == F.col("cut_key")), "left")
+    # By merge at every size: a broadcast of the few starts of a small table would tell nothing about a large one.
+    joined = own.join(starts.hint("merge"), (F.col("own_id") == F.col("cut_id")) & (F.col("own_key") == F.col("cut_key")), "left")
     text = F.coalesce(F.col("row.text"), F.lit(""))
     lines = split_lines(text)
 

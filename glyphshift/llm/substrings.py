@@ -225,14 +225,14 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"]
         )
 
-    joined = keyed(docs).join(later_starts(docs, length), ["doc_id", "key"], "left").select("doc_id", "text", "starts")
+    joined = keyed(docs).join(later_starts(docs, length).hint("merge"), ["doc_id", "key"], "left").select("doc_id", "text", "starts")
     return map_batches(joined, work, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs`, all columns, with covered words cut out of `text`; texts that lose none stay as they are, to the byte."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.struct(*(docs[n] for n in docs.columns)).alias("row"))
-    joined = own.join(later_starts(docs, length), ["doc_id", "key"], "left").select("row", "starts")
+    joined = own.join(later_starts(docs, length).hint("merge"), ["doc_id", "key"], "left").select("row", "starts")
     names, place = docs.columns, docs.columns.index("text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
