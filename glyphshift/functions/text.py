@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from glyphshift import constants as K
 
 SPACE = f"[{K.SPACE_CLASS}]"
-STRIP = f"^{SPACE}+|{SPACE}+$"
 #: What a tag, an entity, a link look like; the same patterns run in RE2.
 DROPPED = ("pre", "blockquote", "code")
 
@@ -19,7 +18,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), STRIP, "")
+    return F.btrim(col(c), F.lit(K.SPACES))
 
 
 def split_words(c: Column | str) -> Column:

@@ -6,13 +6,15 @@ stay: the state of a replay is (layout, words since the last reset, correctable
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphshift import constants as K
 from glyphshift.functions import text as T
+from glyphshift.operators.joins import hot_limit, join_back
 from glyphshift.operators.ngrams import Models
-from glyphshift.operators.scoring import best_english, prefix_scores
+from glyphshift.operators.scoring import base_score, counts, with_meta
+from glyphshift.session import stored
 
 LINE = ("doc_id", "lang", "line_no")
 
@@ -32,19 +34,32 @@ def word_buffers(words: DataFrame, lang: str = "en") -> DataFrame:
 
 def evaluations(pairs: DataFrame, models: Models, collisions: DataFrame, english: tuple[str, ...] = ("en",)) -> DataFrame:
     """en, he, evals: of each distinct pair of texts of equal length, the evaluations (j, d, coll) in order. j counts from 1:
-    the last is that on the delimiter, those before are at j + 2 characters. d is the Hebrew score less the English one,
-    to nine decimals; coll is whether either text up to there is in the collision set."""
+    the last is that on the delimiter, those before are at j + 2 characters. d is the Hebrew score less the best English one,
+    to nine decimals; coll is whether either text up to there is in the collision set. Every place of a pair is a row that
+    meets the counts of both languages, and the rows are shuffled once, to be summed up along the pair."""
+    longest = collisions.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
     distinct = pairs.select("en", "he").where("length(en) >= 2").distinct()
-    low = distinct.select("en", "he", F.lower("en").alias("low_en"), F.lower("he").alias("low_he"))
-    en = best_english(low.select(F.col("low_en").alias("word")), models, list(english)).select(F.col("word").alias("low_en"), "j", F.col("score").alias("score_en"))
-    he = prefix_scores(low.select(F.col("low_he").alias("word")), models, "he").select(F.col("word").alias("low_he"), "j", F.col("score").alias("score_he"))
-    every = low.join(en, "low_en").join(he, ["low_he", "j"])
+    own = distinct.select("en", "he", F.lower("en").alias("low_en"), F.lower("he").alias("low_he"))
+    sides = {"he": "low_he", **{name: "low_en" for name in english}}
+    for name, low in sides.items():
+        heads = own.withColumn("head", F.concat(F.lit(" "), F.substring(low, 1, 1))).join(counts(models, name, 2, "head", "c2"), "head", "left")
+        own = with_meta(heads, models, name).withColumns({f"base_{name}": base_score(F.col("c2")), f"v_{name}": F.col("v")}).drop("head", "c2", "v", "total")
     size = F.least(F.col("j") + 2, F.length("low_en"))
-    every = every.select("en", "he", "j", F.round(F.col("score_he") - F.col("score_en"), 9).alias("d"), F.substring("low_en", F.lit(1), size).alias("p_en"), F.substring("low_he", F.lit(1), size).alias("p_he"))
-    known = lambda name: collisions.select(F.col("word").alias(name))
-    every = every.join(known("p_en").withColumn("in_en", F.lit(True)), "p_en", "left").join(known("p_he").withColumn("in_he", F.lit(True)), "p_he", "left")
-    flagged = every.select("en", "he", F.struct("j", "d", (F.coalesce("in_en", "in_he").isNotNull()).alias("coll")).alias("e"))
-    return flagged.groupBy("en", "he").agg(F.array_sort(F.collect_list("e")).alias("evals"))
+    prefix = lambda low: F.when(size <= longest, F.substring(low, F.lit(1), size))
+    rows = own.withColumn("j", F.explode(F.sequence(F.lit(1), F.length("low_en") - 1))).withColumns({"p_en": prefix("low_en"), "p_he": prefix("low_he")})
+    for p in ("p_en", "p_he"):
+        rows = rows.join(collisions.select(F.col("word").alias(p), F.lit(True).alias(f"in_{p}")), p, "left")
+    for name, low in sides.items():
+        padded = F.concat(F.lit(" "), low, F.lit(" "))
+        grams = rows.withColumns({"g4": F.substring(padded, F.col("j"), F.lit(4)), "g3": F.substring(padded, F.col("j"), F.lit(3))})
+        met = grams.join(counts(models, name, 4, "g4", "c4"), "g4", "left").join(counts(models, name, 3, "g3", "c3"), "g3", "left")
+        rows = met.withColumn(f"step_{name}", F.ln((F.coalesce("c4", F.lit(0)) + 1) / (F.coalesce("c3", F.lit(0)) + F.col(f"v_{name}")))).drop("g4", "g3", "c4", "c3")
+    along = Window.partitionBy("en", "he").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    total = {name: F.col(f"base_{name}") + F.sum(f"step_{name}").over(along) for name in sides}
+    best = F.greatest(*(total[name] for name in english)) if len(english) > 1 else total[english[0]]
+    slim = rows.select("en", "he", "j", F.coalesce("in_p_en", "in_p_he").isNotNull().alias("coll"), *(f"{part}_{name}" for part in ("base", "step") for name in sides))
+    summed = slim.select("en", "he", F.struct("j", F.round(total["he"] - best, 9).alias("d"), "coll").alias("e"))
+    return summed.groupBy("en", "he").agg(F.array_sort(F.collect_list("e")).alias("evals"))
 
 
 def first_over(evals: Column, sign: Column, threshold: Column) -> Column:
@@ -69,43 +84,64 @@ def line_words(lines: DataFrame) -> DataFrame:
 
 
 EVENT = "struct<w:int,word:string,size:int,correct:boolean,k:int,tail:int,switched:boolean,idx:int,diff:double,fixable:boolean>"
+RECORDS = "array<struct<j:int,d:double>>"
+
+
+def records(evals: Column, sign: float, least: float) -> Column:
+    """Of a word's evaluations those that can be the first over some threshold of `least` or more: each is higher than all
+    before it."""
+    zero = F.struct(F.lit(least).alias("top"), F.array().cast(RECORDS).alias("kept"))
+
+    def step(acc: Column, e: Column) -> Column:
+        d = F.lit(sign) * e["d"]
+        higher = F.struct(d.alias("top"), F.concat(acc["kept"], F.array(F.struct(e["j"].alias("j"), d.alias("d")))).alias("kept"))
+        return F.when(~e["coll"] & (d > acc["top"]), higher).otherwise(acc)
+
+    return F.aggregate(evals, zero, step, lambda acc: acc["kept"])
+
+
+def summaries(words: DataFrame, scored: DataFrame, lang: str, params: K.Params) -> DataFrame:
+    """`words` (word, ...) with what a replay needs of their evaluations: `own` and `other`, the records that trigger on the
+    word's own layout and on the other one, and whether it can be corrected later if it doesn't (`own_fix`, `other_fix`):
+    colliding words, those that lean to the other layout, and one-letter words."""
+    least = params.baseline if params.alpha >= 0 else float("-inf")
+    sign = 1.0 if lang == "en" else -1.0
+    known = words.join(forms(words.select("word"), lang), "word").join(scored, ["en", "he"], "left").withColumn("evals", F.coalesce("evals", F.array().cast("array<struct<j:int,d:double,coll:boolean>>")))
+    last = F.get("evals", F.size("evals") - 1)
+    fix = lambda s: F.when(F.length("word") < 2, F.lit(True)).otherwise(last["coll"] | (F.lit(s) * last["d"] > 0))
+    return known.select(*words.columns, records(F.col("evals"), sign, least).alias("own"), records(F.col("evals"), -sign, least).alias("other"), fix(sign).alias("own_fix"), fix(-sign).alias("other_fix"))
 
 
 def replay(lines: DataFrame, scored: DataFrame, lang: str = "en", wrong: bool = False, params: K.Params = K.DEFAULTS) -> DataFrame:
     """doc_id, lang, line_no, events: each line's words in order, as typed by someone who starts on the right or the wrong
-    layout. An event has the state before the word (on the right layout or not, k, correctable tail) and what came of it."""
+    layout. An event has the state before the word (on the right layout or not, k, correctable tail) and what came of it.
+    Words are counted first: those of very common ones meet their evaluations where they lie."""
     placed = line_words(lines)
-    known = placed.select("word").distinct()
-    evals = forms(known, lang).join(scored, ["en", "he"], "left").select("word", "evals")
-    item = F.struct("w", "word", F.length("word").alias("size"), F.coalesce("evals", F.array().cast("array<struct<j:int,d:double,coll:boolean>>")).alias("evals"))
-    folded = placed.join(evals, "word").groupBy(*LINE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    counted = stored(placed.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = stored(summaries(counted, scored, lang, params).withColumn("use", F.lit(True)))
+    item = F.struct("w", "word", F.length("word").alias("size"), "own", "other", "own_fix", "other_fix")
+    folded = join_back(placed, known, ["word"], hot_limit(total)).groupBy(*LINE).agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(not wrong).alias("correct"), F.lit(0).alias("k"), F.lit(0).alias("tail"), F.array().cast(f"array<{EVENT}>").alias("events"))
-    own_sign = 1.0 if lang == "en" else -1.0
 
     def step(acc: Column, x: Column) -> Column:
-        sign = F.when(acc["correct"], F.lit(own_sign)).otherwise(F.lit(-own_sign))
-        hit = first_over(x["evals"], sign, T.delta(acc["k"], params))
-        last = F.element_at(x["evals"], -1)
-        # Unswitched words can be corrected later if they collide, or lean to the other layout; one-letter words always.
-        fixable = F.when(x["size"] < 2, F.lit(True)).otherwise(last["coll"] | (sign * last["d"] > 0))
-        with_hit = F.struct(acc.alias("acc"), x.alias("x"), hit.alias("hit"), fixable.alias("fixable"))
-
-        def next_state(s: Column) -> Column:
-            a, word, found = s["acc"], s["x"], s["hit"]
+        hit = F.get(F.filter(F.when(acc["correct"], x["own"]).otherwise(x["other"]), lambda e: e["d"] > T.delta(acc["k"], params)), 0)
+        fixable = F.when(acc["correct"], x["own_fix"]).otherwise(x["other_fix"])
+
+        def next_state(found: Column) -> Column:
             switched = found.isNotNull()
             event = F.struct(
-                word["w"].alias("w"), word["word"].alias("word"), word["size"].alias("size"), a["correct"].alias("correct"), a["k"].alias("k"), a["tail"].alias("tail"),
-                switched.alias("switched"), trigger_place(found, word["size"]).alias("idx"), F.abs(found["d"]).alias("diff"), (~switched & s["fixable"]).alias("fixable"),
+                x["w"].alias("w"), x["word"].alias("word"), x["size"].alias("size"), acc["correct"].alias("correct"), acc["k"].alias("k"), acc["tail"].alias("tail"),
+                switched.alias("switched"), trigger_place(found, x["size"]).alias("idx"), found["d"].alias("diff"), (~switched & fixable).alias("fixable"),
             )
-            tail = F.when(switched | ~s["fixable"], F.lit(0)).otherwise(F.least(a["tail"] + 1, F.lit(K.HISTORY)))
             return F.struct(
-                F.when(switched, ~a["correct"]).otherwise(a["correct"]).alias("correct"),
-                F.when(switched, F.lit(0)).otherwise(a["k"] + 1).alias("k"),
-                tail.alias("tail"),
-                F.concat(a["events"], F.array(event.cast(EVENT))).alias("events"),
+                F.when(switched, ~acc["correct"]).otherwise(acc["correct"]).alias("correct"),
+                F.when(switched, F.lit(0)).otherwise(acc["k"] + 1).alias("k"),
+                F.when(switched | ~fixable, F.lit(0)).otherwise(F.least(acc["tail"] + 1, F.lit(K.HISTORY))).alias("tail"),
+                F.concat(acc["events"], F.array(event.cast(EVENT))).alias("events"),
             )
 
-        return F.element_at(F.transform(F.array(with_hit), next_state), 1)
+        return F.element_at(F.transform(F.array(hit), next_state), 1)
 
     return folded.select(*LINE, F.aggregate("items", start, step, lambda acc: acc["events"]).alias("events"))
 
@@ -152,8 +188,6 @@ def fn_report(audited: DataFrame) -> DataFrame:
 def latency_summary(audited: DataFrame) -> DataFrame:
     """lang, n, mean, median, p95. The 95th percentile is the value at place min(int(0.95 n), n - 1): the values are counted
     first, so that what is ordered is distinct values, not lines."""
-    from pyspark.sql import Window
-
     counts = audited.groupBy("lang", "latency").agg(F.count(F.lit(1)).alias("m"))
     order = Window.partitionBy("lang").orderBy("latency").rowsBetween(Window.unboundedPreceding, 0)
     placed = counts.withColumns({"upto": F.sum("m").over(order), "n": F.sum("m").over(Window.partitionBy("lang"))})
@@ -178,15 +212,34 @@ def fn_rates(report: DataFrame) -> DataFrame:
     return report.select("lang", percent("lines_switched", "lines_tested").alias("lines_switched_percent"), percent("words_not_switched", "words_tested").alias("words_not_switched_percent"))
 
 
-def flagged(replayed: DataFrame, lines: DataFrame, n: int = 30) -> DataFrame:
-    """The first n lines with a false positive: excerpt, and for each switch its word, difference, threshold and lookback."""
+def excerpts(bad: DataFrame, lines: DataFrame) -> DataFrame:
+    """`bad` (doc_id, line_no, ...) with the first 100 characters of its lines."""
+    return bad.join(lines.select("doc_id", "line_no", F.substring("line", 1, 100).alias("excerpt")), ["doc_id", "line_no"])
+
+
+def flagged(replayed: DataFrame, lines: DataFrame, n: int = 30, params: K.Params = K.DEFAULTS) -> DataFrame:
+    """The first n lines with a false positive: excerpt, and for each switch its word and lookback, for false ones also the
+    difference and the threshold."""
     bad = replayed.where(F.exists("events", lambda e: e["switched"] & e["correct"])).orderBy("doc_id", "line_no").limit(n)
+    amount = lambda c: F.format_string("%.2f", c)
+    gap = lambda e: F.concat_ws(" ", F.concat(F.lit("diff="), amount(e["diff"])), F.concat(F.lit("delta="), amount(T.delta(e["k"], params))))
     details = F.transform(
         F.filter("events", lambda e: e["switched"]),
-        lambda e: F.concat_ws(" ", F.when(e["correct"], "FP").otherwise("Recovery"), (e["w"] + 1).cast("string"), e["word"], F.concat(F.lit("lookback="), e["tail"].cast("string"))),
+        lambda e: F.concat_ws(" ", F.when(e["correct"], "FP").otherwise("Recovery"), (e["w"] + 1).cast("string"), e["word"], F.when(e["correct"], gap(e)), F.concat(F.lit("lookback="), e["tail"].cast("string"))),
     )
-    excerpt = lines.select("doc_id", "line_no", F.substring("line", 1, 100).alias("excerpt"))
-    return bad.join(excerpt, ["doc_id", "line_no"]).select("doc_id", "line_no", "excerpt", F.array_join(details, "; ").alias("details"))
+    return excerpts(bad, lines).select("doc_id", "line_no", "excerpt", F.array_join(details, "; ").alias("details"))
+
+
+def flagged_fn(replayed: DataFrame, lines: DataFrame, n: int = 30) -> DataFrame:
+    """The first n lines typed on the wrong layout that never switch, or leave words uncorrected: excerpt, and the word of the
+    first switch, the latency and the uncorrected words, or that there was no switch and the characters lost."""
+    audited = audit_fn(replayed).where("not line_switched or words_not_switched > 0").orderBy("doc_id", "line_no").limit(n)
+    first = replayed.select("doc_id", "line_no", F.get(F.filter("events", lambda e: e["switched"] & ~e["correct"]), 0).alias("first"))
+    bad = audited.join(first, ["doc_id", "line_no"])
+    mark = lambda name, c: F.concat(F.lit(f"{name}="), c.cast("string"))
+    late = F.concat_ws(" ", F.lit("switch"), (F.col("first.w") + 1).cast("string"), F.col("first.word"), mark("latency", F.col("latency")), mark("uncorrected", F.col("words_not_switched")))
+    lost = F.concat_ws(" ", F.lit("no switch"), mark("lost", F.col("latency")))
+    return excerpts(bad, lines).select("doc_id", "line_no", "excerpt", F.when(F.col("line_switched"), late).otherwise(lost).alias("details"))
 
 
 def lookback(replayed: DataFrame) -> DataFrame:
@@ -211,9 +264,11 @@ def repair(replayed: DataFrame, lang: str = "en") -> DataFrame:
 
 
 def audit_compare(lines: DataFrame, versions: dict[str, DataFrame], lang: str = "en", params: K.Params = K.DEFAULTS) -> DataFrame:
-    """The false-positive report under several models: version, and the report's columns."""
-    parts = [fp_report(audit_fp(replay(lines, scored, lang, False, params))).withColumn("version", F.lit(name)) for name, scored in versions.items()]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    """Both reports under several models: version, lang and the columns of the false-positive and false-negative reports."""
+    every = None
+    for name, scored in versions.items():
+        fp = fp_report(audit_fp(replay(lines, scored, lang, False, params)))
+        fn = fn_report(audit_fn(replay(lines, scored, lang, True, params))).drop("lines_tested", "words_tested")
+        part = fp.join(fn, "lang").withColumn("version", F.lit(name))
+        every = part if every is None else every.unionByName(part)
     return every

@@ -11,7 +11,8 @@ from glyphshift.functions import text as T
 
 def normalise(lines: DataFrame) -> DataFrame:
     """Small letters, stripped, without direction marks; empty lines go."""
-    return lines.withColumn("line", F.regexp_replace(T.strip(F.lower("line")), "[\\u200E\\u200F]", "")).where("line != ''")
+    plain = F.replace(F.replace(T.strip(F.lower("line")), F.lit("\u200e"), F.lit("")), F.lit("\u200f"), F.lit(""))
+    return lines.withColumn("line", plain).where("line != ''")
 
 
 def words(lines: DataFrame, *keys: str) -> DataFrame:

@@ -3,6 +3,8 @@ into a pseudo-Hebrew corpus; its figures say nothing about real Hebrew."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from glyphshift.functions import text as T
 from glyphshift.operators import audit, cleaning, decide, mixed, ngrams
 from glyphshift.operators.ngrams import Models
 from glyphshift.session import stored
-from glyphshift.sources.corpus import read_corpus
+from glyphshift.sources.corpus import dealt, read_corpus
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.explode_lines(table(spark, sf_dir, "documents"))
+    return cleaning.explode_lines(dealt(table(spark, sf_dir, "documents")))
 
 
 def hebrew_lines(every: DataFrame) -> DataFrame:
@@ -34,22 +36,22 @@ def technical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(T.strip("line").alias("line")).where("line != ''")
 
 
-def training_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """model, line of the three models."""
-    every = lines(spark, sf_dir)
-    named = lambda df, name: df.select(F.lit(name).alias("model"), "line")
-    return named(every.where("lang = 'en'"), "en").unionByName(named(hebrew_lines(every), "he")).unionByName(named(technical_lines(spark, sf_dir), "so"))
+def training_lines(spark: SparkSession, sf_dir: str, every: DataFrame | None = None, names: tuple[str, ...] = ("en", "he", "so")) -> DataFrame:
+    """model, line of the named models; `every` are the documents' lines, where they are there already."""
+    every = lines(spark, sf_dir) if every is None else every
+    parts = {"en": lambda: every.where("lang = 'en'"), "he": lambda: hebrew_lines(every), "so": lambda: technical_lines(spark, sf_dir)}
+    named = [parts[name]().select(F.lit(name).alias("model"), "line") for name in names]
+    return reduce(DataFrame.unionByName, named)
 
 
-def models(spark: SparkSession, sf_dir: str) -> Models:
+def models(spark: SparkSession, sf_dir: str, every: DataFrame | None = None, names: tuple[str, ...] = ("en", "he", "so")) -> Models:
     """The trained models, stored, as every score reads them several times."""
-    counts = stored(ngrams.word_counts(training_lines(spark, sf_dir)))
+    counts = stored(ngrams.word_counts(training_lines(spark, sf_dir, every, names)))
     return Models(stored(ngrams.count_ngrams(counts)), stored(ngrams.model_chars(counts)))
 
 
-def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = lines(spark, sf_dir)
-    return decide.collision_set(collision_pairs(every))
+def collisions(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    return decide.collision_set(collision_pairs(lines(spark, sf_dir) if every is None else every))
 
 
 def collision_pairs(every: DataFrame) -> DataFrame:
@@ -62,13 +64,16 @@ def audit_lines(every: DataFrame) -> DataFrame:
     return every.where("lang in ('en', 'es', 'fr')")
 
 
-def audit_scores(spark: SparkSession, sf_dir: str, english: tuple[str, ...] = ("en",)) -> DataFrame:
-    words = ngrams.words(audit_lines(lines(spark, sf_dir))).distinct()
-    return audit.evaluations(audit.forms(words), models(spark, sf_dir), stored(collisions(spark, sf_dir)), english)
+def audit_scores(spark: SparkSession, sf_dir: str, every: DataFrame, english: tuple[str, ...] = ("en",)) -> DataFrame:
+    words = ngrams.words(audit_lines(every)).distinct()
+    trained = models(spark, sf_dir, every, (*english, "he"))
+    return stored(audit.evaluations(audit.forms(words), trained, stored(collisions(spark, sf_dir, every)), english))
 
 
-def replayed(spark: SparkSession, sf_dir: str, wrong: bool) -> DataFrame:
-    return audit.replay(audit_lines(lines(spark, sf_dir)), stored(audit_scores(spark, sf_dir)), "en", wrong)
+def replayed(spark: SparkSession, sf_dir: str, wrong: bool, every: DataFrame | None = None) -> DataFrame:
+    """The audited lines, replayed. The documents are split once."""
+    every = stored(lines(spark, sf_dir)) if every is None else every
+    return audit.replay(audit_lines(every), audit_scores(spark, sf_dir, every), "en", wrong)
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:

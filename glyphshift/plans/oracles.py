@@ -106,7 +106,7 @@ for name, start in (("fp", "true"), ("fn", "false")):
     )
     PARTS[f"ev_{name}"] = (
         (f"state_{name}",),
-        f"SELECT doc_id, lang, line_no, w, word, size, correct, k, tail, hit IS NOT NULL AS switched, CASE WHEN hit.j = size - 1 THEN -1 ELSE hit.j + 1 END AS idx FROM (SELECT s.*, i.lang, i.word, i.size, {HIT} AS hit FROM state_{name} s JOIN items i USING (doc_id, line_no, w))",
+        f"SELECT doc_id, lang, line_no, w, word, size, correct, k, tail, abs(hit.d) AS diff, hit IS NOT NULL AS switched, CASE WHEN hit.j = size - 1 THEN -1 ELSE hit.j + 1 END AS idx FROM (SELECT s.*, i.lang, i.word, i.size, {HIT} AS hit FROM state_{name} s JOIN items i USING (doc_id, line_no, w))",
     )
 PARTS["titems"] = (("placed", "tevals"), PARTS["items"][1].replace("evals e ON", "tevals e ON"))
 PARTS["state_tech"] = (("titems",), PARTS["state_fp"][1].replace("state_fp", "state_tech").replace("items", "titems"))
@@ -123,6 +123,10 @@ PARTS["fn"] = (
           sum(CASE WHEN switched AND NOT correct THEN greatest(w - tail, 0) ELSE 0 END)::BIGINT AS missed FROM ev_fn GROUP BY doc_id, lang, line_no)""",
 )
 PARTS["fn_report"] = (("fn",), "SELECT lang, count(*) AS lines_tested, sum(n_words)::BIGINT AS words_tested, count(*) FILTER (line_switched) AS lines_switched, sum(words_not_switched)::BIGINT AS words_not_switched, sum(latency)::BIGINT AS total_latency_chars FROM fn GROUP BY lang")
+for part in ("state", "ev"):
+    PARTS[f"{part}_tfn"] = (("titems",) if part == "state" else ("state_tfn",), PARTS[f"{part}_fn"][1].replace("state_fn", "state_tfn").replace("items", "titems"))
+PARTS["tfn"] = (("ev_tfn",), PARTS["fn"][1].replace("ev_fn", "ev_tfn"))
+PARTS["tfn_report"] = (("tfn",), PARTS["fn_report"][1].replace("FROM fn", "FROM tfn"))
 PARTS["comments"] = (
     (),
     f"""SELECT id, channel, CASE WHEN id % 17 = 0 THEN '[deleted]' WHEN id % 19 = 0 THEN '[removed]' WHEN id % 23 = 0 THEN '' WHEN id % 3 = 0 THEN text || ' ' || {to_he('lower(text)')} ELSE text END AS body
@@ -326,8 +330,14 @@ ORACLES = {
         "fp_report", "fn_report",
     ),
     "f6_flagged": sql(
-        "SELECT b.doc_id, b.line_no, substr(line, 1, 100) AS excerpt, string_agg(CASE WHEN correct THEN 'FP' ELSE 'Recovery' END || ' ' || (w + 1) || ' ' || word || ' lookback=' || tail, '; ' ORDER BY w) AS details FROM (SELECT DISTINCT doc_id, line_no FROM ev_fp WHERE switched AND correct ORDER BY 1, 2 LIMIT 30) b JOIN ev_fp e ON e.doc_id = b.doc_id AND e.line_no = b.line_no AND e.switched JOIN lines l ON l.doc_id = b.doc_id AND l.line_no = b.line_no GROUP BY 1, 2, 3",
-        "ev_fp",
+        """SELECT 'fp' AS kind, b.doc_id, b.line_no, substr(line, 1, 100) AS excerpt,
+           string_agg(CASE WHEN correct THEN 'FP' ELSE 'Recovery' END || ' ' || (w + 1) || ' ' || word || CASE WHEN correct THEN printf(' diff=%.2f delta=%.2f', diff, 4.0 + 0.5 * pow(k, 2)) ELSE '' END || ' lookback=' || tail, '; ' ORDER BY w) AS details
+        FROM (SELECT DISTINCT doc_id, line_no FROM ev_fp WHERE switched AND correct ORDER BY 1, 2 LIMIT 30) b JOIN ev_fp e ON e.doc_id = b.doc_id AND e.line_no = b.line_no AND e.switched JOIN lines l ON l.doc_id = b.doc_id AND l.line_no = b.line_no GROUP BY ALL
+        UNION ALL SELECT 'fn', b.doc_id, b.line_no, substr(line, 1, 100),
+           CASE WHEN line_switched THEN 'switch ' || (e.w + 1) || ' ' || e.word || ' latency=' || latency || ' uncorrected=' || words_not_switched ELSE 'no switch lost=' || latency END
+        FROM (SELECT * FROM fn WHERE NOT line_switched OR words_not_switched > 0 ORDER BY doc_id, line_no LIMIT 30) b JOIN lines l ON l.doc_id = b.doc_id AND l.line_no = b.line_no
+        LEFT JOIN (SELECT doc_id, line_no, min(w) AS w, arg_min(word, w) AS word FROM ev_fn WHERE switched AND NOT correct GROUP BY 1, 2) e ON e.doc_id = b.doc_id AND e.line_no = b.line_no""",
+        "ev_fp", "fn",
     ),
     "f7_lookback": sql("SELECT doc_id, lang, line_no, w, tail AS lookback FROM ev_fp WHERE switched", "ev_fp"),
     "f9_script_runs": sql("SELECT * FROM runs", "runs"),
@@ -339,7 +349,10 @@ ORACLES = {
     "f12_mixed_metrics": sql("SELECT * FROM metrics_one", "metrics_one"),
     "f13_grid_search": sql("SELECT * FROM metrics_grid", "metrics_grid"),
     "f14_leaderboard": sql("SELECT * FROM metrics_grid ORDER BY fpr, recall DESC, lat, d0, a, p LIMIT 10", "metrics_grid"),
-    "f15_audit_compare": sql("SELECT 'standard' AS version, * FROM fp_report UNION ALL SELECT 'technical', * FROM tech_report", "fp_report", "tech_report"),
+    "f15_audit_compare": sql(
+        "SELECT 'standard' AS version, fp_report.*, lines_switched, words_not_switched, total_latency_chars FROM fp_report JOIN fn_report USING (lang) UNION ALL SELECT 'technical', tech_report.*, lines_switched, words_not_switched, total_latency_chars FROM tech_report JOIN tfn_report USING (lang)",
+        "fp_report", "tech_report", "fn_report", "tfn_report",
+    ),
     "g2_segment_stream": "SELECT user_id, epoch_us(min(ts)) AS began_us, epoch_us(max(ts)) + 3600000000 AS ended_us, count(*) AS n_events FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 3600000000 THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s HAVING epoch_us(max(ts)) + 3600000000 <= (SELECT epoch_us(max(ts)) FROM events) - 60000000",
     "g1_segment": "SELECT event_id, user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS segment FROM (SELECT *, CASE WHEN lag(ts) OVER o IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER o) > 3600000000 OR event_type IN ('click', 'tab', 'caps', 'select_all', 'suspend') THEN 1 ELSE 0 END AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))",
     "g3_score_stream": sql("SELECT * REPLACE (round(score_diff, 6) AS score_diff) FROM decided", "decided"),

@@ -310,7 +310,8 @@ def e6_decide(spark, sf):
 
 @query
 def e7_first_trigger(spark, sf):
-    return rounded(audit.first_trigger(distinct_words(spark, sf), stored(X.audit_scores(spark, sf))), "diff")
+    every = stored(X.lines(spark, sf))
+    return rounded(audit.first_trigger(ngrams.words(X.audit_lines(every)).distinct(), X.audit_scores(spark, sf, every)), "diff")
 
 
 @query
@@ -379,13 +380,18 @@ def f4_latency_summary(spark, sf):
 
 @query
 def f5_rates(spark, sf):
-    fp, fn = audit.fp_report(audit.audit_fp(X.replayed(spark, sf, False))), audit.fn_report(audit.audit_fn(X.replayed(spark, sf, True)))
+    every = stored(X.lines(spark, sf))
+    lines, scored = X.audit_lines(every), X.audit_scores(spark, sf, every)
+    fp, fn = audit.fp_report(audit.audit_fp(audit.replay(lines, scored))), audit.fn_report(audit.audit_fn(audit.replay(lines, scored, wrong=True)))
     return audit.fp_rates(fp).join(audit.fn_rates(fn), "lang")
 
 
 @query
 def f6_flagged(spark, sf):
-    return audit.flagged(X.replayed(spark, sf, False), X.lines(spark, sf))
+    every = stored(X.lines(spark, sf))
+    scored = X.audit_scores(spark, sf, every)
+    fp = audit.flagged(audit.replay(X.audit_lines(every), scored), every).withColumn("kind", F.lit("fp"))
+    return fp.unionByName(audit.flagged_fn(audit.replay(X.audit_lines(every), scored, wrong=True), every).withColumn("kind", F.lit("fn")))
 
 
 @query
@@ -432,8 +438,8 @@ def f14_leaderboard(spark, sf):
 
 @query
 def f15_audit_compare(spark, sf):
-    lines = X.audit_lines(X.lines(spark, sf))
-    return audit.audit_compare(lines, {name: stored(X.audit_scores(spark, sf, english)) for name, english in (("standard", ("en",)), ("technical", ("en", "so")))})
+    every = stored(X.lines(spark, sf))
+    return audit.audit_compare(X.audit_lines(every), {name: X.audit_scores(spark, sf, every, english) for name, english in (("standard", ("en",)), ("technical", ("en", "so")))})
 
 
 # G. Context and streaming
@@ -476,9 +482,10 @@ def g4_ngram_stream(spark, sf):
 @query
 def g5_detect_stream(spark, sf):
     """A session is an audited document: its words, one a second, with a click before every line."""
-    every = X.audit_lines(X.lines(spark, sf))
+    lines = stored(X.lines(spark, sf))
+    every = X.audit_lines(lines)
     placed = audit.line_words(every)
-    evals = audit.forms(placed.select("word").distinct()).join(stored(X.audit_scores(spark, sf)), ["en", "he"], "left").select("word", "evals")
+    evals = audit.forms(placed.select("word").distinct()).join(X.audit_scores(spark, sf, lines), ["en", "he"], "left").select("word", "evals")
     none = F.lit(None).cast("array<struct<j:int,d:double,coll:boolean>>")
     typed = placed.join(evals, "word").select("doc_id", "line_no", "w", F.lit("word").alias("event_type"), "word", "evals")
     clicks = every.select("doc_id", "line_no", F.lit(-1).alias("w"), F.lit("click").alias("event_type"), F.lit("").alias("word"), none.alias("evals"))

@@ -13,6 +13,13 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text: str
     return spark.read.format(fmt).load(path).withColumnRenamed(text, "text")
 
 
+def dealt(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """`df` in as many partitions as there are cores, or as asked for, where a scan gives fewer: a file of one row group is one
+    task's otherwise, however long what follows takes."""
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
 def read_comment_dump(spark: SparkSession, path: str) -> DataFrame:
     """id and text of the `row` elements of an XML dump; rows without either attribute are skipped."""
     rows = spark.read.format("xml").option("rowTag", "row").schema("_Id long, _Text string").load(path)
