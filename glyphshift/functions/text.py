@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,17 +36,52 @@ def strip_markup(c: Column | str) -> Column:
     return strip(F.regexp_replace(out, "(?s)<[^>]*>", ""))
 
 
-# Named entities that occur in comment dumps, amp last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: What named references stand for, from the standard library's table of HTML 5; old names also count without a semicolon.
+NAMED = {name: char for name, char in html5.items() if name.endswith(";")}
+OLD = {name: char for name, char in html5.items() if not name.endswith(";")}
+#: What numbers of C1 control characters stand for: the Windows characters at these places.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
-def unescape_entities(c: Column | str) -> Column:
-    out = col(c)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+def lookup(table: dict, key: Column) -> Column:
+    """The table's value, or null."""
+    return F.element_at(F.from_json(F.lit(json.dumps({str(k): v for k, v in table.items()})), "map<string,string>"), key)
+
 
+def of_number(n: Column) -> Column:
+    """The character of a numeric reference: none for control characters and noncharacters, U+FFFD for zero and for numbers
+    that no character has."""
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    beyond = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    none = n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.when(beyond, "\ufffd").when(n.between(0x80, 0x9F), lookup(WINDOWS, n.cast("string"))).when(none, "").otherwise(char)
 
+
+def unescape_entities(c: Column | str) -> Column:
+    """One pass over the character references: decimal, hexadecimal and named ones. Unknown ones stay."""
+    old = "^&(" + "|".join(sorted(OLD, key=lambda name: (-len(name), name))) + ")"
+
+    def resolved(piece: Column) -> Column:
+        """`piece` begins with its only ampersand, or has none."""
+        behind = lambda pattern: F.regexp_replace(piece, pattern, "")
+        part = lambda pattern: F.regexp_extract(piece, pattern, 1)
+        decimal = F.conv(part("^&#0*([0-9]{1,9});?"), 10, 10).cast("long")
+        hexadecimal = F.conv(part("^&#[xX]0*([0-9a-fA-F]{1,8});?"), 16, 10).cast("long")
+        return (
+            F.when(~piece.startswith("&"), piece)
+            .when(piece.rlike("^&#[0-9]{1,9}(?![0-9])"), F.concat(of_number(decimal), behind("^&#[0-9]+;?")))
+            .when(piece.rlike("^&#[xX][0-9a-fA-F]{1,8}(?![0-9a-fA-F])"), F.concat(of_number(hexadecimal), behind("^&#[xX][0-9a-fA-F]+;?")))
+            .when(piece.rlike("^&#(?:[0-9]+|[xX][0-9a-fA-F]+)"), F.concat(F.lit("\ufffd"), behind("^&#(?:[0-9]+|[xX][0-9a-fA-F]+);?")))
+            .when(lookup(NAMED, part("^&([A-Za-z][A-Za-z0-9]*;)")).isNotNull(), F.concat(lookup(NAMED, part("^&([A-Za-z][A-Za-z0-9]*;)")), behind("^&[A-Za-z][A-Za-z0-9]*;")))
+            .when(piece.rlike(old), F.concat(lookup(OLD, part(old)), behind(old)))
+            .otherwise(piece)
+        )
+
+    every = F.array_join(F.transform(F.split(col(c), "(?=&)"), resolved), "")
+    return F.when(F.contains(col(c), F.lit("&")), every).otherwise(col(c))
+
+
+#: What links, emphasis, addresses and handles look like.
 LINK, EMPHASIS = "\\[([^\\]]+)\\]\\([^)]+\\)", "\\*\\*|__|[*_]"
 URL, HANDLE = 'https?://[^\\s<>"]+|www\\.[^\\s<>"]+', "@[\\p{L}\\p{N}_-]+"
 

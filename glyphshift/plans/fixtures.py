@@ -76,6 +76,20 @@ def replayed(spark: SparkSession, sf_dir: str, wrong: bool, every: DataFrame | N
     return audit.replay(audit_lines(every), audit_scores(spark, sf_dir, every), "en", wrong)
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, html: every fifth page as a dump holds it, escaped once more."""
+    escaped = F.col("html")
+    for char, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#x27;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(reference))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, escaped).otherwise(F.col("html")).alias("html"))
+
+
+def vocalised_lines(every: DataFrame) -> DataFrame:
+    """`every` and the pseudo-Hebrew lines, of which those of every third document end in a vowel sign."""
+    hebrew = hebrew_lines(every)
+    return every.unionByName(hebrew.withColumn("line", F.when(F.col("doc_id") % 3 == 0, F.concat("line", F.lit("\u05b0"))).otherwise(F.col("line"))))
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, body, channel: conversation turns, some of them deleted, removed, empty, or followed by a Hebrew line."""
     said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("body"), F.col("role").alias("channel"))
@@ -111,4 +125,4 @@ def mixed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 def pairs(every: DataFrame) -> DataFrame:
     """time, active, shadow, layout, on_delimiter: distinct words of the audited lines, on either layout."""
     words = ngrams.words(audit_lines(every)).distinct()
-    return audit.word_buffers(words).select(F.lit("2024-01-01 00:00:00.000").alias("time"), "active", "shadow", "layout", (F.length("active") % 2 == 0).alias("on_delimiter"))
+    return audit.word_buffers(words).select(F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.length("active")).alias("time"), "active", "shadow", "layout", (F.length("active") % 2 == 0).alias("on_delimiter"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from glyphshift import constants as K
-from glyphshift.functions.text import EMPHASIS, ENTITIES, HANDLE, LINK, URL
-
 WS = f"[{K.SPACE_RE2}]"
 
 
@@ -35,9 +33,17 @@ def clean_markup(c: str) -> str:
 
 
 def unescape(c: str) -> str:
-    for entity, char in ENTITIES:
-        c = f"replace({c}, {lit(entity)}, {lit(char)})"
-    return c
+    """The references that the pages hold, and all numeric ones."""
+    named = " ".join(f"WHEN regexp_matches(x, '^{name}{end}') THEN {lit(char)} || regexp_replace(x, '^{name};?', '')" for name, char, end in (("amp", "&", ""), ("lt", "<", ""), ("gt", ">", ""), ("quot", '"', ""), ("copy", "\u00a9", ""), ("middot", "\u00b7", ""), ("nbsp", "\u00a0", ""), ("apos", "'", ";")))
+    return f"""array_to_string(list_transform(string_split({c}, '&'), lambda x, i: CASE WHEN i = 1 THEN x
+      WHEN regexp_matches(x, '^#[0-9]+') THEN chr(CAST(regexp_extract(x, '^#([0-9]+)', 1) AS INTEGER)) || regexp_replace(x, '^#[0-9]+;?', '')
+      WHEN regexp_matches(x, '^#[xX][0-9a-fA-F]+') THEN chr(CAST('0x' || regexp_extract(x, '^#[xX]([0-9a-fA-F]+)', 1) AS INTEGER)) || regexp_replace(x, '^#[xX][0-9a-fA-F]+;?', '')
+      {named} ELSE '&' || x END), '')"""
+
+
+# Literals of its own: what links, emphasis, addresses and handles look like.
+LINK, EMPHASIS = r"\[([^\]]+)\]\([^)]+\)", r"\*\*|__|[*_]"
+URL, HANDLE = r'https?://[^\s<>"]+|www\.[^\s<>"]+', r"@[\p{L}\p{N}_-]+"
 
 
 def scrub(c: str) -> str:
@@ -127,6 +133,8 @@ for part in ("state", "ev"):
     PARTS[f"{part}_tfn"] = (("titems",) if part == "state" else ("state_tfn",), PARTS[f"{part}_fn"][1].replace("state_fn", "state_tfn").replace("items", "titems"))
 PARTS["tfn"] = (("ev_tfn",), PARTS["fn"][1].replace("ev_fn", "ev_tfn"))
 PARTS["tfn_report"] = (("tfn",), PARTS["fn_report"][1].replace("FROM fn", "FROM tfn"))
+PARTS["dumped"] = ((), """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '\'\'', '&#x27;') ELSE html END AS html FROM pages""")
+PARTS["voiced"] = (("lines", "he_lines"), "SELECT * FROM lines UNION ALL SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN line || chr(1456) ELSE line END AS line) FROM he_lines")
 PARTS["comments"] = (
     (),
     f"""SELECT id, channel, CASE WHEN id % 17 = 0 THEN '[deleted]' WHEN id % 19 = 0 THEN '[removed]' WHEN id % 23 = 0 THEN '' WHEN id % 3 = 0 THEN text || ' ' || {to_he('lower(text)')} ELSE text END AS body
@@ -224,7 +232,7 @@ for m, form in (("en", "lower(word)"), ("he", to_he("word"))):
 CATEGORY = "CASE WHEN abs(score_diff) > 3 THEN '|x| > 3' WHEN abs(score_diff) > 2 THEN '3 > |x| > 2' WHEN abs(score_diff) > 1 THEN '2 > |x| > 1' ELSE '1 > |x|' END"
 PARTS["log"] = (
     ("decided",),
-    f"SELECT '2024-01-01 00:00:00.000' AS time, active AS active_word, shadow AS shadow_word, layout, on_delimiter, is_colliding, is_ambiguous, round(score_diff, 3) AS score_diff, 4.0::DOUBLE AS delta, {CATEGORY} AS category, should_switch FROM decided WHERE length(active) >= 2",
+    f"SELECT (1704067200 + 60 * length(active))::BIGINT * 1000000 AS time, active AS active_word, shadow AS shadow_word, layout, on_delimiter, is_colliding, is_ambiguous, round(score_diff, 3) AS score_diff, 4.0::DOUBLE AS delta, {CATEGORY} AS category, should_switch FROM decided WHERE length(active) >= 2",
 )
 
 
@@ -244,9 +252,9 @@ def sql(select: str, *needs: str) -> str:
     return f"WITH RECURSIVE {head}\n{select}" if head else select
 
 
-def filtered(condition: str) -> str:
+def filtered(condition: str, lines: str = "lines") -> str:
     return sql(
-        f"SELECT lang, word, count(*) AS cnt FROM (SELECT lang, unnest({split('norm')}) AS word FROM (SELECT lang, regexp_replace({strip('lower(line)')}, '[\\x{{200E}}\\x{{200F}}]', '', 'g') AS norm FROM lines)) WHERE {condition} GROUP BY 1, 2", "lines"
+        f"SELECT lang, word, count(*) AS cnt FROM (SELECT lang, unnest({split('norm')}) AS word FROM (SELECT lang, regexp_replace({strip('lower(line)')}, '[\\x{{200E}}\\x{{200F}}]', '', 'g') AS norm FROM {lines})) WHERE {condition} GROUP BY 1, 2", lines
     )
 
 
@@ -259,24 +267,24 @@ ORACLES = {
     "a4_cap_lines": sql("SELECT lang, doc_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS r FROM lines) WHERE r <= 500", "lines"),
     "a5_sample_mod": "SELECT doc_id, lang, source FROM documents WHERE doc_id % 10 = 0",
     "a6_strip_markup": f"SELECT * FROM (SELECT page_id, {clean_markup('html')} AS clean FROM pages) WHERE clean <> ''",
-    "a7_unescape_entities": f"SELECT page_id, {unescape('html')} AS html FROM pages",
-    "a8_scrub": f"SELECT page_id, {scrub(clean_markup(unescape('html')))} AS line FROM pages",
-    "a9_budget_cut": sql("SELECT * FROM (SELECT id, coalesce(sum(strlen(body) + 1) OVER o, 0)::BIGINT AS bytes_before, coalesce(count(*) OVER o, 0) AS lines_before FROM comments WHERE body IS NOT NULL WINDOW o AS (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE bytes_before < 60000000 AND lines_before < 2000000", "comments"),
+    "a7_unescape_entities": sql(f"SELECT page_id, {unescape('html')} AS html FROM dumped", "dumped"),
+    "a8_scrub": sql(f"SELECT page_id, {scrub(unescape('clean'))} AS line FROM (SELECT page_id, {clean_markup('html')} AS clean FROM (SELECT page_id, {unescape('html')} AS html FROM dumped))", "dumped"),
+    "a9_budget_cut": sql("SELECT * FROM (SELECT id, coalesce(sum(strlen(body) + 1) OVER o, 0)::BIGINT AS bytes_before, coalesce(count(*) OVER o, 0) AS lines_before FROM comments WHERE body IS NOT NULL WINDOW o AS (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE bytes_before < 100000 AND lines_before < 2000000", "comments"),
     "a10_drop_tombstones": sql("SELECT id, channel FROM comments WHERE coalesce(body, '') NOT IN ('', '[deleted]', '[removed]')", "comments"),
     "a11_script_flags": sql(f"SELECT id, regexp_matches(body, {HEBREW}) AS has_hebrew, regexp_matches(body, {ENGLISH}) AS has_english, regexp_matches(body, {NIKUD}) AS has_nikud FROM comments", "comments"),
     "a12_pure_lines": sql(
-        f"SELECT * FROM (WITH b AS (SELECT * FROM lines UNION ALL SELECT * FROM he_lines) SELECT * FROM (SELECT doc_id, line_no, 'he' AS script FROM b WHERE regexp_matches(line, {HEBREW}) AND NOT regexp_matches(line, {ENGLISH}) AND NOT regexp_matches(line, {NIKUD}) ORDER BY 1, 2 LIMIT 50000) UNION ALL SELECT * FROM (SELECT doc_id, line_no, 'en' FROM b WHERE regexp_matches(line, {ENGLISH}) AND NOT regexp_matches(line, {HEBREW}) ORDER BY 1, 2 LIMIT 50000))",
+        f"SELECT * FROM (WITH b AS (SELECT * FROM lines UNION ALL SELECT * FROM he_lines) SELECT * FROM (SELECT doc_id, line_no, 'he' AS script FROM b WHERE regexp_matches(line, {HEBREW}) AND NOT regexp_matches(line, {ENGLISH}) AND NOT regexp_matches(line, {NIKUD}) ORDER BY 1, 2 LIMIT 800) UNION ALL SELECT * FROM (SELECT doc_id, line_no, 'en' FROM b WHERE regexp_matches(line, {ENGLISH}) AND NOT regexp_matches(line, {HEBREW}) ORDER BY 1, 2 LIMIT 800))",
         "lines", "he_lines",
     ),
-    "a13_mixed_sample": sql("SELECT min(id) AS id, text FROM mixed_c GROUP BY text ORDER BY 1 LIMIT 1000", "mixed_c"),
+    "a13_mixed_sample": sql("SELECT min(id) AS id, text FROM mixed_c GROUP BY text ORDER BY 1 LIMIT 50", "mixed_c"),
     "a14_merge_samples": sql(
-        "SELECT * FROM (WITH o AS (SELECT min(id) AS id, text FROM mixed_c WHERE channel = 'assistant' GROUP BY text ORDER BY 1 LIMIT 300), n AS (SELECT min(id) AS id, text FROM mixed_c GROUP BY text ORDER BY 1 LIMIT 1000), u AS (SELECT 0 AS part, id, text FROM o UNION ALL SELECT 1, id, text FROM n) SELECT part, id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY part, id) AS r FROM u) WHERE r = 1 ORDER BY part, id LIMIT 500)",
+        "SELECT * FROM (WITH o AS (SELECT min(id) AS id, text FROM mixed_c WHERE channel = 'assistant' GROUP BY text ORDER BY 1 LIMIT 40), n AS (SELECT min(id) AS id, text FROM mixed_c GROUP BY text ORDER BY 1 LIMIT 50), u AS (SELECT 0 AS part, id, text FROM o UNION ALL SELECT 1, id, text FROM n) SELECT part, id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY part, id) AS r FROM u) WHERE r = 1 ORDER BY part, id LIMIT 60)",
         "mixed_c",
     ),
     "b1_normalise": sql(f"SELECT * FROM (SELECT doc_id, line_no, regexp_replace({strip('lower(line)')}, '[\\x{{200E}}\\x{{200F}}]', '', 'g') AS line FROM lines) WHERE line <> ''", "lines"),
     "b2_words": filtered("true"),
     "b3_pure_words": filtered(f"translate(word, {lit(K.EN_ALLOWED)}, '') = ''"),
-    "b4_drop_vocalised": filtered(f"NOT regexp_matches(word, {NIKUD})"),
+    "b4_drop_vocalised": filtered(f"NOT regexp_matches(word, {NIKUD})", "voiced"),
     "b5_cap_word_len": filtered("length(word) <= 12"),
     "b6_ngrams": sql("SELECT model, word, count(*) AS n_grams, max(gram) AS last_gram FROM wordgrams GROUP BY model, word", "wordgrams"),
     "b7_ngram_counts": sql(EN_MODEL + " WHERE model = 'en'", "ngrams"),

@@ -67,18 +67,19 @@ def a6_strip_markup(spark, sf):
 
 @query
 def a7_unescape_entities(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", T.unescape_entities("html").alias("html"))
+    return X.pages(spark, sf).select("page_id", T.unescape_entities("html").alias("html"))
 
 
 @query
 def a8_scrub(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", T.scrub(T.strip_markup(T.unescape_entities("html"))).alias("line"))
+    """References are resolved before tags are cut, and what is left of them by the parser's own pass after it."""
+    return X.pages(spark, sf).select("page_id", T.unescape_entities("html").alias("html")).select("page_id", T.scrub(T.unescape_entities(T.strip_markup("html"))).alias("line"))
 
 
 @query
 def a9_budget_cut(spark, sf):
     said = X.comments(spark, sf).where("body is not null")
-    return cleaning.budget_cut(said, ["id"], "body", max_bytes=60_000_000, max_lines=2_000_000).select("id", "bytes_before", "lines_before")
+    return cleaning.budget_cut(said, ["id"], "body", max_bytes=100_000, max_lines=2_000_000).select("id", "bytes_before", "lines_before")
 
 
 @query
@@ -95,19 +96,19 @@ def a11_script_flags(spark, sf):
 def a12_pure_lines(spark, sf):
     every = X.lines(spark, sf)
     both = every.unionByName(X.hebrew_lines(every))
-    return cleaning.pure_lines(both, "he").select("doc_id", "line_no", F.lit("he").alias("script")).unionByName(cleaning.pure_lines(both, "en").select("doc_id", "line_no", F.lit("en").alias("script")))
+    return cleaning.pure_lines(both, "he", 800).select("doc_id", "line_no", F.lit("he").alias("script")).unionByName(cleaning.pure_lines(both, "en", 800).select("doc_id", "line_no", F.lit("en").alias("script")))
 
 
 @query
 def a13_mixed_sample(spark, sf):
-    return cleaning.mixed_sample(X.comments(spark, sf))
+    return cleaning.mixed_sample(X.comments(spark, sf), 50)
 
 
 @query
 def a14_merge_samples(spark, sf):
     said = X.comments(spark, sf)
-    old = cleaning.mixed_sample(said.where("channel = 'assistant'"), 300)
-    return cleaning.merge_samples(old, cleaning.mixed_sample(said), 500)
+    old = cleaning.mixed_sample(said.where("channel = 'assistant'"), 40)
+    return cleaning.merge_samples(old, cleaning.mixed_sample(said, 50), 60)
 
 
 # B. Training
@@ -134,7 +135,8 @@ def b3_pure_words(spark, sf):
 
 @query
 def b4_drop_vocalised(spark, sf):
-    return filtered(spark, sf, ~T.has_nikud("word"))
+    lines = X.vocalised_lines(X.lines(spark, sf))
+    return ngrams.words(ngrams.normalise(lines), "lang").where(~T.has_nikud("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query
@@ -325,9 +327,13 @@ def e9_gap_category(spark, sf):
     return decided(spark, sf).groupBy("layout", T.gap_category("score_diff").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def logged(log):
+    return log.withColumn("time", F.unix_micros("time"))
+
+
 @query
 def e10_decision_log(spark, sf):
-    return decide.decision_log(decided(spark, sf))
+    return logged(decide.decision_log(decided(spark, sf)))
 
 
 @query
@@ -450,17 +456,25 @@ def g1_segment(spark, sf):
     return context.segment(X.table(spark, sf, "events"), idle=3600).select("event_id", "user_id", "segment")
 
 
-def file_stream(spark, df):
-    """`df` as a stream of files."""
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+def file_stream(spark, df, order=None, batches=3, files=4):
+    """`df` as a stream of several micro-batches of files: in the order of a time, or dealt by a hash."""
+    path, source = scratch(spark), stored(df)
+    if order is None:
+        numbered = source.withColumn("part", F.pmod(F.xxhash64(*df.columns), F.lit(batches)))
+    else:
+        micros = F.unix_micros(F.col(order).cast("timestamp"))
+        low, high = source.agg(F.min(micros), F.max(micros)).first()
+        step = ((high or 0) - (low or 0)) // batches + 1
+        numbered = source.withColumn("part", F.floor((micros - F.lit(low or 0)) / step))
+    for k in range(batches):
+        numbered.where(F.col("part") == k).drop("part").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query
 def g2_segment_stream(spark, sf):
     out = scratch(spark)
-    streams.start_once(streams.segment_stream(file_stream(spark, X.table(spark, sf, "events")), idle="1 hour"), f"{out}/data", f"{out}/checkpoint")
+    streams.start_once(streams.segment_stream(file_stream(spark, X.table(spark, sf, "events"), "ts"), idle="1 hour"), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").select("user_id", F.unix_micros("began").alias("began_us"), F.unix_micros("ended").alias("ended_us"), "n_events")
 
 
@@ -494,7 +508,7 @@ def g5_detect_stream(spark, sf):
     timed = numbered.select(F.col("doc_id").alias("session"), "event_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("ts"), "event_type", "word", "evals")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = scratch(spark)
-    streams.start_once(streams.detect_stream(file_stream(spark, timed)), f"{out}/data", f"{out}/checkpoint")
+    streams.start_once(streams.detect_stream(file_stream(spark, timed, "ts")), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data")
 
 
@@ -502,12 +516,12 @@ def g5_detect_stream(spark, sf):
 def g6_log_stream(spark, sf):
     out = scratch(spark)
     streams.log_stream(file_stream(spark, X.pairs(X.lines(spark, sf))), X.models(spark, sf), stored(X.collisions(spark, sf)), f"{out}/data", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/data").drop("batch")
+    return logged(spark.read.parquet(f"{out}/data").drop("batch"))
 
 
 @query
 def g7_mixed_stream(spark, sf):
     out = scratch(spark)
     said = X.comments(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") / 1000))
-    streams.start_once(streams.mixed_stream(file_stream(spark, said)), f"{out}/data", f"{out}/checkpoint")
+    streams.start_once(streams.mixed_stream(file_stream(spark, said, "ts")), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").select("text").distinct()

@@ -90,10 +90,11 @@ STATE = StructType([StructField("layout", StringType()), StructField("k", Intege
 
 class Detector(StatefulProcessor):
     """A session's state: layout, words since the last reset, correctable tail (at most 50), time of the last event. A break
-    event or an idle gap resets all but the layout; an event-time timer drops sessions that stay silent."""
+    event or an idle gap resets all but the layout. The state of a session that stays silent for `keep` seconds behind the
+    watermark is deleted: it starts again on the English layout. A session's rows of one micro-batch are put in order together."""
 
-    def __init__(self, params: K.Params = K.DEFAULTS, idle: float = K.IDLE_SECONDS, breaks: tuple[str, ...] = K.BREAKS):
-        self.params, self.idle, self.breaks = params, idle, breaks
+    def __init__(self, params: K.Params = K.DEFAULTS, idle: float = K.IDLE_SECONDS, breaks: tuple[str, ...] = K.BREAKS, keep: float = 3_600.0):
+        self.params, self.idle, self.breaks, self.keep = params, idle, breaks, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -122,12 +123,11 @@ class Detector(StatefulProcessor):
         self.state.update((layout, k, tail, at))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(at * 1000) + int(self.idle * 1000) + 1)
+        self.handle.registerTimer(int(at * 1000) + int(self.keep * 1000) + 1)
         yield pd.DataFrame(out, columns=DETECTED.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        layout, _, _, at = self.state.get()
-        self.state.update((layout, 0, 0, at))
+        self.state.clear()
         yield pd.DataFrame(columns=DETECTED.names)
 
     def close(self) -> None:

@@ -247,3 +247,23 @@ def test_detector_keeps_its_state(spark, tmp_path):
     streams.start_once(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     got = {(r.session, r.event_id): (r.switched, r.k, r.lookback, r.layout) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 1): (False, 0, 0, "en"), (1, 2): (True, 1, 1, "en"), (1, 3): (False, 0, 0, "he"), (1, 5): (False, 0, 0, "he"), (2, 1): (False, 0, 0, "en")}
+
+
+def test_detector_over_batches_carries_and_frees_state(spark, tmp_path):
+    """A session goes on in the next batch; one that stays silent is freed by its timer, and starts again."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    hit = [{"j": 1, "d": 9.0, "coll": False}]
+    batches = [
+        [(1, 1, 0, "word", "cd", hit), (3, 1, 0, "word", "cd", hit)],
+        [(3, 2, 5, "word", "ef", None), (2, 1, 90_000, "word", "x", None)],
+        [(2, 2, 90_010, "word", "x", None)],
+        [(1, 2, 90_020, "word", "gh", None)],
+    ]
+    schema = "session long, event_id long, s int, event_type string, word string, evals array<struct<j:int,d:double,coll:boolean>>"
+    for rows in batches:
+        frame = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.start_once(streams.detect_stream(source), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    got = {(r.session, r.event_id): (r.switched, r.k, r.layout) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1): (True, 0, "en"), (3, 1): (True, 0, "en"), (3, 2): (False, 0, "he"), (2, 1): (False, 0, "en"), (2, 2): (False, 1, "en"), (1, 2): (False, 0, "en")}
