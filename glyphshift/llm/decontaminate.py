@@ -6,7 +6,8 @@ in that block (by the same block's key) is compared word by word. Patterns of on
 items don't shorten the jumps of the full windows.
 
 The benchmark is the stated query set. Its size is measured first; beyond `block_bytes` it is searched in blocks of
-items, each of a bounded size, and the blocks' finds are put together by document.
+items, each of a bounded size: one block's tables are broadcast at a time, what it finds is written, and its broadcast is
+deleted before the next. The blocks' finds are put together by document.
 
 A null or empty text has no words and no hits; a null or empty item has no windows. Equal windows of several items count
 for each item. Repeated document rows give a row each; further columns are ignored; an empty benchmark hits nothing.
@@ -17,12 +18,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import id_and_text, map_batches, text_bytes
+from glyphshift.llm._shared import id_and_text, map_batches, release, text_bytes, write_cut
 
 WINDOW = 10
 #: Bytes of benchmark text that are searched, and so broadcast, at a time.
@@ -117,12 +119,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 FOUND = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<long>, text_sha256 string"
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of about `block_bytes`: one of them is on the driver at a time."""
+def items_of(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    items = items.where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(size / block_bytes))
+    return items.where("item_id is not null and text is not null")
+
+
+def n_blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    size = items_of(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, math.ceil(size / block_bytes))
+
+
+def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of about `block_bytes`: one of them is on the driver at a time."""
+    items, n = items_of(benchmark), n_blocks(benchmark, block_bytes)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         yield [(r.item_id, bytes(r.text)) for r in part.toLocalIterator()]
@@ -131,9 +140,9 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, bytes
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (merged, in words) and items found of every document row."""
     docs, parts = id_and_text(docs), []
+    several = n_blocks(benchmark, block_bytes) > 1
     for items in blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Benchmark(items, window))
-        key = bool(parts)
 
         def work(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             own = sent.value
@@ -150,8 +159,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                 ["doc_id", "n_words", "spans", "items", "text_sha256"],
             )
 
-        parts.append(map_batches(docs, work, FOUND))
-    if len(parts) == 1:
+        found = map_batches(docs, work, FOUND)
+        parts.append(write_cut(found) if several else found)
+        if several:
+            sent.destroy()
+    if not several:
         return parts[0]
     # Equal rows (same id and text) are put together with the number of their copies, and dealt out again.
     together = parts[0]
@@ -192,7 +204,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs`, all columns, in which no window of the benchmark occurs. Filters in place: nothing is shuffled."""
+    """The rows of `docs`, all columns, in which no window of the benchmark occurs. Filters in place: nothing is shuffled. Of
+    several blocks each writes what it leaves for the next."""
+    several, before = n_blocks(benchmark, block_bytes) > 1, None
     for items in blocks(benchmark, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Benchmark(items, window))
 
@@ -201,6 +215,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             return batch.filter(pa.array([not own.search(split_words(t))[0] for t in text_bytes(batch)], pa.bool_()))
 
         docs = map_batches(docs, work, docs.schema)
+        if several:
+            docs = write_cut(docs)
+            sent.destroy()
+            if before is not None:
+                release(before)
+            before = docs
     return docs
 
 
