@@ -518,8 +518,8 @@ def test_pipeline(spark):
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     good = {r.doc_id for r in quality.score(docs, model).where("predicted = 1").collect()}
     left = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
-    judged = brute_lines(left, lines.SIZE)
-    stage = lines.dedup_lines(docs.where(docs.doc_id.isin(*good)))
+    judged = brute_runs(left, lines.SIZE, lines.WORDS)
+    stage = lines.dedup_lines(docs.where(docs.doc_id.isin(*good)), words=lines.WORDS)
     cut = {r.doc_id: r.text for r in stage.collect()}
     assert set(cut) == {i for i, _ in left if not judged[i][1] or judged[i][1] < judged[i][0]} and all(sha(t) == judged[i][2] for i, t in cut.items())
     prints = {i: simhash.fingerprint(t.encode()) & (2**64 - 1) for i, t in cut.items()}
@@ -538,7 +538,9 @@ def test_pipeline(spark):
     items = [(r.item_id, r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bench = decontaminate.Benchmark(items)
     want = {i for i in prints if find(i) == i and not bench.search(decontaminate.split_words(cut[i].encode()))[0]}
-    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
-    assert set(got) == want
+    rows = corpus_pipeline.run(spark, SF).collect()
+    got = {r.doc_id: r.ids for r in rows}
+    assert set(got) == want and len(rows) == len(got)
+    assert all(r.text == cut[r.doc_id] and len(r.ids) == len(r.starts) == len(r.ends) for r in rows)
     ids = bpe.codec().ids([cut[i] for i in sorted(want)])
     assert [got[i] for i in sorted(want)] == ids
