@@ -85,6 +85,8 @@ def line_words(lines: DataFrame) -> DataFrame:
 
 EVENT = "struct<w:int,word:string,size:int,correct:boolean,k:int,tail:int,switched:boolean,idx:int,diff:double,fixable:boolean>"
 RECORDS = "array<struct<j:int,d:double>>"
+#: Events are gathered in pages of this size, so that a line of n words isn't copied n times.
+PAGE = 64
 
 
 def records(evals: Column, sign: float, least: float) -> Column:
@@ -122,28 +124,33 @@ def replay(lines: DataFrame, scored: DataFrame, lang: str = "en", wrong: bool =
     known = stored(summaries(counted, scored, lang, params).withColumn("use", F.lit(True)))
     item = F.struct("w", "word", F.length("word").alias("size"), "own", "other", "own_fix", "other_fix")
     folded = join_back(placed, known, ["word"], hot_limit(total)).groupBy(*LINE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(not wrong).alias("correct"), F.lit(0).alias("k"), F.lit(0).alias("tail"), F.array().cast(f"array<{EVENT}>").alias("events"))
+    page = f"array<{EVENT}>"
+    start = F.struct(F.array().cast(page).alias("open"), F.array().cast(f"array<{page}>").alias("full"))
+
+    def state(last: Column) -> Column:
+        """What the event before leaves behind."""
+        return F.struct(
+            F.coalesce(last["correct"] != last["switched"], F.lit(not wrong)).alias("correct"),
+            F.coalesce(F.when(last["switched"], 0).otherwise(last["k"] + 1), F.lit(0)).alias("k"),
+            F.when(last["fixable"], F.least(last["tail"] + 1, F.lit(K.HISTORY))).otherwise(0).alias("tail"),
+        )
+
+    def event(before: Column, x: Column, found: Column) -> Column:
+        fixable = F.when(before["correct"], x["own_fix"]).otherwise(x["other_fix"])
+        return F.struct(
+            x["w"].alias("w"), x["word"].alias("word"), x["size"].alias("size"), before["correct"].alias("correct"), before["k"].alias("k"), before["tail"].alias("tail"),
+            found.isNotNull().alias("switched"), trigger_place(found, x["size"]).alias("idx"), found["d"].alias("diff"), (found.isNull() & fixable).alias("fixable"),
+        )
 
     def step(acc: Column, x: Column) -> Column:
-        hit = F.get(F.filter(F.when(acc["correct"], x["own"]).otherwise(x["other"]), lambda e: e["d"] > T.delta(acc["k"], params)), 0)
-        fixable = F.when(acc["correct"], x["own_fix"]).otherwise(x["other_fix"])
-
-        def next_state(found: Column) -> Column:
-            switched = found.isNotNull()
-            event = F.struct(
-                x["w"].alias("w"), x["word"].alias("word"), x["size"].alias("size"), acc["correct"].alias("correct"), acc["k"].alias("k"), acc["tail"].alias("tail"),
-                switched.alias("switched"), trigger_place(found, x["size"]).alias("idx"), found["d"].alias("diff"), (~switched & fixable).alias("fixable"),
-            )
-            return F.struct(
-                F.when(switched, ~acc["correct"]).otherwise(acc["correct"]).alias("correct"),
-                F.when(switched, F.lit(0)).otherwise(acc["k"] + 1).alias("k"),
-                F.when(switched | ~fixable, F.lit(0)).otherwise(F.least(acc["tail"] + 1, F.lit(K.HISTORY))).alias("tail"),
-                F.concat(acc["events"], F.array(event.cast(EVENT))).alias("events"),
-            )
-
-        return F.element_at(F.transform(F.array(hit), next_state), 1)
-
-    return folded.select(*LINE, F.aggregate("items", start, step, lambda acc: acc["events"]).alias("events"))
+        hit = lambda before: F.get(F.filter(F.when(before["correct"], x["own"]).otherwise(x["other"]), lambda e: e["d"] > T.delta(before["k"], params)), 0)
+        before = F.array(state(F.get(acc["open"], F.size(acc["open"]) - 1)))
+        met = F.transform(before, lambda s: F.struct(s.alias("state"), hit(s).alias("found")))
+        this = F.transform(met, lambda m: event(m["state"], x, m["found"])).cast(page)
+        ends = F.size(acc["open"]) >= PAGE
+        return F.struct(F.when(ends, this).otherwise(F.concat(acc["open"], this)).alias("open"), F.when(ends, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).alias("full"))
+
+    return folded.select(*LINE, F.aggregate("items", start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"])))).alias("events"))
 
 
 def events_of(replayed: DataFrame) -> DataFrame:
