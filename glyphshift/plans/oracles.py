@@ -128,6 +128,19 @@ PARTS["fn"] = (
           sum(CASE WHEN correct THEN 0 WHEN NOT switched OR idx = -1 THEN size + 1 ELSE idx + 1 END)::BIGINT AS late,
           sum(CASE WHEN switched AND NOT correct THEN greatest(w - tail, 0) ELSE 0 END)::BIGINT AS missed FROM ev_fn GROUP BY doc_id, lang, line_no)""",
 )
+PARTS["swaps"] = (
+    ("ev_fn",),
+    """SELECT e.doc_id, e.lang, e.line_no, e.w, e.word, (CASE WHEN e.switched THEN e.correct ELSE NOT e.correct END) <> (count(s.w) % 2 = 1) AS swap
+    FROM ev_fn e LEFT JOIN (SELECT * FROM ev_fn WHERE switched AND tail > 0) s ON s.doc_id = e.doc_id AND s.line_no = e.line_no AND s.w > e.w AND s.w - s.tail <= e.w GROUP BY e.doc_id, e.lang, e.line_no, e.w, e.word, e.switched, e.correct""",
+)
+# A click before each line resets k and tail, so a session goes on from line to line by its layout alone.
+PARTS["either"] = (("ev_fp", "ev_fn"), "SELECT true AS began, * FROM ev_fp UNION ALL SELECT false, * FROM ev_fn")
+PARTS["line_ends"] = (
+    ("either",),
+    """SELECT *, row_number() OVER (PARTITION BY doc_id, began ORDER BY line_no) AS r, coalesce(sum(n) OVER (PARTITION BY doc_id, began ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM (SELECT doc_id, line_no, began, count(*) AS n, arg_max(correct <> switched, w) AS ended FROM either GROUP BY doc_id, line_no, began)""",
+)
+PARTS["sessions"] = (("line_ends",), "SELECT doc_id, 1::BIGINT AS r, true AS began FROM line_ends WHERE r = 1 AND began UNION ALL SELECT s.doc_id, s.r + 1, l.ended FROM sessions s JOIN line_ends l USING (doc_id, r, began)")
 PARTS["fn_report"] = (("fn",), "SELECT lang, count(*) AS lines_tested, sum(n_words)::BIGINT AS words_tested, count(*) FILTER (line_switched) AS lines_switched, sum(words_not_switched)::BIGINT AS words_not_switched, sum(latency)::BIGINT AS total_latency_chars FROM fn GROUP BY lang")
 for part in ("state", "ev"):
     PARTS[f"{part}_tfn"] = (("titems",) if part == "state" else ("state_tfn",), PARTS[f"{part}_fn"][1].replace("state_fn", "state_tfn").replace("items", "titems"))
@@ -348,6 +361,7 @@ ORACLES = {
         "ev_fp", "fn",
     ),
     "f7_lookback": sql("SELECT doc_id, lang, line_no, w, tail AS lookback FROM ev_fp WHERE switched", "ev_fp"),
+    "f8_repair": sql(f"SELECT doc_id, lang, line_no, string_agg(CASE WHEN swap THEN {to_he('word')} ELSE word END, ' ' ORDER BY w) AS repaired FROM swaps GROUP BY doc_id, lang, line_no", "swaps"),
     "f9_script_runs": sql("SELECT * FROM runs", "runs"),
     "f10_mixed_valid": sql("SELECT sample_id, CASE WHEN pos IS NULL THEN 'no_switch' ELSE 'fp_early' END AS status, coalesce(pos, total)::BIGINT AS chars FROM places LEFT JOIN (SELECT * FROM hits_one WHERE NOT trap) USING (sample_id)", "places", "hits_one"),
     "f11_mixed_trap": sql(
@@ -365,6 +379,10 @@ ORACLES = {
     "g1_segment": "SELECT event_id, user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS segment FROM (SELECT *, CASE WHEN lag(ts) OVER o IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER o) > 3600000000 OR event_type IN ('click', 'tab', 'caps', 'select_all', 'suspend') THEN 1 ELSE 0 END AS b FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))",
     "g3_score_stream": sql("SELECT * REPLACE (round(score_diff, 6) AS score_diff) FROM decided", "decided"),
     "g4_ngram_stream": sql(EN_MODEL + " WHERE model = 'en'", "ngrams"),
+    "g5_detect_stream": sql(
+        "SELECT doc_id AS session, l.r + l.before + e.w + 1 AS event_id, word, switched, k, CASE WHEN switched THEN tail ELSE 0 END AS lookback, CASE WHEN correct THEN 'en' ELSE 'he' END AS layout FROM sessions JOIN line_ends l USING (doc_id, r, began) JOIN either e USING (doc_id, line_no, began)",
+        "sessions", "line_ends", "either",
+    ),
     "g6_log_stream": sql("SELECT * FROM log", "log"),
     "g7_mixed_stream": sql("SELECT DISTINCT text FROM mixed_c", "mixed_c"),
 }
