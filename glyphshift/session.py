@@ -30,7 +30,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends the package's modules to the executors, once a context, so that functions that run there can import them."""
+    """Sends the package's modules to the executors, once a context, so that functions that run there can import them. Stateful
+    streams also start a Python worker beside the driver, which doesn't get what is sent: it finds them by its path."""
     context = spark.sparkContext
     if getattr(context, "_glyphshift_shipped", False):
         return
@@ -39,6 +40,7 @@ def ship_package(spark: SparkSession) -> None:
             for path in sorted((ROOT / "glyphshift").rglob("*.py")):
                 archive.write(path, path.relative_to(ROOT).as_posix())
     context.addPyFile(file.name)
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (str(ROOT), context.environment.get("PYTHONPATH"))))
     context._glyphshift_shipped = True
 
 
