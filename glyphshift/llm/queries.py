@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphshift.llm import bpe, chat, decontaminate, lines, quality, rules, secrets, simhash, substrings, token_counts
+from glyphshift.llm import bpe, chat, decontaminate, lines, quality, rules, search, secrets, simhash, substrings, token_counts, whitening
 from glyphshift.llm._shared import documents
 
 
@@ -48,6 +48,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(documents(spark, sf_dir), words=lines.WORDS)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +69,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_byte_bpe,
         op10_line_dedup,
+        op11_embedding_whitening,
+        op13_ranked_search,
     )
 }
 ORACLES = {
@@ -69,4 +79,5 @@ ORACLES = {
     "op7_preference_format": chat.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
     "op10_line_dedup": lines.ORACLE,
+    "op13_ranked_search": search.ORACLE,
 }
