@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphshift.llm import bpe, chat, decontaminate, lines, quality, rules, search, secrets, simhash, substrings, token_counts, whitening
+from glyphshift.llm import bpe, chat, decontaminate, language_model, lines, quality, rules, search, secrets, simhash, substrings, token_counts, whitening
 from glyphshift.llm._shared import documents
 
 
@@ -52,6 +52,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(documents(spark, sf_dir))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op9_byte_bpe,
         op10_line_dedup,
         op11_embedding_whitening,
+        op12_lm_scoring,
         op13_ranked_search,
     )
 }
