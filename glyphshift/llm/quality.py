@@ -39,7 +39,10 @@ FOLDS = 5
 ROWS, BYTES = 10_000, 4_000_000
 #: Words that are put together from their parts at a time.
 STEP = 16_384
-BEGIN, END = "\x02", "\x03"
+#: Marks of a word's begin and end among code points: no character has these.
+BEGIN, END = 0x110000, 0x110001
+#: Finished word vectors that a worker keeps from slice to slice.
+KEPT_WORDS = 100_000
 
 
 def held_out(id_column: str = "doc_id"):
@@ -77,10 +80,14 @@ def words_of(column: pa.Array) -> Words:
 
 def parts_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The parts of all words, as numbers, strung together, and the number of each word's: as many as it has characters."""
-    raw = np.frombuffer((BEGIN + (END + BEGIN).join(words) + END).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    sizes = np.asarray([len(w) for w in words], dtype=np.int64)
+    raw = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    ends = np.cumsum(sizes + 2)
+    raw[ends - sizes - 2], raw[ends - 1] = BEGIN, END
+    inside = np.ones(len(raw), dtype=bool)
+    inside[ends - sizes - 2] = inside[ends - 1] = False
     code = (raw[:-2] << 42) | (raw[1:-1] << 21) | raw[2:]
-    inside = (raw[1:-1] != ord(BEGIN)) & (raw[1:-1] != ord(END))  # a part is named by its middle, so none crosses words
-    return code[inside], np.asarray([len(w) for w in words], dtype=np.int64)
+    return code[inside[1:-1]], sizes  # a part is named by its middle, so none crosses words
 
 
 def part_sums(sample: DataFrame) -> DataFrame:
@@ -126,8 +133,24 @@ class Model:
     layers: tuple | None = None
     temperature: float = 1.0
 
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name not in ("known", "kept")}
+
     def word_vectors(self, words: list[str]) -> np.ndarray:
-        """A row of length 1 for each word: the sum of its parts' vectors. Unknown parts count as zeros."""
+        """A row of length 1 for each word: the sum of its parts' vectors. Unknown parts count as zeros. The first `KEPT_WORDS`
+        words that a worker meets are put together once."""
+        if not hasattr(self, "known"):
+            self.known, self.kept = {}, np.zeros((KEPT_WORDS, DIM), dtype=np.float32)
+        at = np.asarray([self.known.get(w, -1) for w in words], dtype=np.int64)
+        out, missing = self.kept[at], np.flatnonzero(at < 0)
+        fresh = [words[k] for k in missing]
+        out[missing] = self.put_together(fresh)
+        few = KEPT_WORDS - len(self.known)
+        self.kept[len(self.known) : len(self.known) + len(fresh[:few])] = out[missing[:few]]
+        self.known.update({w: len(self.known) + k for k, w in enumerate(fresh[:few])})
+        return out
+
+    def put_together(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), DIM), dtype=np.float32)
         for start in range(0, len(words), STEP):
             parts, sizes = parts_of(words[start : start + STEP])

@@ -6,14 +6,15 @@ import numpy as np
 import pyarrow as pa
 
 from glyphshift.llm import quality
+from tests.llm.conftest import ODD
 
 SF = "/root/testdata/sf0.01"
 
 
 def test_parts_are_the_runs_of_three_characters():
-    words = ["a", "abc", "é😀", "x" * 300]
-    code = lambda run: (ord(run[0]) << 42) | (ord(run[1]) << 21) | ord(run[2])
-    want = [code((quality.BEGIN + w + quality.END)[k : k + 3]) for w in words for k in range(len(w))]
+    words = ["a", "abc", "é😀", "x" * 300, "\x02", "x\x02\x02\x02y", "\x03\x00", "\U0010ffff"]
+    code = lambda run: (run[0] << 42) | (run[1] << 21) | run[2]
+    want = [code([quality.BEGIN, *map(ord, w), quality.END][k : k + 3]) for w in words for k in range(len(w))]
     parts, sizes = quality.parts_of(words)
     assert parts.tolist() == want and sizes.tolist() == [len(w) for w in words]
 
@@ -71,3 +72,47 @@ def test_one_text_of_each_labelled_id_is_learned_from(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(1, 0), (None, 1), (3, None)], "doc_id long, quality int")
     models = [quality.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels) for n in (1, 5)]
     assert np.array_equal(models[0].parts, models[1].parts) and np.allclose(models[0].layers[0], models[1].layers[0], atol=1e-5)
+
+
+def test_a_text_pools_alone_as_in_a_crowd():
+    """Control characters, marks of other tools and odd rows: no text changes what its neighbours pool to."""
+    texts = [t for _, t in ODD] + ["good text stands here", "x\x02\x02\x02y", "world \x02", "\x03 \x03\x02 \x00", "\x02", "\x1c\x1d", "\U0010ffff \ufffe", "a" * 10_000 + " \x02\x03"]
+    parts = np.unique(quality.parts_of("good text stands here world x y der quick brown fox".split())[0])
+    vectors = np.random.default_rng(1).normal(size=(len(parts) + 1, quality.DIM)).astype(np.float32)
+    vectors[-1] = 0
+    fresh = lambda: quality.Model(parts, vectors)
+    crowd = fresh().pool(pa.array(texts))
+    kept = fresh()
+    for k, text in enumerate(texts):
+        assert np.array_equal(fresh().pool(pa.array([text], pa.string()))[0], crowd[k])
+        assert np.array_equal(kept.pool(pa.array([text], pa.string()))[0], crowd[k])
+    assert np.array_equal(kept.pool(pa.array(texts[::-1]))[::-1], crowd)
+
+
+def test_no_more_words_are_kept_than_the_bound(monkeypatch):
+    monkeypatch.setattr(quality, "KEPT_WORDS", 5)
+    parts = np.unique(quality.parts_of(["abc", "bcd"])[0])
+    model = quality.Model(parts, np.concatenate([np.eye(len(parts), quality.DIM), np.zeros((1, quality.DIM))]).astype(np.float32))
+    words = [f"abc{k}" for k in range(9)]
+    assert np.array_equal(model.word_vectors(words), model.put_together(words)) and len(model.known) == 5
+    assert np.array_equal(model.word_vectors(words[::-1]), model.put_together(words[::-1])) and len(model.known) == 5
+
+
+def test_gradients_against_differences():
+    """A step against the gradient lowers the loss: one training step moves along the numeric gradient's signs."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(12, 4)), (rng.random(12) > 0.5).astype(float)
+    before = quality.train_network(x, y, hidden=3, steps=0, decay=0.0)
+    after = quality.train_network(x, y, hidden=3, steps=1, rate=1e-3, decay=0.0)
+    loss = lambda layers: -np.mean(y * np.log(quality.sigmoid(quality.network(x, layers))) + (1 - y) * np.log(1 - quality.sigmoid(quality.network(x, layers))))
+    for k in range(4):
+        for at in np.ndindex(before[k].shape):
+            moved = []
+            for e in (1e-5, -1e-5):
+                layers = [p.copy() for p in before]
+                layers[k][at] += e
+                moved.append(loss(layers))
+            slope = (moved[0] - moved[1]) / 2e-5
+            # Adam's first step is the rate, against the gradient's sign.
+            if abs(slope) > 1e-6:
+                assert np.isclose((after[k] - before[k])[at], -1e-3 * np.sign(slope), rtol=0.02)
