@@ -13,7 +13,7 @@ from glyphshift import constants as K
 from glyphshift.functions import text as T
 from glyphshift.operators.joins import hot_limit, join_back
 from glyphshift.operators.ngrams import Models
-from glyphshift.operators.scoring import base_score, counts, with_meta
+from glyphshift.operators.scoring import grams, numbered, with_steps
 from glyphshift.session import stored
 
 LINE = ("doc_id", "lang", "line_no")
@@ -35,31 +35,39 @@ def word_buffers(words: DataFrame, lang: str = "en") -> DataFrame:
 def evaluations(pairs: DataFrame, models: Models, collisions: DataFrame, english: tuple[str, ...] = ("en",)) -> DataFrame:
     """en, he, evals: of each distinct pair of texts of equal length, the evaluations (j, d, coll) in order. j counts from 1:
     the last is that on the delimiter, those before are at j + 2 characters. d is the Hebrew score less the best English one,
-    to nine decimals; coll is whether either text up to there is in the collision set. Every place of a pair is a row that
-    meets the counts of both languages, and the rows are shuffled once, to be summed up along the pair."""
-    longest = collisions.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
-    distinct = pairs.select("en", "he").where("length(en) >= 2").distinct()
-    own = distinct.select("en", "he", F.lower("en").alias("low_en"), F.lower("he").alias("low_he"))
-    sides = {"he": "low_he", **{name: "low_en" for name in english}}
-    for name, low in sides.items():
-        heads = own.withColumn("head", F.concat(F.lit(" "), F.substring(low, 1, 1))).join(counts(models, name, 2, "head", "c2"), "head", "left")
-        own = with_meta(heads, models, name).withColumns({f"base_{name}": base_score(F.col("c2")), f"v_{name}": F.col("v")}).drop("head", "c2", "v", "total")
-    size = F.least(F.col("j") + 2, F.length("low_en"))
-    prefix = lambda low: F.when(size <= longest, F.substring(low, F.lit(1), size))
-    rows = own.withColumn("j", F.explode(F.sequence(F.lit(1), F.length("low_en") - 1))).withColumns({"p_en": prefix("low_en"), "p_he": prefix("low_he")})
-    for p in ("p_en", "p_he"):
-        rows = rows.join(collisions.select(F.col("word").alias(p), F.lit(True).alias(f"in_{p}")), p, "left")
-    for name, low in sides.items():
-        padded = F.concat(F.lit(" "), low, F.lit(" "))
-        grams = rows.withColumns({"g4": F.substring(padded, F.col("j"), F.lit(4)), "g3": F.substring(padded, F.col("j"), F.lit(3))})
-        met = grams.join(counts(models, name, 4, "g4", "c4"), "g4", "left").join(counts(models, name, 3, "g3", "c3"), "g3", "left")
-        rows = met.withColumn(f"step_{name}", F.ln((F.coalesce("c4", F.lit(0)) + 1) / (F.coalesce("c3", F.lit(0)) + F.col(f"v_{name}")))).drop("g4", "g3", "c4", "c3")
-    along = Window.partitionBy("en", "he").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    total = {name: F.col(f"base_{name}") + F.sum(f"step_{name}").over(along) for name in sides}
-    best = F.greatest(*(total[name] for name in english)) if len(english) > 1 else total[english[0]]
-    slim = rows.select("en", "he", "j", F.coalesce("in_p_en", "in_p_he").isNotNull().alias("coll"), *(f"{part}_{name}" for part in ("base", "step") for name in sides))
-    summed = slim.select("en", "he", F.struct("j", F.round(total["he"] - best, 9).alias("d"), "coll").alias("e"))
-    return summed.groupBy("en", "he").agg(F.array_sort(F.collect_list("e")).alias("evals"))
+    to nine decimals; coll is whether either text up to there is in the collision set."""
+    return evaluations_by_way(pairs, models, collisions, {"own": english}).drop("way")
+
+
+def evaluations_by_way(pairs: DataFrame, models: Models, collisions: DataFrame, ways: dict[str, tuple[str, ...]]) -> DataFrame:
+    """way, en, he, evals: the same for several sets of English models at once, place by place the best of the way's."""
+    distinct = numbered(pairs.select("en", "he").where("length(en) >= 2"))
+    met = gram_steps(distinct, models, ways)
+    along = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda name: F.sum(f"step_{name}").over(along)
+    gap = lambda names: F.round(total("he") - (F.greatest(*map(total, names)) if len(names) > 1 else total(names[0])), 9)
+    along_words = met.select("id", F.struct("j", *(gap(names).alias(way) for way, names in ways.items())).alias("e"))
+    folded = along_words.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("steps"), F.max("e.j").alias("ends"))
+    known = distinct.join(folded, "id").join(colliding_sizes(distinct, collisions), "id", "left")
+    evals = lambda way: F.transform("steps", lambda e: F.struct(e["j"].alias("j"), e[way].alias("d"), F.coalesce(F.array_contains("sizes", F.least(e["j"] + 2, F.col("ends") + 1)), F.lit(False)).alias("coll")))
+    every = known.withColumn("each", F.array(*(F.struct(F.lit(way).alias("way"), evals(way).alias("evals")) for way in ways)))
+    return every.select("en", "he", F.explode("each").alias("x")).select("x.way", "en", "he", "x.evals")
+
+
+def gram_steps(distinct: DataFrame, models: Models, ways: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The places of numbered pairs (id, en, he), padded and in small letters, with their steps under all models of the ways."""
+    padded = distinct.select("id", *(F.concat(F.lit(" "), F.lower(side), F.lit(" ")).alias(side) for side in ("en", "he")))
+    names = sorted({name for names in ways.values() for name in names})
+    return with_steps(grams(padded, "en", "he"), {"he": "he", **{name: "en" for name in names}}, models)
+
+
+def colliding_sizes(distinct: DataFrame, collisions: DataFrame) -> DataFrame:
+    """id, sizes: at which lengths a numbered pair begins with a word of the set. Only lengths that the set has are looked at."""
+    lengths = sorted(r[0] for r in collisions.select(F.length("word")).distinct().collect())
+    sides = distinct.select("id", F.explode(F.array(F.lower("en"), F.lower("he"))).alias("low"))
+    sized = sides.select("id", "low", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("size")).where(F.length("low") >= F.col("size"))
+    begins = sized.select("id", "size", F.substring("low", F.lit(1), F.col("size")).alias("word"))
+    return begins.join(collisions.select("word"), "word").groupBy("id").agg(F.collect_set("size").alias("sizes"))
 
 
 def first_over(evals: Column, sign: Column, threshold: Column) -> Column:

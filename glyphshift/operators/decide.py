@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glyphshift import constants as K
 from glyphshift.functions import text as T
 from glyphshift.operators.ngrams import Models
-from glyphshift.operators.scoring import score
+from glyphshift.operators.audit import gram_steps
+from glyphshift.operators.scoring import numbered
 
 
 def lexicon_en(words: DataFrame, n: int = K.LEXICON_WORDS) -> DataFrame:
@@ -43,18 +44,34 @@ def without_collisions(df: DataFrame, collisions: DataFrame, column: str = "word
     return df.join(collisions.select(F.col("word").alias("colliding")), F.lower(df[column]) == F.col("colliding"), "left_anti")
 
 
+#: The English models that a mode judges by; modes that aren't named judge by the standard one.
+MODES = {"standard": ("en",), "technical": ("en", "so")}
+
+
 def decide(pairs: DataFrame, models: Models, collisions: DataFrame, delta: float = K.DEFAULTS.baseline) -> DataFrame:
-    """pairs (active, shadow, layout, on_delimiter) with score_diff, is_colliding, is_ambiguous, should_switch."""
-    end = F.when(F.col("on_delimiter"), F.lit(" ")).otherwise(F.lit(""))
-    padded = lambda c: F.concat(F.lit(" "), F.lower(c), end)
-    own = flag_collisions(pairs, collisions)
-    english = F.col("layout") == "en"
-    own = own.withColumns({"en_text": padded(F.when(english, F.col("active")).otherwise(F.col("shadow"))), "he_text": padded(F.when(english, F.col("shadow")).otherwise(F.col("active")))})
-    en = score(own.select(F.col("en_text").alias("text")), models, "en").select(F.col("text").alias("en_text"), F.col("score").alias("score_en"))
-    he = score(own.select(F.col("he_text").alias("text")), models, "he").select(F.col("text").alias("he_text"), F.col("score").alias("score_he"))
-    scored = own.join(en, "en_text").join(he, "he_text")
-    short = F.length("active") < 2
-    diff = F.when(short, F.lit(0.0)).when(english, F.col("score_he") - F.col("score_en")).otherwise(F.col("score_en") - F.col("score_he"))
+    """pairs (active, shadow, layout, on_delimiter, ...) with score_diff, is_colliding, is_ambiguous, should_switch. A column `mode`
+    says by which English models a row is judged; without it, by the standard one. All distinct words are scored in one pass
+    under all models, and a row takes the best of its own."""
+    english, short = F.col("layout") == "en", F.length("active") < 2
+    own = flag_collisions(pairs, collisions).withColumns({"en": F.when(english, F.col("active")).otherwise(F.col("shadow")), "he": F.when(english, F.col("shadow")).otherwise(F.col("active"))})
+    ways = MODES if "mode" in pairs.columns else {"standard": MODES["standard"]}
+    names = ["he", *dict.fromkeys(name for way in ways.values() for name in way)]
+    distinct = numbered(own.select("en", "he").where("length(active) >= 2"))
+    sums = [
+        part
+        for name in names
+        for part in (F.sum(f"step_{name}").alias(f"whole_{name}"), F.max_by(f"step_{name}", "j").alias(f"last_{name}"), F.max(F.when(F.col("first"), F.col(f"short_{name}"))).alias(f"short_{name}"))
+    ]
+    totals = gram_steps(distinct, models, ways).groupBy("id").agg(*sums, F.max("j").alias("ends"))
+    known = distinct.join(totals, "id").drop("id")
+    scored = own.join(known, ["en", "he"], "left")
+    # Behind a blank: with the delimiter the whole, without it all but the last step, and of two characters the short formula.
+    score = lambda name: F.when(F.col("on_delimiter"), F.col(f"whole_{name}")).when(F.col("ends") == 1, F.col(f"short_{name}")).otherwise(F.col(f"whole_{name}") - F.col(f"last_{name}"))
+    best = score("en")
+    if "mode" in pairs.columns:
+        best = F.when(F.col("mode") == "technical", F.greatest(*map(score, MODES["technical"]))).otherwise(best)
+    gap = score("he") - best
+    diff = F.when(short, F.lit(0.0)).when(english, gap).otherwise(-gap)
     scored = scored.withColumn("score_diff", diff).withColumn("is_colliding", ~short & F.col("is_colliding"))
     switch = ~short & ~F.col("is_colliding") & (F.col("score_diff") > delta)
     ambiguous = short | (~F.col("is_colliding") & ~switch & (F.col("score_diff") > 0))

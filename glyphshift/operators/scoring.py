@@ -1,4 +1,6 @@
-"""Scores of texts under n-gram models: every distinct text once, positions joined to the counts, steps summed."""
+"""Scores of texts under n-gram models. Every distinct text gets a number; it is cut once into blocks of characters, each with the
+three that follow it, so that a place is a row of the text's number and its grams, however long the text is. Distinct grams meet
+the models' counts, and the places meet their steps by a single join. Texts come back to their numbers at the end."""
 
 from __future__ import annotations
 
@@ -7,6 +9,10 @@ from pyspark.sql import functions as F
 
 from glyphshift.functions import text as T
 from glyphshift.operators.ngrams import Models
+from glyphshift.session import stored
+
+#: Characters of a block.
+BLOCK = 64
 
 
 def counts(models: Models, model: str, n: int, gram: str, cnt: str) -> DataFrame:
@@ -23,55 +29,77 @@ def base_score(c2: Column) -> Column:
     return F.ln((F.coalesce(c2, F.lit(0)) + 1) / (F.col("total") + F.col("v") * F.col("v")))
 
 
-def step_score(c4: Column, c3: Column) -> Column:
-    return F.ln((F.coalesce(c4, F.lit(0)) + 1) / (F.coalesce(c3, F.lit(0)) + F.col("v")))
+def step_score(count: Column, context: Column) -> Column:
+    return F.ln((F.coalesce(count, F.lit(0)) + 1) / (F.coalesce(context, F.lit(0)) + F.col("v")))
 
 
-def steps(texts: DataFrame, models: Models, model: str) -> DataFrame:
-    """text, j, g4, g3, c4, c3, v, total: the quadgram steps of each text (small letters) of four characters or more."""
-    low = F.lower("text")
-    at = F.sequence(F.lit(1), F.greatest(F.length(low) - 3, F.lit(1)))
-    every = texts.select("text", low.alias("low")).where("length(low) >= 4").select("text", "low", F.explode(at).alias("j"))
-    every = every.select("text", "j", F.substring("low", F.col("j"), F.lit(4)).alias("g4"), F.substring("low", F.col("j"), F.lit(3)).alias("g3"))
-    joined = every.join(counts(models, model, 4, "g4", "c4"), "g4", "left").join(counts(models, model, 3, "g3", "c3"), "g3", "left")
-    return with_meta(joined, models, model)
+def numbered(texts: DataFrame) -> DataFrame:
+    """The distinct rows with a number, `id`, which holds as they are written."""
+    return stored(texts.distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def grams(texts: DataFrame, *sides: str) -> DataFrame:
+    """id, j, first, and of each side (columns of `texts`) the four characters from place j on; the first side has four at least."""
+    cut = texts.select("id", *(F.regexp_extract_all(side, F.lit(f"(?s)(?=(.{{1,{BLOCK + 3}}})).{{1,{BLOCK}}}"), F.lit(1)).alias(side) for side in sides))
+    blocks = cut.select("id", F.posexplode(F.arrays_zip(*sides)).alias("b", "piece")).select("id", "b", *(F.coalesce(F.col(f"piece.{side}"), F.lit("")).alias(side) for side in sides))
+    width = F.least(F.lit(BLOCK), F.length(sides[0]) - 3)
+    every = blocks.where(F.length(sides[0]) >= 4).select("id", "b", *sides, F.explode(F.sequence(F.lit(1), width)).alias("i"))
+    j = (F.col("b") * BLOCK + F.col("i")).alias("j")
+    return every.select("id", j, (j == 1).alias("first"), *(F.substring(side, F.col("i"), F.lit(4)).alias(side) for side in sides))
+
+
+def with_steps(places: DataFrame, sides: dict[str, str], models: Models) -> DataFrame:
+    """`places` (of `grams`) with, for each model of `sides`, which names its side: c4, c3, c2 (the counts of the four, three and
+    first two characters), step (with the first, that of the first two characters too), and short, the score of the first three."""
+    columns = list(dict.fromkeys(sides.values()))
+    table = places.select(*columns, "first").distinct()
+    for name, side in sides.items():
+        own = table.withColumns({"g3": F.substring(side, 1, 3), "g2": F.when(F.col("first"), F.substring(side, 1, 2))})
+        for n, gram in ((4, side), (3, "g3"), (2, "g2")):
+            own = own.join(counts(models, name, n, gram, f"c{n}_{name}"), gram, "left")
+        c4, c3, c2 = (F.coalesce(f"c{n}_{name}", F.lit(0)) for n in (4, 3, 2))
+        step = step_score(c4, c3) + F.when(F.col("first"), base_score(c2)).otherwise(0.0)
+        table = with_meta(own, models, name).withColumns({f"step_{name}": step, f"short_{name}": step_score(c3, c2), f"base_{name}": base_score(c2), f"c4_{name}": c4, f"c3_{name}": c3, f"c2_{name}": c2}).drop("g3", "g2", "v", "total")
+    return places.join(table, [*columns, "first"])
 
 
 def score(texts: DataFrame, models: Models, model: str) -> DataFrame:
     """text, score of each distinct `text`."""
-    distinct = texts.select("text").where("text is not null").distinct()
+    distinct = numbered(texts.select("text").where("text is not null"))
     low = F.lower("text")
-    long = steps(distinct, models, model).groupBy("text").agg(F.sum(step_score(F.col("c4"), F.col("c3"))).alias("tail"))
-    heads = distinct.withColumns({"head2": F.substring(low, 1, 2), "head3": F.substring(low, 1, 3), "ch": F.substring(low, 1, 1), "size": F.length(low)})
-    firsts = models.firsts.where(F.col("model") == model).select("ch", "total").withColumnRenamed("total", "first_total")
-    joined = heads.join(counts(models, model, 2, "head2", "c2"), "head2", "left").join(counts(models, model, 3, "head3", "c3"), "head3", "left").join(firsts, "ch", "left").join(long, "text", "left")
-    joined = with_meta(joined, models, model)
-    none = F.lit(0)
-    value = (
-        F.when(F.col("size") < 2, F.lit(0.0))
-        .when(F.col("size") == 2, F.ln((F.coalesce("c2", none) + 1) / (F.coalesce("first_total", none) + F.col("v"))))
-        .when(F.col("size") == 3, F.ln((F.coalesce("c3", none) + 1) / (F.coalesce("c2", none) + F.col("v"))))
-        .otherwise(base_score(F.col("c2")) + F.col("tail"))
-    )
-    return joined.select("text", value.alias("score"))
+    places = grams(distinct.select("id", low.alias("low")), "low")
+    long = with_steps(places, {model: "low"}, models).groupBy("id").agg(F.sum(f"step_{model}").alias("score"))
+    few = distinct.select("text", low.alias("low")).where("length(low) < 4").withColumns({"head2": F.substring("low", 1, 2), "head3": F.substring("low", 1, 3), "ch": F.substring("low", 1, 1), "size": F.length("low")})
+    firsts = models.firsts.where(F.col("model") == model).select("ch", F.col("total").alias("first_total"))
+    few = with_meta(few.join(counts(models, model, 2, "head2", "c2"), "head2", "left").join(counts(models, model, 3, "head3", "c3"), "head3", "left").join(firsts, "ch", "left"), models, model)
+    value = F.when(F.col("size") < 2, F.lit(0.0)).when(F.col("size") == 2, step_score(F.col("c2"), F.col("first_total"))).otherwise(step_score(F.col("c3"), F.col("c2")))
+    return distinct.join(long, "id").select("text", "score").unionByName(few.select("text", value.alias("score")))
+
+
+def traced(texts: DataFrame, models: Models, model: str) -> DataFrame:
+    """id, j, gram, c4, c3, step, total from id and low, the text in small letters: the running total along each text."""
+    heads = texts.select("id", F.substring("low", 1, 2).alias("gram")).join(counts(models, model, 2, "gram", "c4"), "gram", "left")
+    none = F.lit(0).cast("long")
+    first = with_meta(heads, models, model).select("id", F.lit(0).alias("j"), "gram", F.coalesce("c4", none).alias("c4"), none.alias("c3"), base_score(F.col("c4")).alias("step"))
+    met = with_steps(grams(texts, "low"), {model: "low"}, models)
+    own = F.col(f"step_{model}") - F.when(F.col("first"), F.col(f"base_{model}")).otherwise(0.0)
+    rest = met.select("id", "j", F.col("low").alias("gram"), F.col(f"c4_{model}").alias("c4"), F.col(f"c3_{model}").alias("c3"), own.alias("step"))
+    order = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    return first.unionByName(rest).withColumn("total", F.sum("step").over(order))
 
 
 def score_trace(texts: DataFrame, models: Models, model: str) -> DataFrame:
     """text, j, gram, c4, c3, step, total: one row a step, step 0 the first bigram's; the long formula for any length."""
-    distinct = texts.select("text").where("text is not null").distinct()
-    heads = distinct.withColumn("g4", F.substring(F.lower("text"), 1, 2)).join(counts(models, model, 2, "g4", "c4"), "g4", "left")
-    first = with_meta(heads, models, model).select("text", F.lit(0).alias("j"), F.col("g4").alias("gram"), F.coalesce("c4", F.lit(0)).alias("c4"), F.lit(0).cast("long").alias("c3"), base_score(F.col("c4")).alias("step"))
-    rest = steps(distinct, models, model).select("text", "j", F.col("g4").alias("gram"), F.coalesce("c4", F.lit(0)).alias("c4"), F.coalesce("c3", F.lit(0)).alias("c3"), step_score(F.col("c4"), F.col("c3")).alias("step"))
-    order = Window.partitionBy("text").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    return first.unionByName(rest).withColumn("total", F.sum("step").over(order))
+    distinct = numbered(texts.select("text").where("text is not null"))
+    return traced(distinct.select("id", F.lower("text").alias("low")), models, model).join(distinct, "id").select("text", "j", "gram", "c4", "c3", "step", "total")
 
 
 def prefix_scores(words: DataFrame, models: Models, model: str) -> DataFrame:
     """word, j, score: of the word behind a blank, the score after its first j + 2 characters (small letters), and of the
     last j with the delimiter behind it. The word has two characters at least."""
-    padded = words.select("word").where("length(word) >= 2").distinct().select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("text"))
-    every = score_trace(padded, models, model).where("j > 0")
-    return every.select(F.expr("substring(text, 2, length(text) - 2)").alias("word"), "j", F.col("total").alias("score"))
+    distinct = numbered(words.select("word").where("length(word) >= 2"))
+    low = distinct.select("id", F.concat(F.lit(" "), F.lower("word"), F.lit(" ")).alias("low"))
+    return traced(low, models, model).where("j > 0").join(distinct, "id").select("word", "j", F.col("total").alias("score"))
 
 
 def best_english(words: DataFrame, models: Models, names: list[str]) -> DataFrame:
