@@ -36,22 +36,22 @@ def evaluations(pairs: DataFrame, models: Models, collisions: DataFrame, english
     """en, he, evals: of each distinct pair of texts of equal length, the evaluations (j, d, coll) in order. j counts from 1:
     the last is that on the delimiter, those before are at j + 2 characters. d is the Hebrew score less the best English one,
     to nine decimals; coll is whether either text up to there is in the collision set."""
-    return evaluations_by_way(pairs, models, collisions, {"own": english}).drop("way")
+    return evaluations_by_way(pairs, models, collisions, {"own": english}).withColumnRenamed("evals_own", "evals")
 
 
 def evaluations_by_way(pairs: DataFrame, models: Models, collisions: DataFrame, ways: dict[str, tuple[str, ...]]) -> DataFrame:
-    """way, en, he, evals: the same for several sets of English models at once, place by place the best of the way's."""
+    """en, he, and evals_<way> for each of several sets of English models, place by place the best of the way's."""
     distinct = numbered(pairs.select("en", "he").where("length(en) >= 2"))
     met = gram_steps(distinct, models, ways)
     along = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     total = lambda name: F.sum(f"step_{name}").over(along)
     gap = lambda names: F.round(total("he") - (F.greatest(*map(total, names)) if len(names) > 1 else total(names[0])), 9)
-    along_words = met.select("id", F.struct("j", *(gap(names).alias(way) for way, names in ways.items())).alias("e"))
-    folded = along_words.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("steps"), F.max("e.j").alias("ends"))
+    placed = met.select("id", F.struct("j", *(gap(names).alias(way) for way, names in ways.items())).alias("e"))
+    folded = placed.groupBy("id").agg(F.array_sort(F.collect_list("e")).alias("steps"), F.max("e.j").alias("ends"))
     known = distinct.join(folded, "id").join(colliding_sizes(distinct, collisions), "id", "left")
-    evals = lambda way: F.transform("steps", lambda e: F.struct(e["j"].alias("j"), e[way].alias("d"), F.coalesce(F.array_contains("sizes", F.least(e["j"] + 2, F.col("ends") + 1)), F.lit(False)).alias("coll")))
-    every = known.withColumn("each", F.array(*(F.struct(F.lit(way).alias("way"), evals(way).alias("evals")) for way in ways)))
-    return every.select("en", "he", F.explode("each").alias("x")).select("x.way", "en", "he", "x.evals")
+    collides = lambda e: F.coalesce(F.array_contains("sizes", F.least(e["j"] + 2, F.col("ends") + 1)), F.lit(False))
+    evals = lambda way: F.transform("steps", lambda e: F.struct(e["j"].alias("j"), e[way].alias("d"), collides(e).alias("coll")))
+    return known.select("en", "he", *(evals(way).alias(f"evals_{way}") for way in ways))
 
 
 def gram_steps(distinct: DataFrame, models: Models, ways: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -110,31 +110,61 @@ def records(evals: Column, sign: float, least: float) -> Column:
     return F.aggregate(evals, zero, step, lambda acc: acc["kept"])
 
 
-def summaries(words: DataFrame, scored: DataFrame, lang: str, params: K.Params) -> DataFrame:
-    """`words` (word, ...) with what a replay needs of their evaluations: `own` and `other`, the records that trigger on the
-    word's own layout and on the other one, and whether it can be corrected later if it doesn't (`own_fix`, `other_fix`):
+def summaries(words: DataFrame, scored: DataFrame, lang: str, params: K.Params, ways: tuple[str, ...]) -> DataFrame:
+    """`words` (word, ...) with what a replay needs of their evaluations, for each way: `own` and `other`, the records that trigger
+    on the word's own layout and on the other one, and whether it can be corrected later if it doesn't (`own_fix`, `other_fix`):
     colliding words, those that lean to the other layout, and one-letter words."""
     least = params.baseline if params.alpha >= 0 else float("-inf")
-    sign = 1.0 if lang == "en" else -1.0
-    known = words.join(forms(words.select("word"), lang), "word").join(scored, ["en", "he"], "left").withColumn("evals", F.coalesce("evals", F.array().cast("array<struct<j:int,d:double,coll:boolean>>")))
-    last = F.get("evals", F.size("evals") - 1)
-    fix = lambda s: F.when(F.length("word") < 2, F.lit(True)).otherwise(last["coll"] | (F.lit(s) * last["d"] > 0))
-    return known.select(*words.columns, records(F.col("evals"), sign, least).alias("own"), records(F.col("evals"), -sign, least).alias("other"), fix(sign).alias("own_fix"), fix(-sign).alias("other_fix"))
+    sign, none = 1.0 if lang == "en" else -1.0, F.array().cast("array<struct<j:int,d:double,coll:boolean>>")
+    known = words.join(forms(words.select("word"), lang), "word").join(scored, ["en", "he"], "left").withColumns({f"evals_{way}": F.coalesce(f"evals_{way}", none) for way in ways})
+    last = lambda way: F.get(f"evals_{way}", F.size(f"evals_{way}") - 1)
+    fix = lambda s, way: F.when(F.length("word") < 2, F.lit(True)).otherwise(last(way)["coll"] | (F.lit(s) * last(way)["d"] > 0))
+    parts = [
+        part.alias(f"{name}_{way}")
+        for way in ways
+        for name, part in (("own", records(F.col(f"evals_{way}"), sign, least)), ("other", records(F.col(f"evals_{way}"), -sign, least)), ("own_fix", fix(sign, way)), ("other_fix", fix(-sign, way)))
+    ]
+    return known.select(*words.columns, *parts)
 
 
 def replay(lines: DataFrame, scored: DataFrame, lang: str = "en", wrong: bool = False, params: K.Params = K.DEFAULTS) -> DataFrame:
     """doc_id, lang, line_no, events: each line's words in order, as typed by someone who starts on the right or the wrong
-    layout. An event has the state before the word (on the right layout or not, k, correctable tail) and what came of it.
-    Words are counted first: those of very common ones meet their evaluations where they lie."""
-    placed = line_words(lines)
+    layout. An event has the state before the word (on the right layout or not, k, correctable tail) and what came of it."""
+    return replay_states(lines, scored.withColumnRenamed("evals", "evals_own"), {"events": (wrong, "own")}, lang, params)
+
+
+#: The way of a state that takes each line's own: that of the line's `mode`, if it has one of the ways' names, else the first.
+BY_MODE = "by mode"
+
+
+def replay_states(lines: DataFrame, scored: DataFrame, states: dict[str, tuple[bool, str]], lang: str = "en", params: K.Params = K.DEFAULTS) -> DataFrame:
+    """doc_id, lang, line_no (and mode, if lines have one), and for each state its events: a state begins on the right or the wrong
+    layout and judges by a way of `scored` (en, he, evals_<way>). Lines are split and gathered once, whatever the number of
+    states. Words are counted first: very common ones meet their evaluations where they lie."""
+    ways = tuple(name.removeprefix("evals_") for name in scored.columns if name.startswith("evals_"))
+    keys = (*LINE, "mode") if "mode" in lines.columns else LINE
+    placed = lines.select(*keys, F.posexplode(T.split_words("line")).alias("w", "word"))
     counted = stored(placed.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = stored(summaries(counted, scored, lang, params).withColumn("use", F.lit(True)))
-    item = F.struct("w", "word", F.length("word").alias("size"), "own", "other", "own_fix", "other_fix")
-    folded = join_back(placed, known, ["word"], hot_limit(total)).groupBy(*LINE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    known = stored(summaries(counted, scored, lang, params, ways).withColumn("use", F.lit(True)))
+    item = F.struct("w", "word", F.length("word").alias("size"), *(f"{part}_{way}" for way in ways for part in ("own", "other", "own_fix", "other_fix")))
+    folded = join_back(placed, known, ["word"], hot_limit(total)).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return folded.select(*keys, *(fold("items", wrong, way, ways, params).alias(name) for name, (wrong, way) in states.items()))
+
+
+def fold(items: str, wrong: bool, way: str, ways: tuple[str, ...], params: K.Params) -> Column:
+    """The events of a line's words."""
     page = f"array<{EVENT}>"
     start = F.struct(F.array().cast(page).alias("open"), F.array().cast(f"array<{page}>").alias("full"))
 
+    def part(x: Column, name: str) -> Column:
+        if way != BY_MODE:
+            return x[f"{name}_{way}"]
+        chosen = x[f"{name}_{ways[0]}"]
+        for other in ways[1:]:
+            chosen = F.when(F.col("mode") == other, x[f"{name}_{other}"]).otherwise(chosen)
+        return chosen
+
     def state(last: Column) -> Column:
         """What the event before leaves behind."""
         return F.struct(
@@ -144,60 +174,91 @@ def replay(lines: DataFrame, scored: DataFrame, lang: str = "en", wrong: bool =
         )
 
     def event(before: Column, x: Column, found: Column) -> Column:
-        fixable = F.when(before["correct"], x["own_fix"]).otherwise(x["other_fix"])
+        fixable = F.when(before["correct"], part(x, "own_fix")).otherwise(part(x, "other_fix"))
         return F.struct(
             x["w"].alias("w"), x["word"].alias("word"), x["size"].alias("size"), before["correct"].alias("correct"), before["k"].alias("k"), before["tail"].alias("tail"),
             found.isNotNull().alias("switched"), trigger_place(found, x["size"]).alias("idx"), found["d"].alias("diff"), (found.isNull() & fixable).alias("fixable"),
         )
 
     def step(acc: Column, x: Column) -> Column:
-        hit = lambda before: F.get(F.filter(F.when(before["correct"], x["own"]).otherwise(x["other"]), lambda e: e["d"] > T.delta(before["k"], params)), 0)
+        hit = lambda before: F.get(F.filter(F.when(before["correct"], part(x, "own")).otherwise(part(x, "other")), lambda e: e["d"] > T.delta(before["k"], params)), 0)
         before = F.array(state(F.get(acc["open"], F.size(acc["open"]) - 1)))
         met = F.transform(before, lambda s: F.struct(s.alias("state"), hit(s).alias("found")))
         this = F.transform(met, lambda m: event(m["state"], x, m["found"])).cast(page)
         ends = F.size(acc["open"]) >= PAGE
         return F.struct(F.when(ends, this).otherwise(F.concat(acc["open"], this)).alias("open"), F.when(ends, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).alias("full"))
 
-    return folded.select(*LINE, F.aggregate("items", start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"])))).alias("events"))
+    return F.aggregate(items, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"]))))
 
 
 def events_of(replayed: DataFrame) -> DataFrame:
     return replayed.select(*LINE, F.explode("events").alias("e")).select(*LINE, "e.*")
 
 
+def fp_counts(events: str = "events") -> list[Column]:
+    """n_words, fp_count, recovery_count of a line typed on the right layout."""
+    n = lambda condition: F.size(F.filter(events, condition)).cast("long")
+    return [F.size(events).cast("long").alias("n_words"), n(lambda e: e["switched"] & e["correct"]).alias("fp_count"), n(lambda e: e["switched"] & ~e["correct"]).alias("recovery_count")]
+
+
+def fn_counts(events: str = "events") -> list[Column]:
+    """n_words, line_switched, latency, words_not_switched of a line typed on the wrong layout."""
+    late = lambda e: F.when(e["correct"], 0).when(~e["switched"] | (e["idx"] == -1), e["size"] + 1).otherwise(e["idx"] + 1)
+    missed = lambda e: F.when(e["switched"] & ~e["correct"], F.greatest(e["w"] - e["tail"], F.lit(0))).otherwise(0)
+    total = lambda what: F.aggregate(events, F.lit(0).cast("long"), lambda acc, e: acc + what(e))
+    switched = F.exists(events, lambda e: e["switched"] & ~e["correct"])
+    return [
+        F.size(events).cast("long").alias("n_words"),
+        switched.alias("line_switched"),
+        F.when(switched, total(late)).otherwise(total(lambda e: e["size"] + 1)).alias("latency"),
+        F.when(switched, total(missed)).otherwise(F.size(events).cast("long")).alias("words_not_switched"),
+    ]
+
+
+def fp_sums(of: str = "") -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("lines_tested"), F.sum(f"{of}n_words").alias("words_tested"), F.sum(f"{of}fp_count").alias("fp_count"), F.sum(f"{of}recovery_count").alias("recovery_count"), F.count_if(F.col(f"{of}fp_count") > 0).alias("lines_with_fp"),
+    ]
+
+
+def fn_sums(of: str = "") -> list[Column]:
+    return [F.count_if(F.col(f"{of}line_switched")).alias("lines_switched"), F.sum(f"{of}words_not_switched").alias("words_not_switched"), F.sum(f"{of}latency").alias("total_latency_chars")]
+
+
 def audit_fp(replayed: DataFrame) -> DataFrame:
     """doc_id, lang, line_no, n_words, fp_count, recovery_count of lines typed on the right layout."""
-    n = lambda condition: F.size(F.filter("events", condition)).cast("long")
-    return replayed.select(
-        *LINE, F.size("events").cast("long").alias("n_words"), n(lambda e: e["switched"] & e["correct"]).alias("fp_count"), n(lambda e: e["switched"] & ~e["correct"]).alias("recovery_count")
-    )
+    return replayed.select(*LINE, *fp_counts())
 
 
 def fp_report(audited: DataFrame) -> DataFrame:
-    return audited.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("lines_tested"), F.sum("n_words").alias("words_tested"), F.sum("fp_count").alias("fp_count"), F.sum("recovery_count").alias("recovery_count"), F.count_if(F.col("fp_count") > 0).alias("lines_with_fp")
-    )
+    return audited.groupBy("lang").agg(*fp_sums())
 
 
 def audit_fn(replayed: DataFrame) -> DataFrame:
     """doc_id, lang, line_no, n_words, line_switched, latency, words_not_switched of lines typed on the wrong layout."""
-    late = lambda e: F.when(e["correct"], 0).when(~e["switched"] | (e["idx"] == -1), e["size"] + 1).otherwise(e["idx"] + 1)
-    missed = lambda e: F.when(e["switched"] & ~e["correct"], F.greatest(e["w"] - e["tail"], F.lit(0))).otherwise(0)
-    total = lambda what: F.aggregate("events", F.lit(0).cast("long"), lambda acc, e: acc + what(e))
-    switched = F.exists("events", lambda e: e["switched"] & ~e["correct"])
-    return replayed.select(
-        *LINE,
-        F.size("events").cast("long").alias("n_words"),
-        switched.alias("line_switched"),
-        F.when(switched, total(late)).otherwise(total(lambda e: e["size"] + 1)).alias("latency"),
-        F.when(switched, total(missed)).otherwise(F.size("events").cast("long")).alias("words_not_switched"),
-    )
+    return replayed.select(*LINE, *fn_counts())
 
 
 def fn_report(audited: DataFrame) -> DataFrame:
-    return audited.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("lines_tested"), F.sum("n_words").alias("words_tested"), F.count_if("line_switched").alias("lines_switched"), F.sum("words_not_switched").alias("words_not_switched"), F.sum("latency").alias("total_latency_chars")
-    )
+    return audited.groupBy("lang").agg(F.count(F.lit(1)).alias("lines_tested"), F.sum("n_words").alias("words_tested"), *fn_sums())
+
+
+def reports(replayed: DataFrame, versions: list[str], *keys: str) -> DataFrame:
+    """version, keys and the columns of both reports, from the states <version>_fp and <version>_fn, in one grouping."""
+    lines = replayed.select(*keys, *(part for v in versions for part in (F.struct(*fp_counts(f"{v}_fp")).alias(f"{v}_fp"), F.struct(*fn_counts(f"{v}_fn")).alias(f"{v}_fn"))))
+    sums = [column for v in versions for column in (*(c.alias(f"{v} {name}") for c, name in zip(fp_sums(f"{v}_fp."), FP_REPORT)), *(c.alias(f"{v} {name}") for c, name in zip(fn_sums(f"{v}_fn."), FN_REPORT)))]
+    totals = lines.groupBy(*keys).agg(*sums)
+    each = F.array(*(F.struct(F.lit(v).alias("version"), *(F.col(f"`{v} {name}`").alias(name) for name in (*FP_REPORT, *FN_REPORT))) for v in versions))
+    return totals.select(*keys, F.explode(each).alias("r")).select("r.version", *keys, *(f"r.{name}" for name in (*FP_REPORT, *FN_REPORT)))
+
+
+FP_REPORT = ("lines_tested", "words_tested", "fp_count", "recovery_count", "lines_with_fp")
+FN_REPORT = ("lines_switched", "words_not_switched", "total_latency_chars")
+
+
+def both_starts(*ways: str) -> dict[str, tuple[bool, str]]:
+    """The states of both reports for each way: begun on the right layout, and on the wrong one."""
+    return {f"{way}_{kind}": (wrong, way) for way in ways for kind, wrong in (("fp", False), ("fn", True))}
 
 
 def latency_summary(audited: DataFrame) -> DataFrame:
@@ -219,42 +280,53 @@ def percent(a: str, b: str) -> Column:
     return F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) * 100, 6)
 
 
-def fp_rates(report: DataFrame) -> DataFrame:
-    return report.select("lang", percent("fp_count", "words_tested").alias("fp_percent"), percent("lines_with_fp", "lines_tested").alias("lines_with_fp_percent"))
+def fp_percents() -> list[Column]:
+    return [percent("fp_count", "words_tested").alias("fp_percent"), percent("lines_with_fp", "lines_tested").alias("lines_with_fp_percent")]
 
 
-def fn_rates(report: DataFrame) -> DataFrame:
-    return report.select("lang", percent("lines_switched", "lines_tested").alias("lines_switched_percent"), percent("words_not_switched", "words_tested").alias("words_not_switched_percent"))
+def fn_percents() -> list[Column]:
+    return [percent("lines_switched", "lines_tested").alias("lines_switched_percent"), percent("words_not_switched", "words_tested").alias("words_not_switched_percent")]
+
+
+def fp_rates(report: DataFrame) -> DataFrame:
+    return report.select("lang", *fp_percents())
 
 
-def excerpts(bad: DataFrame, lines: DataFrame) -> DataFrame:
-    """`bad` (doc_id, line_no, ...) with the first 100 characters of its lines."""
-    return bad.join(lines.select("doc_id", "line_no", F.substring("line", 1, 100).alias("excerpt")), ["doc_id", "line_no"])
+def fn_rates(report: DataFrame) -> DataFrame:
+    return report.select("lang", *fn_percents())
 
 
-def flagged(replayed: DataFrame, lines: DataFrame, n: int = 30, params: K.Params = K.DEFAULTS) -> DataFrame:
-    """The first n lines with a false positive: excerpt, and for each switch its word and lookback, for false ones also the
-    difference and the threshold."""
-    bad = replayed.where(F.exists("events", lambda e: e["switched"] & e["correct"])).orderBy("doc_id", "line_no").limit(n)
-    amount = lambda c: F.format_string("%.2f", c)
-    gap = lambda e: F.concat_ws(" ", F.concat(F.lit("diff="), amount(e["diff"])), F.concat(F.lit("delta="), amount(T.delta(e["k"], params))))
+def fp_details(events: str, params: K.Params = K.DEFAULTS) -> Column:
+    """For each switch its word and lookback, for false ones also the signed difference and the threshold."""
+    gap = lambda e: F.concat_ws(" ", F.concat(F.lit("diff="), F.format_string("%+.2f", e["diff"])), F.concat(F.lit("delta="), F.format_string("%.2f", T.delta(e["k"], params))))
     details = F.transform(
-        F.filter("events", lambda e: e["switched"]),
+        F.filter(events, lambda e: e["switched"]),
         lambda e: F.concat_ws(" ", F.when(e["correct"], "FP").otherwise("Recovery"), (e["w"] + 1).cast("string"), e["word"], F.when(e["correct"], gap(e)), F.concat(F.lit("lookback="), e["tail"].cast("string"))),
     )
-    return excerpts(bad, lines).select("doc_id", "line_no", "excerpt", F.array_join(details, "; ").alias("details"))
+    return F.array_join(details, "; ")
 
 
-def flagged_fn(replayed: DataFrame, lines: DataFrame, n: int = 30) -> DataFrame:
-    """The first n lines typed on the wrong layout that never switch, or leave words uncorrected: excerpt, and the word of the
-    first switch, the latency and the uncorrected words, or that there was no switch and the characters lost."""
-    audited = audit_fn(replayed).where("not line_switched or words_not_switched > 0").orderBy("doc_id", "line_no").limit(n)
-    first = replayed.select("doc_id", "line_no", F.get(F.filter("events", lambda e: e["switched"] & ~e["correct"]), 0).alias("first"))
-    bad = audited.join(first, ["doc_id", "line_no"])
+def fn_details(events: str) -> Column:
+    """The word of the first switch, the latency and the uncorrected words, or that there was no switch and the characters lost."""
+    counts = F.struct(*fn_counts(events))
+    first = F.get(F.filter(events, lambda e: e["switched"] & ~e["correct"]), 0)
     mark = lambda name, c: F.concat(F.lit(f"{name}="), c.cast("string"))
-    late = F.concat_ws(" ", F.lit("switch"), (F.col("first.w") + 1).cast("string"), F.col("first.word"), mark("latency", F.col("latency")), mark("uncorrected", F.col("words_not_switched")))
-    lost = F.concat_ws(" ", F.lit("no switch"), mark("lost", F.col("latency")))
-    return excerpts(bad, lines).select("doc_id", "line_no", "excerpt", F.when(F.col("line_switched"), late).otherwise(lost).alias("details"))
+    late = F.concat_ws(" ", F.lit("switch"), (first["w"] + 1).cast("string"), first["word"], mark("latency", counts["latency"]), mark("uncorrected", counts["words_not_switched"]))
+    return F.when(counts["line_switched"], late).otherwise(F.concat_ws(" ", F.lit("no switch"), mark("lost", counts["latency"])))
+
+
+def flagged(replayed: DataFrame, lines: DataFrame, n: int = 30, params: K.Params = K.DEFAULTS, fp: str = "own_fp", fn: str = "own_fn") -> DataFrame:
+    """kind, doc_id, line_no, excerpt, details: the first n lines with a false positive (`fp`), and the first n typed on the wrong
+    layout that never switch or leave words uncorrected (`fn`). Both are ranked in one pass; each task sends n at most."""
+    missed = F.struct(*fn_counts(fn))
+    bad = F.array_compact(F.array(
+        F.when(F.exists(fp, lambda e: e["switched"] & e["correct"]), F.struct(F.lit("fp").alias("kind"), fp_details(fp, params).alias("details"))),
+        F.when(~missed["line_switched"] | (missed["words_not_switched"] > 0), F.struct(F.lit("fn").alias("kind"), fn_details(fn).alias("details"))),
+    ))
+    every = replayed.select("doc_id", "line_no", F.explode(bad).alias("x")).select("x.kind", "doc_id", "line_no", "x.details")
+    order = Window.partitionBy("kind").orderBy("doc_id", "line_no")
+    first = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return lines.select("doc_id", "line_no", F.substring("line", 1, 100).alias("excerpt")).join(F.broadcast(first), ["doc_id", "line_no"]).select("kind", "doc_id", "line_no", "excerpt", "details")
 
 
 def lookback(replayed: DataFrame) -> DataFrame:
@@ -278,12 +350,7 @@ def repair(replayed: DataFrame, lang: str = "en") -> DataFrame:
     return replayed.select(*LINE, F.array_join(F.transform(done, lambda x: F.when(x["swap"], T.shadow(x["word"], direction)).otherwise(x["word"])), " ").alias("repaired"))
 
 
-def audit_compare(lines: DataFrame, versions: dict[str, DataFrame], lang: str = "en", params: K.Params = K.DEFAULTS) -> DataFrame:
-    """Both reports under several models: version, lang and the columns of the false-positive and false-negative reports."""
-    every = None
-    for name, scored in versions.items():
-        fp = fp_report(audit_fp(replay(lines, scored, lang, False, params)))
-        fn = fn_report(audit_fn(replay(lines, scored, lang, True, params))).drop("lines_tested", "words_tested")
-        part = fp.join(fn, "lang").withColumn("version", F.lit(name))
-        every = part if every is None else every.unionByName(part)
-    return every
+def audit_compare(lines: DataFrame, scored: DataFrame, versions: list[str], lang: str = "en", params: K.Params = K.DEFAULTS) -> DataFrame:
+    """Both reports under several models: version, lang and the columns of the false-positive and false-negative reports. `scored`
+    has the versions as ways; all are replayed over the lines at once."""
+    return reports(replay_states(lines, scored, both_starts(*versions), lang, params), versions, "lang")

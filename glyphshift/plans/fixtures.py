@@ -64,16 +64,25 @@ def audit_lines(every: DataFrame) -> DataFrame:
     return every.where("lang in ('en', 'es', 'fr')")
 
 
-def audit_scores(spark: SparkSession, sf_dir: str, every: DataFrame, english: tuple[str, ...] = ("en",)) -> DataFrame:
+def audit_scores(spark: SparkSession, sf_dir: str, every: DataFrame, ways: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """en, he, and evals_<way> of the audited words."""
+    ways = ways or {"own": ("en",)}
     words = ngrams.words(audit_lines(every)).distinct()
-    trained = models(spark, sf_dir, every, (*english, "he"))
-    return stored(audit.evaluations(audit.forms(words), trained, stored(collisions(spark, sf_dir, every)), english))
+    trained = models(spark, sf_dir, every, tuple(dict.fromkeys(name for names in (*ways.values(), ("he",)) for name in names)))
+    return stored(audit.evaluations_by_way(audit.forms(words), trained, stored(collisions(spark, sf_dir, every)), ways))
 
 
 def replayed(spark: SparkSession, sf_dir: str, wrong: bool, every: DataFrame | None = None) -> DataFrame:
     """The audited lines, replayed. The documents are split once."""
     every = stored(lines(spark, sf_dir)) if every is None else every
-    return audit.replay(audit_lines(every), audit_scores(spark, sf_dir, every), "en", wrong)
+    return audit.replay_states(audit_lines(every), audit_scores(spark, sf_dir, every), {"events": (wrong, "own")})
+
+
+def with_mode(spark: SparkSession, every: DataFrame) -> DataFrame:
+    """Lines with the mode that they are judged by: documents ask for each mode in turn, and two sources are technical."""
+    asked = F.element_at(F.array(*map(F.lit, ("smart", "technical", "odd", "standard"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    technical = spark.createDataFrame([("src0",), ("SRC3",)], "name string")
+    return cleaning.resolve_mode(every.withColumn("mode", asked), technical).drop("mode", "technical").withColumnRenamed("resolved", "mode")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +133,14 @@ def mixed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 def pairs(every: DataFrame) -> DataFrame:
     """time, active, shadow, layout, on_delimiter: distinct words of the audited lines, on either layout."""
-    words = ngrams.words(audit_lines(every)).distinct()
-    return audit.word_buffers(words).select(F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.length("active")).alias("time"), "active", "shadow", "layout", (F.length("active") % 2 == 0).alias("on_delimiter"))
+    return pairs_of(audit.word_buffers(ngrams.words(audit_lines(every)).distinct()))
+
+
+def mode_pairs(spark: SparkSession, every: DataFrame) -> DataFrame:
+    """The same, with `mode`: distinct words by the modes of the documents that hold them."""
+    words = ngrams.words(with_mode(spark, audit_lines(every)), "mode").distinct()
+    return pairs_of(words.join(audit.word_buffers(words.select("word").distinct()), "word"), "mode")
+
+
+def pairs_of(buffers: DataFrame, *keys: str) -> DataFrame:
+    return buffers.select(*keys, F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.length("active")).alias("time"), "active", "shadow", "layout", (F.length("active") % 2 == 0).alias("on_delimiter"))

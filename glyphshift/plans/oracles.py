@@ -242,6 +242,33 @@ for m, form in (("en", "lower(word)"), ("he", to_he("word"))):
         ("awords", "ngrams", "meta", "firsts"),
         "SELECT *, round(raw, 6) AS score FROM (" + SCORE.replace("{m}", m).replace("awords", f"(SELECT DISTINCT ' ' || {form} || ' ' AS word FROM awords)").replace(", 6) AS score", ", 15) AS raw") + ")",
     )
+PARTS["doc_mode"] = (
+    (),
+    """SELECT DISTINCT doc_id, CASE WHEN mode IN ('technical', 'standard') THEN mode WHEN technical THEN 'technical' ELSE 'standard' END AS mode
+    FROM (SELECT doc_id, ['smart', 'technical', 'odd', 'standard'][doc_id % 4 + 1] AS mode, lower(source) IN ('src0', 'src3') AS technical FROM documents)""",
+)
+PARTS["mode_pairs"] = (
+    ("placed", "doc_mode", "pairs"),
+    f"""SELECT mode, b.* EXCLUDE (word) FROM (SELECT DISTINCT word, mode FROM placed JOIN doc_mode USING (doc_id)) JOIN (SELECT CASE WHEN layout = 'en' THEN active ELSE shadow END AS word, * FROM pairs) b USING (word)""",
+)
+PARTS["ps_so"] = (("ptexts", "ngrams", "meta", "firsts"), PARTS["ps_en"][1].replace("'en'", "'so'"))
+PARTS["mode_decided"] = (
+    ("mode_pairs", "ptexts", "ps_en", "ps_so", "ps_he", "collisions"),
+    """SELECT mode, active, shadow, layout, on_delimiter, diff AS score_diff, coll AS is_colliding, short OR (NOT coll AND diff <= 4.0 AND diff > 0) AS is_ambiguous, NOT short AND NOT coll AND diff > 4.0 AS should_switch FROM (
+    SELECT *, length(active) < 2 AS short, CASE WHEN length(active) < 2 THEN 0 WHEN layout = 'en' THEN h - e ELSE e - h END AS diff,
+           length(active) >= 2 AND (lower(active) IN (SELECT word FROM collisions) OR lower(shadow) IN (SELECT word FROM collisions)) AS coll
+    FROM (SELECT m.*, h.score AS h, CASE WHEN mode = 'technical' THEN greatest(e.score, s.score) ELSE e.score END AS e
+          FROM mode_pairs m JOIN ptexts p USING (active, shadow, layout, on_delimiter) JOIN ps_en e ON e.text = en_text JOIN ps_so s ON s.text = en_text JOIN ps_he h ON h.text = he_text))""",
+)
+for kind, columns in (
+    ("fp", "count(*) AS lines_tested, sum(n_words)::BIGINT AS words_tested, sum(fp_count)::BIGINT AS fp_count, sum(recovery_count)::BIGINT AS recovery_count, count(*) FILTER (fp_count > 0) AS lines_with_fp"),
+    ("fn", "count(*) FILTER (line_switched) AS lines_switched, sum(words_not_switched)::BIGINT AS words_not_switched, sum(latency)::BIGINT AS total_latency_chars"),
+):
+    standard, technical = (("fp", "tech") if kind == "fp" else ("fn", "tfn"))
+    PARTS[f"mode_{kind}"] = (
+        (standard, technical, "doc_mode"),
+        f"SELECT lang, mode, {columns} FROM (SELECT * FROM {standard} JOIN doc_mode USING (doc_id) WHERE mode = 'standard' UNION ALL SELECT * FROM {technical} JOIN doc_mode USING (doc_id) WHERE mode = 'technical') GROUP BY lang, mode",
+    )
 CATEGORY = "CASE WHEN abs(score_diff) > 3 THEN '|x| > 3' WHEN abs(score_diff) > 2 THEN '3 > |x| > 2' WHEN abs(score_diff) > 1 THEN '2 > |x| > 1' ELSE '1 > |x|' END"
 PARTS["log"] = (
     ("decided",),
@@ -330,6 +357,7 @@ ORACLES = {
     "e4_collision_set": sql("SELECT * FROM collisions", "collisions"),
     "e5_flag_collisions": sql("SELECT active, shadow, layout, lower(active) IN (SELECT word FROM collisions) OR lower(shadow) IN (SELECT word FROM collisions) AS is_colliding FROM pairs", "pairs", "collisions"),
     "e6_decide": sql("SELECT * REPLACE (round(score_diff, 6) AS score_diff) FROM decided", "decided"),
+    "e6_decide_modes": sql("SELECT * REPLACE (round(score_diff, 6) AS score_diff) FROM mode_decided", "mode_decided"),
     "e7_first_trigger": sql(
         f"SELECT word, CASE WHEN hit.j = length(word) - 1 THEN -1 ELSE hit.j + 1 END AS idx, round(hit.d, 6) AS diff FROM (SELECT word, list_filter(coalesce(evals, []), lambda e: NOT e.coll AND e.d > 4.0)[1] AS hit FROM awords LEFT JOIN evals e ON e.en = word AND e.he = {to_he('word')})",
         "awords", "evals",
@@ -345,6 +373,7 @@ ORACLES = {
     "f2_fp_report": sql("SELECT * FROM fp_report", "fp_report"),
     "f3_audit_fn": sql("SELECT * FROM fn", "fn"),
     "f3_fn_report": sql("SELECT * FROM fn_report", "fn_report"),
+    "f3_mode_reports": sql("SELECT * FROM mode_fp JOIN mode_fn USING (lang, mode)", "mode_fp", "mode_fn"),
     "f4_latency_summary": sql("SELECT lang, count(*) AS n, round(avg(latency), 6) AS mean, median(latency) AS median, list_sort(list(latency))[least(floor(count(*) * 0.95), count(*) - 1)::BIGINT + 1] AS p95 FROM fn GROUP BY lang", "fn"),
     "f5_rates": sql(
         "SELECT lang, round(fp_count / words_tested * 100, 6) AS fp_percent, round(lines_with_fp / lines_tested * 100, 6) AS lines_with_fp_percent, r.a AS lines_switched_percent, r.b AS words_not_switched_percent FROM fp_report JOIN (SELECT lang, round(lines_switched / lines_tested * 100, 6) AS a, round(words_not_switched / words_tested * 100, 6) AS b FROM fn_report) r USING (lang)",
@@ -352,7 +381,7 @@ ORACLES = {
     ),
     "f6_flagged": sql(
         """SELECT 'fp' AS kind, b.doc_id, b.line_no, substr(line, 1, 100) AS excerpt,
-           string_agg(CASE WHEN correct THEN 'FP' ELSE 'Recovery' END || ' ' || (w + 1) || ' ' || word || CASE WHEN correct THEN printf(' diff=%.2f delta=%.2f', diff, 4.0 + 0.5 * pow(k, 2)) ELSE '' END || ' lookback=' || tail, '; ' ORDER BY w) AS details
+           string_agg(CASE WHEN correct THEN 'FP' ELSE 'Recovery' END || ' ' || (w + 1) || ' ' || word || CASE WHEN correct THEN printf(' diff=%+.2f delta=%.2f', diff, 4.0 + 0.5 * pow(k, 2)) ELSE '' END || ' lookback=' || tail, '; ' ORDER BY w) AS details
         FROM (SELECT DISTINCT doc_id, line_no FROM ev_fp WHERE switched AND correct ORDER BY 1, 2 LIMIT 30) b JOIN ev_fp e ON e.doc_id = b.doc_id AND e.line_no = b.line_no AND e.switched JOIN lines l ON l.doc_id = b.doc_id AND l.line_no = b.line_no GROUP BY ALL
         UNION ALL SELECT 'fn', b.doc_id, b.line_no, substr(line, 1, 100),
            CASE WHEN line_switched THEN 'switch ' || (e.w + 1) || ' ' || e.word || ' latency=' || latency || ' uncorrected=' || words_not_switched ELSE 'no switch lost=' || latency END

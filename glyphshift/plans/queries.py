@@ -310,10 +310,18 @@ def e6_decide(spark, sf):
     return rounded(decided(spark, sf).drop("time"), "score_diff")
 
 
+@query
+def e6_decide_modes(spark, sf):
+    """Each pair judged by the models of the mode of the documents that hold it."""
+    pairs = X.mode_pairs(spark, X.lines(spark, sf))
+    return rounded(decide.decide(pairs, X.models(spark, sf), stored(X.collisions(spark, sf))).drop("time"), "score_diff")
+
+
 @query
 def e7_first_trigger(spark, sf):
     every = stored(X.lines(spark, sf))
-    return rounded(audit.first_trigger(ngrams.words(X.audit_lines(every)).distinct(), X.audit_scores(spark, sf, every)), "diff")
+    scored = X.audit_scores(spark, sf, every).withColumnRenamed("evals_own", "evals")
+    return rounded(audit.first_trigger(ngrams.words(X.audit_lines(every)).distinct(), scored), "diff")
 
 
 @query
@@ -384,20 +392,29 @@ def f4_latency_summary(spark, sf):
     return audit.latency_summary(audit.audit_fn(X.replayed(spark, sf, True)))
 
 
+def both_replayed(spark, sf, every):
+    return audit.replay_states(X.audit_lines(every), X.audit_scores(spark, sf, every), audit.both_starts("own"))
+
+
 @query
-def f5_rates(spark, sf):
+def f3_mode_reports(spark, sf):
+    """Both reports, each line judged by the models of its own mode."""
     every = stored(X.lines(spark, sf))
-    lines, scored = X.audit_lines(every), X.audit_scores(spark, sf, every)
-    fp, fn = audit.fp_report(audit.audit_fp(audit.replay(lines, scored))), audit.fn_report(audit.audit_fn(audit.replay(lines, scored, wrong=True)))
-    return audit.fp_rates(fp).join(audit.fn_rates(fn), "lang")
+    scored = X.audit_scores(spark, sf, every, decide.MODES)
+    replayed = audit.replay_states(X.with_mode(spark, X.audit_lines(every)), scored, {"own_fp": (False, audit.BY_MODE), "own_fn": (True, audit.BY_MODE)})
+    return audit.reports(replayed, ["own"], "lang", "mode").drop("version")
+
+
+@query
+def f5_rates(spark, sf):
+    report = audit.reports(both_replayed(spark, sf, stored(X.lines(spark, sf))), ["own"], "lang")
+    return report.select("lang", *audit.fp_percents(), *audit.fn_percents())
 
 
 @query
 def f6_flagged(spark, sf):
     every = stored(X.lines(spark, sf))
-    scored = X.audit_scores(spark, sf, every)
-    fp = audit.flagged(audit.replay(X.audit_lines(every), scored), every).withColumn("kind", F.lit("fp"))
-    return fp.unionByName(audit.flagged_fn(audit.replay(X.audit_lines(every), scored, wrong=True), every).withColumn("kind", F.lit("fn")))
+    return audit.flagged(both_replayed(spark, sf, every), every)
 
 
 @query
@@ -445,7 +462,7 @@ def f14_leaderboard(spark, sf):
 @query
 def f15_audit_compare(spark, sf):
     every = stored(X.lines(spark, sf))
-    return audit.audit_compare(X.audit_lines(every), {name: X.audit_scores(spark, sf, every, english) for name, english in (("standard", ("en",)), ("technical", ("en", "so")))})
+    return audit.audit_compare(X.audit_lines(every), X.audit_scores(spark, sf, every, decide.MODES), list(decide.MODES))
 
 
 # G. Context and streaming
@@ -499,7 +516,7 @@ def g5_detect_stream(spark, sf):
     lines = stored(X.lines(spark, sf))
     every = X.audit_lines(lines)
     placed = audit.line_words(every)
-    evals = audit.forms(placed.select("word").distinct()).join(X.audit_scores(spark, sf, lines), ["en", "he"], "left").select("word", "evals")
+    evals = audit.forms(placed.select("word").distinct()).join(X.audit_scores(spark, sf, lines), ["en", "he"], "left").select("word", F.col("evals_own").alias("evals"))
     none = F.lit(None).cast("array<struct<j:int,d:double,coll:boolean>>")
     typed = placed.join(evals, "word").select("doc_id", "line_no", "w", F.lit("word").alias("event_type"), "word", "evals")
     clicks = every.select("doc_id", "line_no", F.lit(-1).alias("w"), F.lit("click").alias("event_type"), F.lit("").alias("word"), none.alias("evals"))
