@@ -131,3 +131,18 @@ def gap_category(c: Column | str) -> Column:
     return F.when(size > 3, "|x| > 3").when(size > 2, "3 > |x| > 2").when(size > 1, "2 > |x| > 1").otherwise("1 > |x|")
 
 
+#: Results of a running fold are gathered in pages of this size, so that n of them aren't copied n times.
+PAGE = 64
+
+
+def running(items: Column | str, state: Column, step, element: str) -> Column:
+    """What `step(state, item)`, which returns the next state and an element, makes of each item in order."""
+    kind = f"array<{element}>"
+    start = F.struct(state.alias("state"), F.array().cast(kind).alias("open"), F.array().cast(f"array<{kind}>").alias("full"))
+
+    def go(acc: Column, x: Column) -> Column:
+        after, made = step(acc["state"], x)
+        this, ends = F.array(made).cast(kind), F.size(acc["open"]) >= PAGE
+        return F.struct(after.alias("state"), F.when(ends, this).otherwise(F.concat(acc["open"], this)).alias("open"), F.when(ends, F.concat(acc["full"], F.array(acc["open"]))).otherwise(acc["full"]).alias("full"))
+
+    return F.aggregate(col(items), start, go, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"]))))

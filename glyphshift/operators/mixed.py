@@ -1,44 +1,64 @@
-"""Mixed-language audits: script runs, valid typing, the trap at the last run, and the parameter grid."""
+"""Mixed-language audits: script runs, valid typing, the trap at the last run, and the parameter grid.
+
+Runs and segments stay in the row of their text. Words meet the few evaluations that can trigger; a sample's are gathered once,
+and all settings of the grid are held against them in one pass, in which a task adds up a counter for each setting.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphshift import constants as K
 from glyphshift.functions import text as T
+from glyphshift.operators.audit import records
+from glyphshift.operators.joins import hot_limit, join_back
+from glyphshift.session import stored
+
+HEBREW = "\\u0590-\\u05FF"
+RUN = "struct<lang:string,start:int,chunk:string>"
+
+
+def text_runs(texts: DataFrame, lead_fix: bool = False) -> DataFrame:
+    """sample_id, runs (lang, start, chunk): maximal runs of one script; other characters go with what is before them. The
+    first character counts as English, whatever it is, unless `lead_fix`. A Hebrew run goes on to the next English letter, and
+    an English one to the next Hebrew character."""
+    lead = "" if lead_fix else f"\\A(?s:.)[^{HEBREW}]*|"
+    chunks = texts.where("length(text) > 0").select("sample_id", F.regexp_extract_all("text", F.lit(f"{lead}[{HEBREW}][^A-Za-z]*|[^{HEBREW}]+"), F.lit(0)).alias("chunks"))
+    state = F.struct(F.lit(0).alias("at"), F.lit(not lead_fix).alias("forced"))
+
+    def step(state, chunk):
+        lang = F.when(~state["forced"] & chunk.rlike(f"^[{HEBREW}]"), "he").otherwise("en")
+        return F.struct((state["at"] + F.length(chunk)).alias("at"), F.lit(False).alias("forced")), F.struct(lang.alias("lang"), state["at"].alias("start"), chunk.alias("chunk"))
+
+    return chunks.select("sample_id", T.running("chunks", state, step, RUN).alias("runs"))
 
 
 def script_runs(texts: DataFrame, lead_fix: bool = False) -> DataFrame:
-    """sample_id, run, lang, start, chunk: maximal runs of one script; other characters go with what is before them. The
-    first character counts as English, whatever it is, unless `lead_fix`."""
-    chars = texts.where("length(text) > 0").select("sample_id", F.posexplode(F.split("text", "")).alias("i", "c")).where("c != ''")
-    own = F.when(F.col("c").rlike("[\\u0590-\\u05FF]"), "he").when(F.col("c").rlike("[A-Za-z]"), "en")
-    if not lead_fix:
-        own = F.when(F.col("i") == 0, "en").otherwise(own)
-    order = Window.partitionBy("sample_id").orderBy("i")
-    classed = chars.withColumn("lang", F.coalesce(F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("en")))
-    change = F.when(F.col("lang") != F.lag("lang").over(order), 1).otherwise(0)
-    numbered = classed.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    chunk = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), "")
-    return numbered.groupBy("sample_id", "run", "lang").agg(F.min("i").alias("start"), chunk.alias("chunk"))
+    """sample_id, run, lang, start, chunk: a row a run."""
+    return text_runs(texts, lead_fix).select("sample_id", F.posexplode("runs").alias("run", "r")).select("sample_id", "run", "r.lang", "r.start", "r.chunk")
 
 
 def segments(runs: DataFrame, trap: bool) -> DataFrame:
-    """sample_id, seg, layout, start, trap_at, en, he: what is typed between resets, as both layouts have it. In the trap the
-    last run is typed on the layout of the run before, without a reset: the two are one segment. Samples of one run go."""
-    last = runs.groupBy("sample_id").agg(F.max("run").alias("last")).where("last > 0")
-    own = runs.join(last, "sample_id")
-    english = F.col("lang") == "en"
-    own = own.withColumns({"en": F.when(english, F.col("chunk")).otherwise(T.shadow("chunk", "he_to_en")), "he": F.when(english, T.shadow("chunk")).otherwise(F.col("chunk"))})
-    if not trap:
-        return own.select("sample_id", F.col("run").alias("seg"), F.col("lang").alias("layout"), "start", F.lit(None).cast("int").alias("trap_at"), "en", "he")
-    parts = F.array_sort(F.collect_list(F.struct("run", "lang", "start", "en", "he")))
-    fused = own.withColumn("seg", F.least("run", F.col("last") - 1)).groupBy("sample_id", "seg", "last").agg(parts.alias("p"))
-    text = lambda name: F.array_join(F.transform("p", lambda x: x[name]), "")
-    first = F.col("p")[0]
-    trap_at = F.when(F.col("seg") == F.col("last") - 1, F.element_at("p", -1)["start"])
-    return fused.select("sample_id", "seg", first["lang"].alias("layout"), first["start"].alias("start"), trap_at.alias("trap_at"), text("en").alias("en"), text("he").alias("he"))
+    """sample_id, seg, layout, start, trap_at, en, he: what is typed between resets, as both layouts have it, from `text_runs`. In
+    the trap the last run is typed on the layout of the run before, without a reset: the two are one segment. Samples of one run
+    go."""
+
+    def typed(r):
+        english = r["lang"] == "en"
+        en, he = F.when(english, r["chunk"]).otherwise(T.shadow(r["chunk"], "he_to_en")), F.when(english, T.shadow(r["chunk"])).otherwise(r["chunk"])
+        return F.struct(r["lang"].alias("layout"), r["start"].alias("start"), F.lit(None).cast("int").alias("trap_at"), en.alias("en"), he.alias("he"))
+
+    segs = runs.where("size(runs) > 1").select("sample_id", F.transform("runs", typed).alias("segs"))
+    if trap:
+        a, b = F.element_at("segs", -2), F.element_at("segs", -1)
+        fused = F.struct(a["layout"].alias("layout"), a["start"].alias("start"), b["start"].alias("trap_at"), F.concat(a["en"], b["en"]).alias("en"), F.concat(a["he"], b["he"]).alias("he"))
+        segs = segs.select("sample_id", F.concat(F.slice("segs", F.lit(1), F.size("segs") - 2), F.array(fused)).alias("segs"))
+    return segs.select("sample_id", F.posexplode("segs").alias("seg", "s")).select("sample_id", "seg", "s.*")
 
 
 def segment_words(segs: DataFrame) -> DataFrame:
@@ -46,67 +66,56 @@ def segment_words(segs: DataFrame) -> DataFrame:
     the words before, at is the place of the first character in the sample, ended is whether a delimiter follows."""
     cut = lambda c: F.split(c, "[ \\n\\t]")
     pairs = F.arrays_zip(cut("en").alias("en"), cut("he").alias("he"))
-    start = F.struct(F.col("start").alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<k:int,at:int,en:string,he:string>>").alias("words"))
 
-    def step(acc, x):
-        full = x["en"] != ""
-        word = F.struct(acc["k"].alias("k"), acc["at"].alias("at"), x["en"].alias("en"), x["he"].alias("he"))
-        return F.struct((acc["at"] + F.length(x["en"]) + 1).alias("at"), F.when(full, acc["k"] + 1).otherwise(acc["k"]).alias("k"), F.concat(acc["words"], F.array(word)).alias("words"))
+    def step(state, x):
+        after = F.struct((state["at"] + F.length(x["en"]) + 1).alias("at"), F.when(x["en"] != "", state["k"] + 1).otherwise(state["k"]).alias("k"))
+        return after, F.struct(state["k"].alias("k"), state["at"].alias("at"), x["en"].alias("en"), x["he"].alias("he"))
 
-    folded = segs.select("sample_id", "seg", "layout", "trap_at", F.aggregate(pairs, start, step, lambda acc: acc["words"]).alias("words"))
+    words = T.running(pairs, F.struct(F.col("start").alias("at"), F.lit(0).alias("k")), step, "struct<k:int,at:int,en:string,he:string>")
+    folded = segs.select("sample_id", "seg", "layout", "trap_at", words.alias("words"))
     every = folded.select("sample_id", "seg", "layout", "trap_at", F.size("words").alias("n"), F.posexplode("words").alias("i", "w"))
     return every.select("sample_id", "seg", "layout", "trap_at", "w.k", "w.at", (F.col("i") < F.col("n") - 1).alias("ended"), "w.en", "w.he").where("en != ''")
 
 
-def candidates(words: DataFrame, scored: DataFrame, prune: bool = True) -> DataFrame:
-    """sample_id, trap_at, pos, k, d: evaluations that could trigger. pos is the number of characters typed by then. With a
-    threshold that never falls within a segment, only those above all before them can be the first (`prune`)."""
-    sign = F.when(F.col("layout") == "en", 1.0).otherwise(-1.0)
-    every = words.join(scored, ["en", "he"]).select("sample_id", "seg", "trap_at", "k", "at", "ended", F.length("en").alias("size"), sign.alias("sign"), F.explode("evals").alias("e"))
-    end = F.col("e.j") == F.col("size") - 1
-    every = every.where(~end | F.col("ended")).where(~F.col("e.coll"))
-    pos = F.col("at") + F.when(end, F.col("size") + 1).otherwise(F.col("e.j") + 2)
-    out = every.select("sample_id", "seg", "trap_at", pos.alias("pos"), "k", (F.col("sign") * F.col("e.d")).alias("d")).where("d > 0")
-    if prune:
-        before = Window.partitionBy("sample_id", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn("most", F.max("d").over(before)).where("most is null or d > most").drop("most")
-    return out
+def candidates(words: DataFrame, scored: DataFrame, least: float = 0.0, prune: bool = True) -> DataFrame:
+    """sample_id, pos, k, d: evaluations that could trigger over a threshold of `least` or more. pos is the number of characters
+    typed by then. A threshold stays the same within a word, so only those above all before them in it can be the first
+    (`prune`). Words without any go before they are joined; very common ones meet theirs where they lie."""
+    every = lambda sign: F.transform(F.filter("evals", lambda e: ~e["coll"] & (F.lit(sign) * e["d"] > least)), lambda e: F.struct(e["j"].alias("j"), (F.lit(sign) * e["d"]).alias("d")))
+    own = (lambda sign: records(F.col("evals"), sign, least)) if prune else every
+    counted = words.groupBy("en", "he").agg(F.count(F.lit(1)).alias("n"))
+    known = stored(counted.join(scored, ["en", "he"]).select("en", "he", "n", own(1.0).alias("as_en"), own(-1.0).alias("as_he")).withColumn("use", (F.size("as_en") > 0) | (F.size("as_he") > 0)))
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = join_back(words, known, ["en", "he"], hot_limit(total)).withColumn("e", F.explode(F.when(F.col("layout") == "en", F.col("as_en")).otherwise(F.col("as_he"))))
+    end = F.col("e.j") == F.length("en") - 1
+    pos = F.col("at") + F.when(end, F.length("en") + 1).otherwise(F.col("e.j") + 2)
+    return met.where(~end | F.col("ended")).select("sample_id", pos.alias("pos"), "k", "e.d")
 
 
-def outcomes(found: DataFrame, params: DataFrame) -> DataFrame:
-    """d0, a, p, sample_id, pos, trap_at of the first trigger under each row of `params` (d0, a, p); none, no row. The table of
-    parameters is the fixed query set: a sample's candidates, in order, are held against all of it where they lie."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "trap_at", "k", "d")))
-    over = found.groupBy("sample_id").agg(ordered.alias("c")).join(F.broadcast(params), F.lit(True))
-    first = F.get(F.filter("c", lambda x: x["d"] > F.col("d0") + F.col("a") * F.pow(x["k"].cast("double"), F.col("p"))), 0)
-    return over.withColumn("x", first).where("x is not null").select("d0", "a", "p", "sample_id", "x.pos", "x.trap_at")
+def outcomes(found: DataFrame, params: K.Params = K.DEFAULTS) -> DataFrame:
+    """sample_id, pos of the first trigger; none, no row."""
+    return found.where(F.col("d") > T.delta("k", params)).groupBy("sample_id").agg(F.min("pos").alias("pos"))
 
 
 def trap_places(runs: DataFrame) -> DataFrame:
     """sample_id, trap_start, total: where the last run begins, and the number of characters; samples of several runs."""
-    last = runs.groupBy("sample_id").agg(F.max(F.struct("run", "start")).alias("x"), F.sum(F.length("chunk")).alias("total"))
-    return last.where("x.run > 0").select("sample_id", F.col("x.start").alias("trap_start"), "total")
-
-
-def one(spark: SparkSession, params: K.Params) -> DataFrame:
-    return spark.createDataFrame([(params.baseline, params.alpha, params.p)], "d0 double, a double, p double")
+    last = F.element_at("runs", -1)
+    return runs.where("size(runs) > 1").select("sample_id", last["start"].alias("trap_start"), (last["start"] + F.length(last["chunk"])).cast("long").alias("total"))
 
 
-def grid_table(spark: SparkSession) -> DataFrame:
-    rows = [(d, a, p) for d in K.GRID_BASELINES for a in K.GRID_ALPHAS for p in K.GRID_POWERS]
-    return spark.createDataFrame(rows, "d0 double, a double, p double")
+def grid() -> list[K.Params]:
+    return [K.Params(d, a, p) for d in K.GRID_BASELINES for a in K.GRID_ALPHAS for p in K.GRID_POWERS]
 
 
 def audit_mixed_valid(runs: DataFrame, found: DataFrame, params: K.Params = K.DEFAULTS) -> DataFrame:
     """sample_id, status (fp_early, no_switch), chars: each sample of several runs, typed on the right layout."""
-    hit = outcomes(found, one(runs.sparkSession, params)).select("sample_id", "pos")
-    return trap_places(runs).join(hit, "sample_id", "left").select("sample_id", F.when(F.col("pos").isNull(), "no_switch").otherwise("fp_early").alias("status"), F.coalesce("pos", "total").cast("long").alias("chars"))
+    joined = trap_places(runs).join(outcomes(found, params), "sample_id", "left")
+    return joined.select("sample_id", F.when(F.col("pos").isNull(), "no_switch").otherwise("fp_early").alias("status"), F.coalesce("pos", "total").cast("long").alias("chars"))
 
 
 def audit_mixed_trap(runs: DataFrame, found: DataFrame, params: K.Params = K.DEFAULTS) -> DataFrame:
     """sample_id, status (caught_trap, fp_early, no_switch), chars, chars_since_trap."""
-    hit = outcomes(found, one(runs.sparkSession, params)).select("sample_id", "pos")
-    joined = trap_places(runs).join(hit, "sample_id", "left")
+    joined = trap_places(runs).join(outcomes(found, params), "sample_id", "left")
     chars = F.coalesce("pos", "total")
     return joined.select(
         "sample_id",
@@ -116,16 +125,68 @@ def audit_mixed_trap(runs: DataFrame, found: DataFrame, params: K.Params = K.DEF
     )
 
 
-def mixed_metrics(runs: DataFrame, valid: DataFrame, trap: DataFrame, params: DataFrame) -> DataFrame:
-    """d0, a, p, fpr, recall, lat for each row of `params`: shares of the samples of several runs, and the mean number of
-    characters from the trap to its detection."""
+NEVER = 2**62
+
+
+def first_passages(pos: np.ndarray, k: np.ndarray, d: np.ndarray, sample: np.ndarray, n: int, alpha: float, p: float, baselines: list[float]) -> np.ndarray:
+    """baselines x samples: where d less alpha k^p first exceeds each baseline. Candidates come by sample and place, and only those
+    above all before them in their sample are looked at again for each baseline."""
+    over = d - alpha * np.power(k.astype(np.float64), p)
+    # The running maximum within a sample, of ranks, so that samples can be set apart without rounding.
+    ranks = np.unique(over, return_inverse=True)[1] + sample.astype(np.int64) * (len(over) + 1)
+    new = np.r_[np.ones(min(len(over), 1), dtype=bool), np.diff(np.maximum.accumulate(ranks)) > 0]
+    pos, d, k, sample = pos[new], d[new], k[new], sample[new]
+    out = np.full((len(baselines), n), NEVER, dtype=np.int64)
+    for row, baseline in enumerate(baselines):
+        hit = np.flatnonzero(d > baseline + alpha * np.power(k.astype(np.float64), p))
+        first = hit[np.r_[True, sample[hit][1:] != sample[hit][:-1]]] if len(hit) else hit
+        out[row, sample[first]] = pos[first]
+    return out
+
+
+COUNTS = "setting int, fps long, tps long, chars long"
+
+
+def grid_counts(places: DataFrame, valid: DataFrame, trap: DataFrame, params: list[K.Params]) -> DataFrame:
+    """COUNTS of each setting with any: samples with a false trigger, with a caught trap, and the characters up to it."""
+    gathered = lambda df, name: df.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "d"))).alias(name))
+    every = gathered(valid, "valid").join(gathered(trap, "trap"), "sample_id", "full").join(places.select("sample_id", "trap_start"), "sample_id").select("trap_start", "valid", "trap")
+    groups: dict[tuple[float, float], list[int]] = {}
+    for place, setting in enumerate(params):
+        groups.setdefault((setting.alpha, setting.p), []).append(place)
+
+    def flat(column: pa.Array) -> tuple[np.ndarray, ...]:
+        sizes = np.asarray([len(c) if c is not None else 0 for c in column.to_pylist()]) if column.null_count else np.diff(column.offsets.to_numpy())
+        rows = column.drop_null().flatten()
+        part = lambda name: rows.field(name).to_numpy(zero_copy_only=False)
+        return part("pos"), part("k"), part("d"), np.repeat(np.arange(len(sizes)), sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((3, len(params)), dtype=np.int64)
+        for batch in batches:
+            start, n = batch.column("trap_start").to_numpy(), batch.num_rows
+            typed = [flat(batch.column(name)) for name in ("valid", "trap")]
+            for (alpha, p), places in groups.items():
+                own = [params[place].baseline for place in places]
+                early, late = (first_passages(*t, n, alpha, p, own) for t in typed)
+                caught = (late != NEVER) & (late > start)
+                totals[0, places] += (early != NEVER).sum(axis=1)
+                totals[1, places] += caught.sum(axis=1)
+                totals[2, places] += np.where(caught, late - start, 0).sum(axis=1)
+        some = np.flatnonzero(totals.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(t[some]) for t in totals)], ["setting", "fps", "tps", "chars"])
+
+    counted = every.mapInArrow(run, COUNTS)
+    return counted.groupBy("setting").agg(*(F.sum(c).alias(c) for c in ("fps", "tps", "chars")))
+
+
+def mixed_metrics(runs: DataFrame, valid: DataFrame, trap: DataFrame, params: list[K.Params]) -> DataFrame:
+    """d0, a, p, fpr, recall, lat of each setting: shares of the samples of several runs, and the mean number of characters from
+    the trap to its detection."""
     places = trap_places(runs)
     n = places.agg(F.count(F.lit(1)).alias("n"))
-    early = outcomes(valid, params).groupBy("d0", "a", "p").agg(F.count(F.lit(1)).alias("fps"))
-    caught = (
-        outcomes(trap, params).join(places, "sample_id").where("pos > trap_start").groupBy("d0", "a", "p").agg(F.count(F.lit(1)).alias("tps"), F.sum(F.col("pos") - F.col("trap_start")).alias("chars"))
-    )
-    joined = params.join(early, ["d0", "a", "p"], "left").join(caught, ["d0", "a", "p"], "left").join(F.broadcast(n), F.lit(True))
+    table = runs.sparkSession.createDataFrame([(i, s.baseline, s.alpha, s.p) for i, s in enumerate(params)], "setting int, d0 double, a double, p double")
+    joined = table.join(grid_counts(places, valid, trap, params), "setting", "left").join(F.broadcast(n), F.lit(True))
     share = lambda c, of: F.round(F.coalesce(F.try_divide(F.col(c), F.col(of)), F.lit(0.0)), 6)
     return joined.select("d0", "a", "p", share("fps", "n").alias("fpr"), share("tps", "n").alias("recall"), share("chars", "tps").alias("lat"))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphshift import constants as K
 from glyphshift.functions import text as T
 from glyphshift.operators import audit, cleaning, decide, mixed, ngrams
 from glyphshift.operators.ngrams import Models
@@ -106,14 +107,13 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("body", body)
 
 
-def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_texts(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
     """sample_id, text: the n-th English line before the n-th pseudo-Hebrew one, by (doc_id, line_no). The language with fewer
     lines begins again when it ends, so that every line of both takes part."""
-    every = lines(spark, sf_dir)
-    ranked = lambda df: cleaning.running_totals(df.select("doc_id", "line_no", "line"), F.floor(F.col("doc_id") / 4_096), ["doc_id", "line_no"], {"n": F.lit(1)})
+    every = stored(lines(spark, sf_dir)) if every is None else every
+    ranked = lambda df: stored(cleaning.running_totals(df.select("doc_id", "line_no", "line"), F.floor(F.col("doc_id") / 4_096), ["doc_id", "line_no"], {"n": F.lit(1)}).select("n", "line"))
     english, hebrew = ranked(every.where("lang = 'en'")), ranked(hebrew_lines(every))
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    sizes = count(every.where("lang = 'en'"), "en").join(count(hebrew_lines(every), "he"), F.lit(True))
+    sizes = english.agg(F.count(F.lit(1)).alias("en")).join(hebrew.agg(F.count(F.lit(1)).alias("he")), F.lit(True))
 
     def placed(df: DataFrame, own: str, name: str) -> DataFrame:
         again = F.sequence("n", F.greatest("en", "he") - 1, F.col(own))
@@ -122,13 +122,15 @@ def mixed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(english, "en", "line").join(placed(hebrew, "he", "other"), "sample_id").select("sample_id", F.concat("line", F.lit(" "), "other").alias("text"))
 
 
-def mixed_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs, and the candidate evaluations of valid typing and of the trap."""
-    runs = stored(mixed.script_runs(mixed_texts(spark, sf_dir)))
+def mixed_parts(spark: SparkSession, sf_dir: str, params: list[K.Params]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, and what could trigger under `params` in valid typing and in the trap. The documents are split once."""
+    every = stored(lines(spark, sf_dir))
+    runs = stored(mixed.text_runs(mixed_texts(spark, sf_dir, every)))
     words = [stored(mixed.segment_words(mixed.segments(runs, trap))) for trap in (False, True)]
     pairs = words[0].select("en", "he").unionByName(words[1].select("en", "he"))
-    scored = stored(audit.evaluations(pairs, models(spark, sf_dir), stored(collisions(spark, sf_dir))))
-    return runs, *(stored(mixed.candidates(w, scored)) for w in words)
+    scored = stored(audit.evaluations(pairs, models(spark, sf_dir, every, ("en", "he")), stored(collisions(spark, sf_dir, every))))
+    least = min(s.baseline for s in params) if all(s.alpha >= 0 for s in params) else float("-inf")
+    return runs, *(stored(mixed.candidates(w, scored, least)) for w in words)
 
 
 def pairs(every: DataFrame) -> DataFrame:

@@ -434,24 +434,24 @@ def f9_script_runs(spark, sf):
 
 @query
 def f10_mixed_valid(spark, sf):
-    runs, valid, _ = X.mixed_parts(spark, sf)
+    runs, valid, _ = X.mixed_parts(spark, sf, [K.DEFAULTS])
     return mixed.audit_mixed_valid(runs, valid)
 
 
 @query
 def f11_mixed_trap(spark, sf):
-    runs, _, trap = X.mixed_parts(spark, sf)
+    runs, _, trap = X.mixed_parts(spark, sf, [K.DEFAULTS])
     return mixed.audit_mixed_trap(runs, trap)
 
 
 @query
 def f12_mixed_metrics(spark, sf):
-    return mixed.mixed_metrics(*X.mixed_parts(spark, sf), mixed.one(spark, K.DEFAULTS))
+    return mixed.mixed_metrics(*X.mixed_parts(spark, sf, [K.DEFAULTS]), [K.DEFAULTS])
 
 
 @query
 def f13_grid_search(spark, sf):
-    return mixed.mixed_metrics(*X.mixed_parts(spark, sf), mixed.grid_table(spark))
+    return mixed.mixed_metrics(*X.mixed_parts(spark, sf, mixed.grid()), mixed.grid())
 
 
 @query

@@ -44,5 +44,5 @@ def test_every_line_takes_part_in_the_mixed_audits(spark, duck, monkeypatch):
     english, hebrew = duck.execute(oracles.sql("SELECT (SELECT count(*) FROM lines WHERE lang = 'en'), (SELECT count(*) FROM he_lines)", "lines", "he_lines")).fetchone()
     assert len(want) == max(english, hebrew) and min(english, hebrew) > 0
     metrics = duck.execute(oracles.sql("SELECT d0, a, p, fpr, recall, lat FROM metrics_one", "metrics_one")).fetchall()
-    got = mixed.mixed_metrics(*X.mixed_parts(spark, SF), mixed.one(spark, K.DEFAULTS)).collect()
+    got = mixed.mixed_metrics(*X.mixed_parts(spark, SF, [K.DEFAULTS]), [K.DEFAULTS]).collect()
     assert [tuple(round(v, 6) for v in r) for r in got] == [tuple(round(v, 6) for v in r) for r in metrics]

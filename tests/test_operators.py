@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,14 +209,58 @@ def test_pruned_candidates_give_the_same_triggers(spark, models):
     rng = random.Random(9)
     pool = ["hello", "the", "fox", "שלום", "עולם", "מילים", "zzz", "qq", "a"]
     texts = spark.createDataFrame([(i, " ".join(rng.choice(pool) for _ in range(8))) for i in range(30)], "sample_id long, text string")
-    runs = mixed.script_runs(texts).cache()
-    grid = spark.createDataFrame([(0.2, 0.0, 1.0), (0.5, 0.1, 1.0), (1.0, 0.3, 2.0)], "d0 double, a double, p double")
-    lexicon = spark.createDataFrame([("fox",)], "word string")
+    runs = mixed.text_runs(texts).cache()
+    grid = [K.Params(0.2, 0.0, 1.0), K.Params(0.5, 0.1, 1.0), K.Params(0.5, 0.1, 2.0), K.Params(1.0, 0.3, 2.0)]
+    lexicon, found = spark.createDataFrame([("fox",)], "word string"), []
     for trap in (False, True):
         words = mixed.segment_words(mixed.segments(runs, trap)).cache()
         scored = audit.evaluations(words.select("en", "he"), models, lexicon).cache()
-        got = [{tuple(r) for r in mixed.outcomes(mixed.candidates(words, scored, prune), grid).select("d0", "sample_id", "pos").collect()} for prune in (True, False)]
-        assert got[0] == got[1] and got[0]
+        kept, every = (mixed.candidates(words, scored, 0.0, prune).cache() for prune in (True, False))
+        got = [[{tuple(r) for r in mixed.outcomes(x, setting).collect()} for setting in grid] for x in (kept, every)]
+        assert got[0] == got[1] and any(got[0])
+        found.append((kept, got[0]))
+    # All settings at once, in one pass over the gathered candidates.
+    places = {r.sample_id: r.trap_start for r in mixed.trap_places(runs).collect()}
+    counts = {r.setting: (r.fps, r.tps, r.chars) for r in mixed.grid_counts(mixed.trap_places(runs), found[0][0], found[1][0], grid).collect()}
+    for k in range(len(grid)):
+        caught = [pos - places[i] for i, pos in found[1][1][k] if pos > places[i]]
+        assert counts.get(k, (0, 0, 0)) == (len(found[0][1][k]), len(caught), sum(caught))
+
+
+def test_first_passages_are_the_first_over_each_baseline():
+    rng = np.random.default_rng(4)
+    sample = np.sort(rng.integers(0, 20, 300))
+    pos = np.arange(300)
+    k, d, baselines = rng.integers(0, 6, 300), np.round(rng.normal(3, 3, 300), 2), [-1.0, 0.0, 2.0, 4.5]
+    for alpha, p in ((0.0, 1.0), (0.3, 2.0), (-0.5, 1.5)):
+        got = mixed.first_passages(pos, k, d, sample, 20, alpha, p, baselines)
+        for row, baseline in enumerate(baselines):
+            for s in range(20):
+                want = [int(x) for x in pos[sample == s] if d[x] > baseline + alpha * float(k[x]) ** p]
+                assert got[row, s] == (want[0] if want else mixed.NEVER)
+    assert (mixed.first_passages(*(np.zeros(0),) * 3, np.zeros(0, dtype=int), 2, 0.1, 1.0, [1.0]) == mixed.NEVER).all()
+
+
+def runs_plainly(text, lead_fix):
+    """Character by character: a class is carried on until another one comes."""
+    out, lang = [], "en"
+    for i, c in enumerate(text):
+        own = "he" if "\u0590" <= c <= "\u05ff" else "en" if c.isascii() and c.isalpha() else None
+        lang = "en" if i == 0 and not lead_fix else own or lang
+        if out and out[-1][0] == lang:
+            out[-1][2] += c
+        else:
+            out.append([lang, i, c])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("lead_fix", [False, True])
+def test_runs_of_random_texts(spark, lead_fix):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab שלם,\n1é😀") for _ in range(rng.randint(1, 40))) for _ in range(80)] + ["aב" * 5_000, "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string")
+    got = {r.sample_id: [tuple(x) for x in r.runs] for r in mixed.text_runs(rows, lead_fix).collect()}
+    assert got == {i: runs_plainly(t, lead_fix) for i, t in enumerate(texts) if t}
 
 
 def test_segments(spark):
