@@ -3,7 +3,8 @@
 The windows of the benchmark are the patterns and a document's words are the text. For each pattern length, a shift
 table over blocks of two words says how far the search may jump; where it may not jump, the bucket of patterns that end
 in that block (by the same block's key) is compared word by word. Patterns of one length share their tables, so short
-items don't shorten the jumps of the full windows.
+items don't shorten the jumps of the full windows. Words are numbers, a pattern is a place in the benchmark's words, and the
+tables are arrays of numbers: a worker holds about 15 bytes a byte of benchmark text.
 
 The benchmark is the stated query set. Its size is measured first; beyond `block_bytes` it is searched in blocks of
 items, each of a bounded size: one block's tables are broadcast at a time, what it finds is written, and its broadcast is
@@ -17,9 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from glyphshift.llm._shared import id_and_text, map_batches, release, text_bytes
 WINDOW = 10
 #: Bytes of benchmark text that are searched, and so broadcast, at a time.
 BLOCK_BYTES = 8_000_000
+#: Spreads the numbers of a block's first word over the slots of the shift table.
+MIX = 0x9E3779B1
 
 
 def word_table() -> bytes:
@@ -50,60 +54,91 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Tables for patterns (tuples of words) of one length."""
-
-    def __init__(self, patterns: set[tuple[bytes, ...]]):
-        self.length = len(next(iter(patterns)))
-        self.block = min(2, self.length)
-        self.far = self.length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
-        for pattern in sorted(patterns):
-            for end in range(self.block, self.length + 1):
-                key = pattern[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.far), self.length - end)
-            self.bucket[pattern[-self.block :]].append(list(pattern))
-
-    def find(self, words: list[bytes]) -> list[tuple[int, tuple[bytes, ...]]]:
-        """(start, pattern) of every occurrence, in order."""
-        found, at, n, length, block, far, shift = [], self.length, len(words), self.length, self.block, self.far, self.shift.get
+    """Tables for windows of one length over the benchmark's words, which are numbers strung together: a shift for each hash of a
+    block, the windows in the order of their last block, and the places of equal ones. A pattern is a place, not a copy."""
+
+    def __init__(self, stream: np.ndarray, starts: np.ndarray, owners: np.ndarray, length: int, n_words: int):
+        self.stream, self.length, self.block, self.n_words = stream, length, min(2, length), n_words
+        far = length - self.block + 1
+        self.mask = (1 << max(8, int(starts.size * far).bit_length() + 1)) - 1
+        shift = np.full(self.mask + 1, far, dtype=np.uint8 if far < 256 else np.uint32)
+        for end in range(self.block, length + 1):  # later ends have smaller shifts
+            shift[self.slots(stream[starts + end - self.block], stream[starts + end - 1])] = length - end
+        self.shift = array("B" if far < 256 else "I", shift.tobytes())
+        last = self.suffixes(stream[starts + length - self.block], stream[starts + length - 1])
+        order = np.argsort(last, kind="stable")
+        self.starts, self.owners = starts[order].astype(np.int32), owners[order].astype(np.int32)
+        self.keys, first = np.unique(last[order], return_index=True)
+        self.bounds = np.append(first, len(order)).astype(np.int32)
+
+    def slots(self, first, second):
+        return (first * MIX + second) & self.mask if self.block == 2 else second & self.mask
+
+    def suffixes(self, first, second):
+        return first * self.n_words + second if self.block == 2 else second
+
+    def find(self, words: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, owners) of every occurrence, in order. Words that the benchmark doesn't hold are below zero."""
+        at, n, length, mask, shift, two = self.length, len(words), self.length, self.mask, self.shift, self.block == 2
+        whole = None
         while at <= n:
-            key = tuple(words[at - block : at])
-            jump = shift(key, far)
+            last = words[at - 1]
+            if last < 0:
+                at += length
+                continue
+            before = words[at - 2] if two else 0
+            if before < 0:
+                at += length - 1
+                continue
+            jump = shift[(before * MIX + last) & mask if two else last & mask]
             if jump:
                 at += jump
                 continue
-            candidate = words[at - length : at]
-            for pattern in self.bucket[key]:
-                if candidate == pattern:
-                    found.append((at - length, tuple(pattern)))
+            whole = np.asarray(words, dtype=np.int64) if whole is None else whole
+            owners = self.confirmed(whole[at - length : at])
+            if len(owners):
+                yield at - length, owners
             at += 1
-        return found
+
+    def confirmed(self, candidate: np.ndarray) -> np.ndarray:
+        """The owners of the windows that equal `candidate`, compared word by word in the bucket of its last block."""
+        key = self.suffixes(candidate[-self.block], candidate[-1])
+        k = np.searchsorted(self.keys, key)
+        if k == len(self.keys) or self.keys[k] != key:
+            return self.owners[:0]
+        low, high = self.bounds[k], self.bounds[k + 1]
+        same = np.arange(low, high)
+        for place in range(self.length):
+            same = same[self.stream[self.starts[same] + place] == candidate[place]]
+        return self.owners[same]
 
 
 class Benchmark:
     """The search tables of some benchmark items."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        self.items_of: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            words = split_words(text)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                self.items_of[tuple(words[i : i + size])].add(item)
-        by_length = defaultdict(set)
-        for pattern in self.items_of:
-            by_length[len(pattern)].add(pattern)
-        self.searches = [WuManber(p) for _, p in sorted(by_length.items())]
+        self.code: dict[bytes, int] = {}
+        lists = [[self.code.setdefault(w, len(self.code)) for w in split_words(text)] for _, text in items]
+        sizes = np.asarray([len(words) for words in lists], dtype=np.int64)
+        stream = np.fromiter((w for words in lists for w in words), dtype=np.int64, count=int(sizes.sum()))
+        begins = np.cumsum(sizes) - sizes
+        self.ids = np.asarray([item for item, _ in items], dtype=np.int64)
+        self.searches = []
+        for length in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, window) == length)
+            each = sizes[own] - length + 1
+            starts = np.repeat(begins[own] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            self.searches.append(WuManber(stream, starts, np.repeat(own, each), length, max(len(self.code), 1)))
 
     def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged word spans (start, end) that windows cover, and the items whose windows occur."""
-        spans, items = [], set()
+        spans, owners, get = [], [], self.code.get
+        known = [get(w, -1) for w in words]
         for search in self.searches:
-            for start, pattern in search.find(words):
+            for start, found in search.find(known):
                 spans.append((start, start + search.length))
-                items |= self.items_of[pattern]
-        return merged(spans), items
+                owners.append(found)
+        return merged(spans), set(self.ids[np.unique(np.concatenate(owners))].tolist()) if owners else set()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

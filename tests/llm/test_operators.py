@@ -1,7 +1,9 @@
 """Each operator on odd rows and empty tables, against brute force."""
 
 import hashlib
+import pickle
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 
 from glyphshift.llm import bpe, chat, components, decontaminate, lines, quality, rules, secrets, simhash, substrings, token_counts
 
-from .conftest import LINES, ODD, PASSAGE
+from .conftest import LINES, LONG, ODD, PASSAGE
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,6 +230,41 @@ def test_wu_manber_random():
         assert sum(b - a for a, b in spans) == hit and found == want
 
 
+def test_wu_manber_on_a_long_text():
+    """The long text, which the plain loops are too slow for, by a search for every window in a set of all of its own."""
+    words = decontaminate.split_words(LONG.encode())
+    items = [(1, b" ".join(words[30_000:30_040])), (2, b" ".join(words[:10])), (3, b" ".join(words[-10:])), (4, b"not there " + b" ".join(words[500:508])), (5, words[7]), (6, b" ".join(words[100:103]))]
+    spans, found = decontaminate.Benchmark(items).search(words)
+    hit, want = set(), set()
+    for item, text in items:
+        own = decontaminate.split_words(text)
+        size = min(10, len(own))
+        windows = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)}
+        for k in range(len(words) - size + 1):
+            if tuple(words[k : k + size]) in windows:
+                hit |= set(range(k, k + size))
+                want.add(item)
+    assert found == want == {1, 2, 3, 5, 6} and sum(b - a for a, b in spans) == len(hit)
+
+
+def test_tables_of_a_whole_block_stay_below_200_mb():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(200_000)]
+    items, size = [], 0
+    while size < decontaminate.BLOCK_BYTES:
+        text = " ".join(rng.choices(words, k=60)).encode()
+        items.append((len(items), text))
+        size += len(text)
+    sent = pickle.dumps(decontaminate.Benchmark(items))
+    tracemalloc.start()
+    held = pickle.loads(sent)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert now < 200e6 and peak < 200e6 + len(sent)
+    own = decontaminate.split_words(items[77][1])
+    assert held.search([b"x", *own[5:20], b"y"]) == ([(1, 16)], {77})
+
+
 # 6
 
 
