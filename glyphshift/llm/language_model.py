@@ -11,8 +11,9 @@ word by word, and a text's score is the sum of their logarithms.
 
 Texts are worked on in slices. A slice asks for what is known of its words and of its pairs of words: packed lists, dealt by the
 hash of the word or pair, meet the counts or the seating there and bring the answers back to their slice, so that no row a token is
-ever shuffled. Restaurants are tables of contexts and words, joined to their dishes; very common ones where they lie. All that the
-driver gets are totals. The seating is written after each round.
+ever shuffled. In the same way the pairs, packed by the bucket of their hash, tell their words' buckets their tables in each round, and get
+back the state of the parent and of their contexts. A hot word or pair is one number a bucket. All that the driver gets are
+totals. The seating is written after each round.
 
 Words are told apart by their 64-bit hash. A null or empty text is its end alone; rows with a null id are never held out and
 are learned from; repeated rows are learned from and scored each; further columns are ignored; an empty table gives no rows. If
@@ -22,6 +23,7 @@ nothing is learned from, all tokens have the chance of the unknown one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphshift.llm._shared import hot_limit, id_and_text, join_back, release, slices, write_cut
+from glyphshift.llm._shared import id_and_text, release, slices, write_cut
 
 BURN, SAMPLES, CONCENTRATION = 2, 3, 1.0
 EXACT, GRID, TERMS = 256, 192, 64
@@ -117,6 +119,9 @@ class Slice:
         self.token[inner] = codes
         self.context = np.r_[start, self.token[:-1]] if len(self.token) else self.token
         self.context[last[:-1] + 1] = start
+
+    def pair_up(self) -> None:
+        """The distinct pairs of contexts and tokens, and each token's place among them."""
         n = len(self.hashes)
         pairs, self.pair = np.unique(self.context * n + self.token, return_inverse=True)
         self.first, self.second = pairs // n, pairs % n
@@ -130,11 +135,15 @@ class Slice:
     def pair_buckets(self, buckets: int) -> np.ndarray:
         return bucket_of(pair_key(self.hashes[self.first], self.hashes[self.second]), buckets)
 
+    def learned(self, held: list[bool]) -> np.ndarray:
+        """1 for each token of a training text."""
+        return (~np.asarray(held, dtype=bool))[self.doc].astype(np.float64)
+
     @classmethod
-    def of(cls, hashes: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> Slice:
+    def packed(cls, data: list[bytes]) -> Slice:
         own = cls.__new__(cls)
-        own.hashes, own.sizes = hashes, sizes
-        own.place(codes)
+        own.hashes, own.sizes = unpack(data[0], np.int64), unpack(data[1], np.int64)
+        own.place(unpack(data[2], np.int32).astype(np.int64))
         return own
 
 
@@ -149,8 +158,14 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 REQUESTS = "slice long, kind int, bucket long, ids array<long>, held array<boolean>, data array<binary>"
 
 
+def request_table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 6
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["slice", "kind", "bucket", "ids", "held", "data"])
+
+
 def requests(docs: DataFrame, buckets: int, slice_bytes: int) -> DataFrame:
-    """Of each slice its texts, the words it asks for, and its pairs, with how often each stands in training texts."""
+    """Of each slice its texts, as places of words, and the words that it asks for, with how often each stands in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,25 +173,35 @@ def requests(docs: DataFrame, buckets: int, slice_bytes: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for table in gathered(batches, slice_bytes):
             own = Slice(table.column("text").combine_chunks())
-            held = table.column("held").to_numpy()
-            learned = (~held.astype(bool))[own.doc].astype(np.float64)
-            small = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
-            rows = [(number, DOCS, 0, table.column("doc_id").to_pylist(), held.tolist(), [pack(own.hashes), pack(own.sizes), pack(own.codes().astype(np.int32))])]
-            n_words = np.bincount(own.token, weights=learned, minlength=len(own.hashes)).astype(np.int64)
-            for bucket, at in by_bucket(own.word_buckets(buckets)):
-                rows.append((number, WORDS, bucket, None, None, [pack(own.hashes[at]), pack(n_words[at])]))
-            n_pairs = np.bincount(own.pair, weights=learned, minlength=len(own.first)).astype(np.int64)
-            for bucket, at in by_bucket(own.pair_buckets(buckets)):
-                names, place = np.unique(np.concatenate([own.hashes[own.first[at]], own.hashes[own.second[at]]]), return_inverse=True)
-                rows.append((number, PAIRS, bucket, None, None, [pack(names), pack(place.astype(np.uint32)), pack(n_pairs[at])]))
+            held = table.column("held").to_pylist()
+            rows = [(number, DOCS, 0, table.column("doc_id").to_pylist(), held, [pack(own.hashes), pack(own.sizes), pack(own.codes().astype(np.int32))])]
+            n = np.bincount(own.token, weights=own.learned(held), minlength=len(own.hashes)).astype(np.int64)
+            rows += [(number, WORDS, bucket, None, None, [pack(own.hashes[at]), pack(n[at])]) for bucket, at in by_bucket(own.word_buckets(buckets))]
             number += 1
-            columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["slice", "kind", "bucket", "ids", "held", "data"])
+            yield request_table(rows)
 
     return docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, REQUESTS)
 
 
+def pair_requests(asked: DataFrame, buckets: int) -> DataFrame:
+    """Of each slice the pairs that it asks for, with how often each stands in training texts, made anew from its places of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, held, data in zip(*(batch.column(name).to_pylist() for name in ("slice", "held", "data"))):
+                own, rows = Slice.packed(data), []
+                own.pair_up()
+                n = np.bincount(own.pair, weights=own.learned(held), minlength=len(own.first)).astype(np.int64)
+                for bucket, at in by_bucket(own.pair_buckets(buckets)):
+                    # In order of their contexts, whose places are told by their steps.
+                    names, place = np.unique(np.concatenate([own.first[at], own.second[at]]), return_inverse=True)
+                    steps = np.diff(place[: len(at)], prepend=0)
+                    rows.append((number, PAIRS, bucket, None, None, [pack(own.hashes[names]), pack(steps.astype(np.uint32)), pack(place[len(at) :].astype(np.uint32)), pack(n[at])]))
+                yield request_table(rows)
+
+    return asked.where(F.col("kind") == DOCS).mapInArrow(run, REQUESTS)
+
+
 # Counts
 
 
@@ -191,9 +216,9 @@ def asked_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """Contexts, words, training counts and the row of every pair that the rows of `table` ask for."""
     first, second, counts, sizes = [], [], [], []
     for d in table.column("data").to_pylist():
-        names, place, n = unpack(d[0], np.int64), unpack(d[1], np.uint32), unpack(d[2], np.int64)
-        first.append(names[place[: len(n)]])
-        second.append(names[place[len(n) :]])
+        names, n = unpack(d[0], np.int64), unpack(d[3], np.int64)
+        first.append(names[np.cumsum(unpack(d[1], np.uint32))])
+        second.append(names[unpack(d[2], np.uint32)])
         counts.append(n)
         sizes.append(len(n))
     return np.concatenate(first), np.concatenate(second), np.concatenate(counts), np.repeat(np.arange(len(sizes)), sizes)
@@ -205,38 +230,71 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return keys, at, place, np.bincount(place, weights=n, minlength=len(keys)).astype(np.int64)
 
 
+#: Rows between words (nodes) and pairs, dealt by bucket: where they come from, whole numbers to be added up, and packed numbers.
+ROW = "source long, kind int, bucket long, a long, b long, one long, two long, data array<binary>"
+NODE, PAIR, ASKED, ANSWER = range(4)
+
+
+def row_table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [[]] * 8
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.binary()))
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "kind", "bucket", "a", "b", "one", "two", "data"])
+
+
+def data_of(table: pa.Table) -> list[list[bytes]]:
+    return table.column("data").to_pylist()
+
+
+def numbers(data: list[bytes]) -> list[np.ndarray]:
+    return [unpack(d, np.int64) for d in data]
+
+
+def by_kind(rows: DataFrame, kind: int):
+    return rows.where(F.col("kind") == kind).groupBy("bucket")
+
+
 def count_words(asked: DataFrame) -> DataFrame:
-    """h, bucket, c: every word of any text, and how often it stands in training texts."""
+    """A row a bucket: its distinct words, how often each stands in training texts, and their sums."""
 
     def work(table: pa.Table) -> pa.Table:
         h, n, _ = asked_words(table)
         keys, _, _, c = summed(h, n)
-        return pa.table({"h": keys, "bucket": np.full(len(keys), table.column("bucket")[0].as_py()), "c": c})
+        bucket = table.column("bucket")[0].as_py()
+        return row_table([(bucket, NODE, bucket, int(c.sum()), int((c > 0).sum()), 0, 0, [pack(keys), pack(c)])])
+
+    return by_kind(asked, WORDS).applyInArrow(work, ROW)
+
 
-    return asked.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(work, "h long, bucket long, c long")
+def asks(source: int, buckets: int, names: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """Rows that ask the buckets of `names` about them, and tell `values`."""
+    return [(source, ASKED, bucket, 0, 0, 0, 0, [pack(names[at]), *(pack(v[at].astype(np.int64)) for v in values)]) for bucket, at in by_bucket(bucket_of(names, buckets))]
 
 
-def count_pairs(asked: DataFrame) -> DataFrame:
-    """u, w, c, bucket of the pairs that stand twice or more in training texts; of the rest, u (w is null) and w (u is null)
-    with the number c of pairs that they are in."""
+def told(first: np.ndarray, second: np.ndarray, tables: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tables in each name's own restaurant, and those that are its customers in the parent."""
+    return np.bincount(first, weights=tables, minlength=n), np.bincount(second, weights=tables, minlength=n)
+
+
+def count_pairs(asked: DataFrame, buckets: int) -> DataFrame:
+    """Of each bucket the pairs that stand twice or more in training texts, with one table each, and what all its pairs tell their
+    words: those that stand once have one table for ever, and aren't looked at again."""
 
     def work(table: pa.Table) -> pa.Table:
         u, w, n, _ = asked_pairs(table)
         _, at, _, c = summed(pair_key(u, w), n)
-        many, one = at[c >= 2], at[c == 1]
-        contexts, n_contexts = np.unique(u[one], return_counts=True)
-        words, n_words = np.unique(w[one], return_counts=True)
-        none = lambda a: pa.nulls(len(a), pa.int64())
-        return pa.table(
-            {
-                "u": pa.chunked_array([pa.array(u[many]), pa.array(contexts), none(words)]),
-                "w": pa.chunked_array([pa.array(w[many]), none(contexts), pa.array(words)]),
-                "c": np.concatenate([c[c >= 2], n_contexts, n_words]).astype(np.int64),
-                "bucket": np.full(len(many) + len(contexts) + len(words), table.column("bucket")[0].as_py()),
-            }
-        )
+        at, c = at[c > 0], c[c > 0]
+        names, place = np.unique(np.concatenate([u[at], w[at]]), return_inverse=True)
+        first, second = place[: len(at)], place[len(at) :]
+        one, many = c == 1, np.flatnonzero(c > 1)
+        once = told(first[one], second[one], np.ones(one.sum()), len(names))
+        bucket, ones = table.column("bucket")[0].as_py(), np.ones(len(many), dtype=np.int64)
+        kept, place = np.unique(np.concatenate([first[many], second[many]]), return_inverse=True)
+        first, second = place[: len(many)], place[len(many) :]
+        pair = [pack(names[kept]), *(pack(v.astype(np.int64)) for v in (first, second, c[many], ones, 0 * ones))]
+        fixed = [(s, ASKED, b, 0, 0, 1, 0, d) for s, _, b, *_, d in asks(bucket, buckets, names, *once)]
+        return row_table([(bucket, PAIR, bucket, 0, 0, int(one.sum()), int((c == 2).sum()), pair), *fixed, *asks(bucket, buckets, names[kept], *told(first, second, ones, len(kept)))])
 
-    return asked.where(F.col("kind") == PAIRS).groupBy("bucket").applyInArrow(work, "u long, w long, c long, bucket long")
+    return pair_requests(asked, buckets).groupBy("bucket").applyInArrow(work, ROW)
 
 
 # Seating
@@ -347,29 +405,17 @@ def many_tables(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float,
     return np.clip(t[rows, at] + np.floor(stride * np.clip(share, 0, 1 - 1e-12)), 1, c).astype(np.int64)
 
 
-def draw_tables(df: DataFrame, key: list[str], customers: str, tables: str, whole: str, chance: str, discount: float, theta: float, seed: int, exact: int = EXACT) -> DataFrame:
-    """`df` with its column `tables` drawn anew, given those of the whole restaurant, `whole`, and the parent's `chance`."""
-    names = df.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = stirling(discount, exact)
-        for batch in slices(batches, 1 << 16, 1 << 26):
-            column = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            c, t = column(customers), column(tables)
-            rest, p = theta + discount * np.maximum(column(whole) - t, 0).astype(np.float64), column(chance).astype(np.float64)
-            mark = np.full(len(c), seed, dtype=np.uint64)
-            for k in key:
-                mark = mixed(mark + column(k).view(np.uint64))
-            uniform = (mark >> np.uint64(11)).astype(np.float64) / 2.0**53
-            out = few_tables(c, rest, p, discount, known, uniform)
-            large = np.flatnonzero(c > exact)
-            for at in np.array_split(large, 1 + len(large) // 4_096):
-                if len(at):
-                    out[at] = many_tables(c[at], rest[at], p[at], discount, uniform[at])
-            out[c == 0] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(out) if name == tables else batch.column(name) for name in names], names)
-
-    return df.mapInArrow(run, df.schema)
+def draw_tables(c: np.ndarray, t: np.ndarray, whole: np.ndarray, p: np.ndarray, discount: float, theta: float, mark: np.ndarray, exact: int = EXACT) -> np.ndarray:
+    """Tables of dishes of c customers, drawn anew given the t of now, those of the whole restaurant, and the parent's chance p.
+    `mark` is a number of each dish and round that the draw follows from."""
+    rest, uniform = theta + discount * np.maximum(whole - t, 0).astype(np.float64), (mixed(mark) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    out = few_tables(c, rest, p, discount, stirling(discount, exact), uniform)
+    large = np.flatnonzero(c > exact)
+    for at in np.array_split(large, 1 + len(large) // 4_096):
+        if len(at):
+            out[at] = many_tables(c[at], rest[at], p[at], discount, uniform[at])
+    out[c == 0] = 0
+    return out
 
 
 def discount_of(one: int, two: int) -> float:
@@ -377,60 +423,109 @@ def discount_of(one: int, two: int) -> float:
     return float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5
 
 
+@dataclass
+class Level:
+    """The parent's state: its customers and tables in all, its discount, the concentration and the equal chance above it."""
+
+    customers: int
+    tables: int
+    discount: float
+    theta: float
+    base: float
+
+    def chance(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        backed = (self.theta + self.discount * self.tables) * self.base
+        return np.maximum((customers - self.discount * tables + backed) / (self.theta + self.customers), 1e-300)
+
+
+@dataclass
 class Seating:
-    """What a fit leaves: nodes (h, bucket, c, p, tables: of each sample its chance without context, and the tables of its own
-    restaurant), pairs (u, w, bucket, t_sum), and the totals."""
+    """What a fit leaves: nodes (of each bucket the words, their training counts, and of each sample their customers and tables in
+    the parent and the tables of their own restaurants), pairs (with tables added up over the samples), the samples' parents, and
+    the totals."""
+
+    nodes: DataFrame
+    pairs: DataFrame
+    levels: list[Level]
+    n: int
+    v: int
+    discount: float
+    theta: float
 
-    def __init__(self, nodes: DataFrame, pairs: DataFrame, n: int, v: int, discount: float, theta: float, samples: int):
-        self.nodes, self.pairs, self.n, self.v, self.discount, self.theta, self.samples = nodes, pairs, n, v, discount, theta, samples
 
+def seat_words(nodes: DataFrame, told_rows: DataFrame, level: Level, seed: int, record: bool) -> DataFrame:
+    """A round for the parent: words add up what their pairs tell, draw their tables, and answer those who asked."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return row_table([])
+        bucket = left.column("bucket")[0].as_py()
+        h, c, fixed_own, fixed_up, root, *kept = numbers(data_of(left)[0])
+        own, up = fixed_own.copy(), fixed_up.copy()
+        asked = [(s, fixed, *numbers(d)) for s, fixed, d in zip(right.column("source").to_pylist(), right.column("one").to_pylist(), data_of(right))]
+        places = [np.searchsorted(h, a[2]) for a in asked]
+        for (_, fixed, _, told_own, told_up), at in zip(asked, places):
+            own[at] += told_own  # the names of one row are distinct
+            up[at] += told_up
+            if fixed:
+                fixed_own, fixed_up = fixed_own.copy(), fixed_up.copy()
+                fixed_own[at] += told_own
+                fixed_up[at] += told_up
+        root = draw_tables(up, root, np.full(len(h), level.tables), np.full(len(h), level.base), level.discount, level.theta, h.view(np.uint64) + np.uint64(seed))
+        kept = [*kept, up, root, own] if record else kept
+        rows = [(bucket, NODE, bucket, int(up.sum()), int(root.sum()), int((up == 1).sum()), int((up == 2).sum()), [pack(x) for x in (h, c, fixed_own, fixed_up, root, *kept)])]
+        rows += [(bucket, ANSWER, a[0], 0, 0, 0, 0, [pack(x[at]) for x in (up, root, own)]) for a, at in zip(asked, places) if not a[1]]
+        return row_table(rows)
+
+    return by_kind(nodes, NODE).cogroup(by_kind(told_rows, ASKED)).applyInArrow(work, ROW)
+
+
+def seat_pairs(pairs: DataFrame, answers: DataFrame, level: Level, discount: float, buckets: int, seed: int, record: bool) -> DataFrame:
+    """A round for the contexts: pairs draw their tables, given the parent's chances, and tell their words."""
 
-def fit(asked: DataFrame, burn: int = BURN, samples: int = SAMPLES, theta: float = CONCENTRATION) -> Seating:
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return row_table([])
+        bucket = left.column("bucket")[0].as_py()
+        names, first, second, c, t, t_sum = numbers(data_of(left)[0])
+        up, root, own = (np.zeros(len(names), dtype=np.int64) for _ in range(3))
+        got = dict(zip(right.column("source").to_pylist(), data_of(right)))
+        for source, at in by_bucket(bucket_of(names, buckets)):
+            up[at], root[at], own[at] = numbers(got[source])
+        t_sum = t_sum + t if record else t_sum
+        mark = pair_key(names[first], names[second]) + np.uint64(seed)
+        t = draw_tables(c, t, own[first], level.chance(up, root)[second], discount, level.theta, mark)
+        pair = (bucket, PAIR, bucket, 0, 0, 0, 0, [pack(x) for x in (names, first, second, c, t, t_sum)])
+        return row_table([pair, *asks(bucket, buckets, names, *told(first, second, t, len(names)))])
+
+    return by_kind(pairs, PAIR).cogroup(by_kind(answers, ANSWER)).applyInArrow(work, ROW)
+
+
+def fit(asked: DataFrame, buckets: int, burn: int = BURN, samples: int = SAMPLES, theta: float = CONCENTRATION) -> Seating:
+    total = lambda df, kind: df.where(F.col("kind") == kind).agg(*(F.coalesce(F.sum(name), F.lit(0)) for name in ("a", "b", "one", "two"))).first()
     words = write_cut(count_words(asked))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    counted = write_cut(count_pairs(asked))
-    many = counted.where("u is not null and w is not null")
-    total, one, two = counted.agg(
-        F.count_if(F.col("u").isNotNull() & F.col("w").isNotNull()), F.coalesce(F.sum(F.when(F.col("w").isNull(), F.col("c"))), F.lit(0)), F.count_if(F.col("u").isNotNull() & F.col("w").isNotNull() & (F.col("c") == 2))
-    ).first()
-    zero, no = F.lit(0).cast("long"), F.array().cast("array<float>")
-    each = words.select("h", "bucket", "c", zero.alias("as_word"), zero.alias("as_context"))
-    for side, other, name in (("u", "w", "as_context"), ("w", "u", "as_word")):
-        values = {"bucket": F.lit(None).cast("long"), "c": zero, "as_word": zero, "as_context": zero} | {name: F.col("c")}
-        each = each.unionByName(counted.where(F.col(other).isNull()).select(F.col(side).alias("h"), *(value.alias(k) for k, value in values.items())))
-    nodes = each.groupBy("h").agg(F.max("bucket").alias("bucket"), *(F.sum(k).alias(k) for k in ("c", "as_word", "as_context")))
-    nodes = write_cut(nodes.withColumns({"root": F.when(F.col("c") > 0, 1).otherwise(0).cast("long"), "p": no, "tables": no}))
-    pairs = write_cut(many.select("u", "w", "c", "bucket", F.lit(1).cast("long").alias("t"), zero.alias("t_sum")))
-    release(words, counted)
-    inner = discount_of(one, two)
+    n, v, *_ = total(words, NODE)
+
+    def begin(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        h, c = numbers(data_of(table)[0])
+        return row_table([(bucket, NODE, bucket, 0, 0, 0, 0, [pack(x) for x in (h, c, 0 * c, 0 * c, (c > 0).astype(np.int64))])])
+
+    nodes, pairs = by_kind(words, NODE).applyInArrow(begin, ROW), write_cut(count_pairs(asked, buckets))
+    *_, one, two = total(pairs, PAIR)
+    discount, level, levels, held = discount_of(one, two), Level(0, v, 0.5, theta, 1 / (v + 1)), [], [words]
     for k in range(burn + samples):
-        recorded, before = k >= burn, nodes
-        sides = pairs.select(F.col("u").alias("h"), F.col("t").alias("own_t"), F.lit(1).alias("own"), zero.alias("up_t"), F.lit(0).alias("up"))
-        sides = sides.unionByName(pairs.select(F.col("w").alias("h"), zero.alias("own_t"), F.lit(0).alias("own"), F.col("t").alias("up_t"), F.lit(1).alias("up")))
-        state = sides.groupBy("h").agg(*(F.sum(name).alias(name) for name in ("own_t", "own", "up_t", "up")))
-        joined = nodes.join(state, "h", "left").withColumns({name: F.coalesce(name, zero) for name in ("own_t", "own", "up_t", "up")})
-        joined = write_cut(joined.withColumns({"customers": F.col("as_word") + F.col("up_t"), "whole": F.col("as_context") + F.col("own_t")}).drop("own_t", "up_t"))
-        customers, tables, single, double = joined.agg(F.coalesce(F.sum("customers"), F.lit(0)), F.coalesce(F.sum("root"), F.lit(0)), F.count_if(F.col("customers") == 1), F.count_if(F.col("customers") == 2)).first()
-        outer, base = discount_of(single, double), 1 / (v + 1)
-        drawn = write_cut(draw_tables(joined.withColumns({"all": F.lit(tables), "base": F.lit(base)}), ["h"], "customers", "root", "all", "base", outer, theta, 2 * k))
-        tables = drawn.agg(F.coalesce(F.sum("root"), F.lit(0))).first()[0]
-        chance = (F.col("customers") - outer * F.col("root") + (theta + outer * tables) * base) / (theta + customers)
-        chance = F.greatest(chance, F.lit(1e-300))
-        nodes = drawn.withColumn("chance", chance)
-        if recorded:
-            nodes = nodes.withColumns({"p": F.concat("p", F.array(F.col("chance").cast("float"))), "tables": F.concat("tables", F.array(F.col("whole").cast("float")))})
-        added = F.col("t_sum") + (F.col("t") if recorded else 0)
+        nodes = write_cut(seat_words(nodes, pairs, level, 2 * k, k >= burn))
+        customers, tables, one, two = total(nodes, NODE)
+        level = Level(customers, tables, level.discount, theta, level.base)
+        levels += [level] if k >= burn else []
+        release(*held)
         if k == burn + samples - 1:
-            return Seating(write_cut(nodes.select("h", "bucket", "c", "p", "tables")), write_cut(pairs.select("u", "w", "bucket", added.alias("t_sum"))), n, v, inner, theta, samples)
-        contexts = nodes.where("own > 0").select(F.col("h").alias("u"), "whole", F.col("own").alias("n"), F.lit(True).alias("use"))
-        dishes = nodes.where("up > 0").select(F.col("h").alias("w"), "chance", F.col("up").alias("n"), F.lit(True).alias("use"))
-        limit = hot_limit(total)
-        met = join_back(join_back(pairs.withColumn("t_sum", added), contexts, ["u"], limit), dishes, ["w"], limit)
-        fresh = write_cut(draw_tables(met, ["u", "w"], "c", "t", "whole", "chance", inner, theta, 2 * k + 1).select("u", "w", "c", "bucket", "t", "t_sum"))
-        nodes = write_cut(nodes.select("h", "bucket", "c", "as_word", "as_context", "root", "p", "tables"))
-        release(pairs, joined, drawn, before)
-        pairs = fresh
-    raise ValueError("a fit takes one sample at least")
+            break
+        fresh = write_cut(seat_pairs(pairs, nodes, level, discount, buckets, 2 * k + 1, k >= burn))
+        held, pairs = [nodes, pairs], fresh
+        level = Level(customers, tables, discount_of(one, two), theta, level.base)
+    return Seating(nodes, pairs, levels, n, v, discount, theta)
 
 
 # Scores
@@ -452,25 +547,25 @@ def parts_of(owner: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 def answer_words(asked: DataFrame, seating: Seating) -> DataFrame:
     """Of each slice's words the training counts, and the samples' chances and tables."""
-    samples = seating.samples
+    levels = seating.levels
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return answer_table([], WORDS, 0, [])
-        right = right.sort_by("h")
+        known, c, _, _, _, *kept = numbers(data_of(right)[0])
         h, _, owner = asked_words(left)
-        at = np.searchsorted(right.column("h").to_numpy(), h)
-        flat = lambda name: right.column(name).combine_chunks().flatten().to_numpy().reshape(-1, samples)
-        c, p, tables = right.column("c").to_numpy()[at], flat("p")[at], flat("tables")[at]
-        data = [[pack(c[a:b]), pack(p[a:b].T), pack(tables[a:b].T)] for a, b in parts_of(owner, left.num_rows)]
+        at = np.searchsorted(known, h)
+        p = np.stack([level.chance(up, root) for level, up, root in zip(levels, kept[::3], kept[1::3])]).astype(np.float32)[:, at]
+        c, tables = c[at], np.stack(kept[2::3]).astype(np.float32)[:, at]
+        data = [[pack(c[a:b]), pack(p[:, a:b]), pack(tables[:, a:b])] for a, b in parts_of(owner, left.num_rows)]
         return answer_table(left.column("slice").to_pylist(), WORDS, left.column("bucket")[0].as_py(), data)
 
-    return asked.where(F.col("kind") == WORDS).groupBy("bucket").cogroup(seating.nodes.groupBy("bucket")).applyInArrow(work, REQUESTS)
+    return by_kind(asked, WORDS).cogroup(by_kind(seating.nodes, NODE)).applyInArrow(work, REQUESTS)
 
 
-def answer_pairs(asked: DataFrame, seating: Seating) -> DataFrame:
+def answer_pairs(asked: DataFrame, seating: Seating, buckets: int) -> DataFrame:
     """Of each slice's pairs the customers less the discounts of their tables, averaged over the samples; 0 if never learned."""
-    discount, samples = seating.discount, seating.samples
+    discount, samples = seating.discount, len(seating.levels)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -478,14 +573,14 @@ def answer_pairs(asked: DataFrame, seating: Seating) -> DataFrame:
         u, w, n, owner = asked_pairs(left)
         keys, _, place, c = summed(pair_key(u, w), n)
         worth = np.where(c > 0, c - discount, 0.0)
-        if right.num_rows:
-            at = np.searchsorted(keys, pair_key(right.column("u").to_numpy(), right.column("w").to_numpy()))
-            worth[at] = c[at] - discount * right.column("t_sum").to_numpy() / samples
+        for data in data_of(right):
+            names, first, second, customers, t, t_sum = numbers(data)
+            worth[np.searchsorted(keys, pair_key(names[first], names[second]))] = customers - discount * (t_sum + t) / samples
         worth = worth[place].astype(np.float32)
         data = [[pack(worth[a:b])] for a, b in parts_of(owner, left.num_rows)]
         return answer_table(left.column("slice").to_pylist(), PAIRS, left.column("bucket")[0].as_py(), data)
 
-    return asked.where(F.col("kind") == PAIRS).groupBy("bucket").cogroup(seating.pairs.groupBy("bucket")).applyInArrow(work, REQUESTS)
+    return pair_requests(asked, buckets).groupBy("bucket").cogroup(by_kind(seating.pairs, PAIR)).applyInArrow(work, REQUESTS)
 
 
 #: What is known of each text.
@@ -494,13 +589,14 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 def score(asked: DataFrame, seating: Seating, buckets: int) -> DataFrame:
     """The columns of SCORES, of every text."""
-    n, v, discount, theta, samples = seating.n, seating.v, seating.discount, seating.theta, seating.samples
-    rows = asked.where(F.col("kind") == DOCS).unionByName(answer_words(asked, seating)).unionByName(answer_pairs(asked, seating))
+    n, v, discount, theta, samples = seating.n, seating.v, seating.discount, seating.theta, len(seating.levels)
+    rows = asked.where(F.col("kind") == DOCS).unionByName(answer_words(asked, seating)).unionByName(answer_pairs(asked, seating, buckets))
 
     def work(table: pa.Table) -> pa.Table:
         kinds, at, data = table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data").to_pylist()
         k = kinds.index(DOCS)
-        own = Slice.of(unpack(data[k][0], np.int64), unpack(data[k][1], np.int64), unpack(data[k][2], np.int32).astype(np.int64))
+        own = Slice.packed(data[k])
+        own.pair_up()
         answers = {(kind, bucket): d for kind, bucket, d in zip(kinds, at, data)}
         c = np.zeros(len(own.hashes), dtype=np.int64)
         p, tables = np.zeros((samples, len(c)), dtype=np.float32), np.zeros((samples, len(c)), dtype=np.float32)
@@ -535,5 +631,5 @@ def report(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, theta: flo
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 + size // bucket_bytes
     asked = write_cut(requests(docs, buckets, slice_bytes))
-    seating = fit(asked, burn, samples, theta)
+    seating = fit(asked, buckets, burn, samples, theta)
     return score(asked, seating, buckets).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(seating.n).cast("long").alias("train_tokens"), "base_score", "score")

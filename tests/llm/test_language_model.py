@@ -144,7 +144,7 @@ def test_scores_against_a_sequential_sampler(spark):
     rows = [(i, " ".join(rng.choices(words, [40, 20, 10, 5, 3, 2, 1])[0] + ("x" if k % 3 == 0 else "") for k in range(rng.randint(3, 9)))) for i in range(60)] + [(200, "never seen a b")]
     own = lm.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     asked = lm.requests(own, 4, 200).cache()
-    seating = lm.fit(asked, burn=4, samples=12)
+    seating = lm.fit(asked, 4, burn=4, samples=12)
     got = {r.doc_id: r.score for r in lm.score(asked, seating, 4).collect()}
     # The discounts of the fit: of the contexts, and of the parent from its last state's customers.
     wanted = dict(zip([i for i, _ in rows], sequential(rows, (seating.discount, 0.5), 1.0)))
@@ -160,20 +160,25 @@ def test_predictions_are_a_distribution(spark):
     probes = [(10_000 + k, f"{u} {w}") for k, (u, w) in enumerate((u, w) for u in known for w in (*known, "zzz"))]
     rows = spark.createDataFrame(list(zip(train, texts)) + [r for r in probes if is_held(r[0])], "doc_id long, text string")
     asked = lm.requests(lm.id_and_text(rows), 2, 10_000).cache()
-    seating = lm.fit(asked, burn=1, samples=2)
-    nodes = {r.h: r for r in seating.nodes.collect()}
+    seating = lm.fit(asked, 2, burn=1, samples=2)
     h = lambda w: int(np.uint64(lm.xxhash.xxh64_intdigest(w)).view(np.int64))
-    pairs = {(r.u, r.w): r.t_sum for r in seating.pairs.collect()}
+    nodes, pairs = {}, {}
+    for r in seating.nodes.where(f"kind = {lm.NODE}").collect():
+        names, c, _, _, _, *kept = lm.numbers(r.data)
+        for k, name in enumerate(names.tolist()):
+            chances = [level.chance(kept[3 * s][k], kept[3 * s + 1][k]) for s, level in enumerate(seating.levels)]
+            nodes[name] = (c[k], chances, [kept[3 * s + 2][k] for s in range(2)])
+    for r in seating.pairs.where(f"kind = {lm.PAIR}").collect():
+        names, first, second, _, t, t_sum = lm.numbers(r.data)
+        pairs |= {(names[a], names[b]): (x + y) / 2 for a, b, x, y in zip(first, second, t, t_sum)}
     c = Counter(x for t in texts for x in zip(["\t", *tokens(t)], tokens(t)))
+    unknown = [chances for n, chances, _ in nodes.values() if n == 0 and chances[0] > 0]
     for s in range(2):
-        words = sum(nodes[h(w)].p[s] for w in (*known, "\n"))
-        unknown = min((r.p[s] for r in nodes.values() if r.c == 0), default=None)
-        assert unknown is None or words + unknown == pytest.approx(1, abs=1e-5)
+        assert sum(nodes[h(w)][1][s] for w in (*known, "\n")) + unknown[0][s] == pytest.approx(1, abs=1e-9)
     for u in known:
         guests = sum(n for (a, _), n in c.items() if a == u)
-        tables = np.mean(nodes[h(u)].tables)
-        worth = sum(n - seating.discount * (pairs[h(u), h(w)] / 2 if n > 1 else 1) for (a, w), n in c.items() if a == u)
-        assert worth + seating.discount * tables == pytest.approx(guests, abs=1e-4)
+        worth = sum(n - seating.discount * (pairs[h(u), h(w)] if n > 1 else 1) for (a, w), n in c.items() if a == u)
+        assert worth + seating.discount * np.mean(nodes[h(u)][2]) == pytest.approx(guests)
 
 
 def test_held_out_perplexity_is_below_the_base(spark):
