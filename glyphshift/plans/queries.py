@@ -181,10 +181,14 @@ def b11_train(spark, sf):
 
 @query
 def b12_export_json(spark, sf):
+    """Through the store and through a JSON file of each model."""
     models = X.models(spark, sf)
-    path = scratch(spark)
-    corpus.write_model(models.ngrams, path)
-    return corpus.import_json(corpus.export_json(corpus.read_model(spark, path), ngrams.vocab_size(models.chars)))
+    store, folder = scratch(spark), scratch(spark)
+    corpus.write_model(models.ngrams, store)
+    sizes = {r.model: r.vocab_size for r in ngrams.vocab_size(models.chars).collect()}
+    for name, size in sizes.items():
+        corpus.write_json_model(corpus.read_model(spark, store).where(F.col("model") == name).drop("model"), size, f"{folder}/{name}.json")
+    return corpus.read_json_models(spark, {name: f"{folder}/{name}.json" for name in sizes})
 
 
 @query
