@@ -22,9 +22,8 @@ HE_FROM, HE_TO = HE_KEYS, EN_KEYS.upper()
 STRICT = [(h, e) for h, e in zip(HE_KEYS, EN_KEYS) if h in HE_LETTERS and e in LETTERS]
 STRICT_FROM, STRICT_TO = "".join(h for h, _ in STRICT), "".join(e for _, e in STRICT)
 
-#: White space as Unicode text knows it, as a class for Java's and for RE2's regular expressions.
+#: White space as Unicode text knows it, as a class of regular expressions.
 SPACE_CLASS = "\\s\\x0b\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPACE_RE2 = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: The characters of that class.
 SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 

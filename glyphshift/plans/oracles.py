@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from glyphshift import constants as K
-WS = f"[{K.SPACE_RE2}]"
+# Literals of its own, so that a wrong one in the library shows: the two layouts in keyboard order, what models and lexicons
+# count as letters, white space, and the grid.
+EN_ROW, HE_ROW = "qwertyuiopasdfghjklzxcvbnm,./;'", "/'קראטוןםפשדגכעיחלךזסבהנמצתץ.ף,"
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz", "`~!@#$%^&*()-_=+[{]}\\|;:'\",<.>/?"
+HE_LETTERS = "אבגדהוזחטיךכלםמןנסעףפץצקרשת"
+EN_FROM, EN_TO = EN_ROW + LETTERS.upper(), HE_ROW + "שנבגקכעיןחלךצמםפ/רדאוה'סטז"
+HE_FROM, HE_TO = HE_ROW, "QWERTYUIOPASDFGHJKLZXCVBNM,./;'"
+STRICT_FROM, STRICT_TO = "קראטוןםפשדגכעיחלךזסבהנמצ", "ertyuiopasdfghjklzxcvbnm"
+EN_ALLOWED, HE_ALLOWED = LETTERS + " " + SIGNS, HE_LETTERS + " " + SIGNS
+BASELINES, ALPHAS, POWERS = [2, 2.5, 3, 3.5, 4, 4.5, 5, 5.5, 6], [0.1, 0.3, 0.5, 0.7, 0.9, 1.1, 1.3, 1.5, 1.7], [1, 1.5, 2, 2.5, 3, 3.5, 4, 4.5]
+WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 def lit(text: str) -> str:
@@ -19,11 +28,11 @@ def split(c: str) -> str:
 
 
 def to_he(c: str) -> str:
-    return f"translate({c}, {lit(K.EN_FROM)}, {lit(K.EN_TO)})"
+    return f"translate({c}, {lit(EN_FROM)}, {lit(EN_TO)})"
 
 
 def to_en(c: str) -> str:
-    return f"translate({c}, {lit(K.HE_FROM)}, {lit(K.HE_TO)})"
+    return f"translate({c}, {lit(HE_FROM)}, {lit(HE_TO)})"
 
 
 def clean_markup(c: str) -> str:
@@ -54,8 +63,8 @@ def scrub(c: str) -> str:
 
 
 HEBREW, ENGLISH, NIKUD = "'[\\x{0590}-\\x{05FF}]'", "'[A-Za-z]'", "'[\\x{0591}-\\x{05C7}]'"
-STRICT = f"CASE WHEN translate(word, {lit(K.STRICT_FROM)}, '') = '' THEN translate(word, {lit(K.STRICT_FROM)}, {lit(K.STRICT_TO)}) ELSE '' END"
-PURE = f"CASE WHEN model = 'he' THEN translate(word, {lit(K.HE_ALLOWED)}, '') = '' ELSE translate(word, {lit(K.EN_ALLOWED)}, '') = '' END"
+STRICT = f"CASE WHEN translate(word, {lit(STRICT_FROM)}, '') = '' THEN translate(word, {lit(STRICT_FROM)}, {lit(STRICT_TO)}) ELSE '' END"
+PURE = f"CASE WHEN model = 'he' THEN translate(word, {lit(HE_ALLOWED)}, '') = '' ELSE translate(word, {lit(EN_ALLOWED)}, '') = '' END"
 
 #: Parts: name, what it needs, its SQL.
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -63,7 +72,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "he_lines": (("lines",), f"SELECT * FROM (SELECT doc_id, 'he' AS lang, source, line_no, array_to_string(list_transform(list_filter({split('lower(line)')}, lambda w: regexp_full_match(w, '[a-z]+')), lambda w: {to_he('w')}), ' ') AS line FROM lines WHERE lang = 'de') WHERE line <> ''"),
     "so_lines": ((), f"SELECT * FROM (SELECT {strip('part')} AS line FROM (SELECT unnest(string_split(text, chr(10))) AS part FROM conversations WHERE role IN ('user', 'assistant'))) WHERE line <> ''"),
     "training": (("lines", "he_lines", "so_lines"), "SELECT 'en' AS model, line FROM lines WHERE lang = 'en' UNION ALL SELECT 'he', line FROM he_lines UNION ALL SELECT 'so', line FROM so_lines"),
-    "wc": (("training",), f"SELECT model, word, count(*) AS cnt FROM (SELECT model, unnest({split('norm')}) AS word FROM (SELECT model, regexp_replace({strip('lower(line)')}, '[\\x{{200E}}\\x{{200F}}]', '', 'g') AS norm FROM training)) WHERE ({PURE}) AND NOT regexp_matches(word, {NIKUD}) AND length(word) <= {K.MAX_WORD} GROUP BY model, word"),
+    "wc": (("training",), f"SELECT model, word, count(*) AS cnt FROM (SELECT model, unnest({split('norm')}) AS word FROM (SELECT model, regexp_replace({strip('lower(line)')}, '[\\x{{200E}}\\x{{200F}}]', '', 'g') AS norm FROM training)) WHERE ({PURE}) AND NOT regexp_matches(word, {NIKUD}) AND length(word) <= {12} GROUP BY model, word"),
     "wordgrams": (("wc",), "SELECT model, word, cnt, n::INTEGER AS n, substr(' ' || word || ' ', i::INTEGER, n::INTEGER) AS gram FROM wc, unnest([2, 3, 4]) AS a(n), unnest(range(1, length(word) + 4 - n)) AS b(i)"),
     "ngrams": (("wordgrams",), "SELECT model, n, gram, sum(cnt)::BIGINT AS cnt FROM wordgrams GROUP BY model, n, gram"),
     "chars": (("wc",), "SELECT DISTINCT model, unnest(string_split(word, '')) AS ch FROM wc"),
@@ -189,7 +198,7 @@ PARTS["cand"] = (
     """SELECT trap, sample_id, k, place + CASE WHEN e.j = size - 1 THEN size + 1 ELSE e.j + 2 END AS pos, CASE WHEN layout = 'en' THEN e.d ELSE -e.d END AS d
     FROM (SELECT s.*, length(s.en) AS size, unnest(evals) AS e FROM swords s JOIN mevals USING (en, he) WHERE s.en <> '') WHERE NOT e.coll AND (e.j < size - 1 OR ended)""",
 )
-PARTS["grid"] = ((), f"SELECT d0, a, p FROM unnest({list(K.GRID_BASELINES)}::DOUBLE[]) AS x(d0), unnest({list(K.GRID_ALPHAS)}::DOUBLE[]) AS y(a), unnest({list(K.GRID_POWERS)}::DOUBLE[]) AS z(p)")
+PARTS["grid"] = ((), f"SELECT d0, a, p FROM unnest({BASELINES}::DOUBLE[]) AS x(d0), unnest({ALPHAS}::DOUBLE[]) AS y(a), unnest({POWERS}::DOUBLE[]) AS z(p)")
 PARTS["one"] = ((), "SELECT 4.0::DOUBLE AS d0, 0.5::DOUBLE AS a, 2.0::DOUBLE AS p")
 for table in ("grid", "one"):
     PARTS[f"hits_{table}"] = (("cand", table), f"SELECT trap, d0, a, p, sample_id, min(pos) AS pos FROM cand JOIN {table} ON d > d0 + a * pow(k, p) GROUP BY trap, d0, a, p, sample_id")
@@ -323,7 +332,7 @@ ORACLES = {
     ),
     "b1_normalise": sql(f"SELECT * FROM (SELECT doc_id, line_no, regexp_replace({strip('lower(line)')}, '[\\x{{200E}}\\x{{200F}}]', '', 'g') AS line FROM lines) WHERE line <> ''", "lines"),
     "b2_words": filtered("true"),
-    "b3_pure_words": filtered(f"translate(word, {lit(K.EN_ALLOWED)}, '') = ''"),
+    "b3_pure_words": filtered(f"translate(word, {lit(EN_ALLOWED)}, '') = ''"),
     "b4_drop_vocalised": filtered(f"NOT regexp_matches(word, {NIKUD})", "voiced"),
     "b5_cap_word_len": filtered("length(word) <= 12"),
     "b6_ngrams": sql("SELECT model, word, count(*) AS n_grams, max(gram) AS last_gram FROM wordgrams GROUP BY model, word", "wordgrams"),
@@ -338,7 +347,7 @@ ORACLES = {
     "c2_shadow_he_en": sql(f"SELECT DISTINCT word, {to_en('word')} AS shadow FROM he_words", "he_words"),
     "c3_strict_shadow": sql(f"SELECT DISTINCT word, {STRICT} AS shadow FROM he_words", "he_words"),
     "c4_keymap": sql(
-        f"SELECT en, he, shifted, coalesce(cnt, 0) AS cnt FROM (SELECT unnest(string_split({lit(K.EN_KEYS)}, '')) AS en, unnest(string_split({lit(K.HE_KEYS)}, '')) AS he, false AS shifted UNION ALL SELECT upper(c), {to_he('c')}, true FROM (SELECT unnest(string_split({lit(K.LETTERS)}, '')) AS c)) LEFT JOIN (SELECT ch AS en, count(*) AS cnt FROM (SELECT unnest(string_split(line, '')) AS ch FROM lines WHERE lang = 'en') GROUP BY 1) USING (en)",
+        f"SELECT en, he, shifted, coalesce(cnt, 0) AS cnt FROM (SELECT unnest(string_split({lit(EN_ROW)}, '')) AS en, unnest(string_split({lit(HE_ROW)}, '')) AS he, false AS shifted UNION ALL SELECT upper(c), {to_he('c')}, true FROM (SELECT unnest(string_split({lit(LETTERS)}, '')) AS c)) LEFT JOIN (SELECT ch AS en, count(*) AS cnt FROM (SELECT unnest(string_split(line, '')) AS ch FROM lines WHERE lang = 'en') GROUP BY 1) USING (en)",
         "lines",
     ),
     "d1_score": sql("SELECT * FROM score_en", "score_en"),
