@@ -37,7 +37,7 @@ from glyphshift.llm._shared import id_and_text, release, slices, write_cut
 BURN, SAMPLES, CONCENTRATION = 2, 3, 1.0
 EXACT, GRID, TERMS = 256, 192, 64
 #: Bytes of text of a slice, and bytes of text whose words or pairs are counted together.
-SLICE_BYTES, BUCKET_BYTES = 16_000_000, 16_000_000
+SLICE_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
 #: Marks that no word can be, as a word has no white space.
 END, START = b"\n", b"\t"
 DOCS, WORDS, PAIRS = 0, 1, 2
@@ -106,24 +106,25 @@ class Slice:
         words = known.dictionary.to_pylist()
         self.hashes = np.asarray([xxhash.xxh64_intdigest(w) for w in (*words, END, START)], dtype=np.uint64).view(np.int64)
         self.sizes = np.bincount(owner, minlength=len(split)).astype(np.int64) + 1
-        self.place(known.indices.to_numpy().astype(np.int64))
+        self.place(known.indices.to_numpy())
 
     def place(self, codes: np.ndarray) -> None:
         """`codes` of the words, without ends, in order."""
         end, start = len(self.hashes) - 2, len(self.hashes) - 1
         last = np.cumsum(self.sizes) - 1
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.token = np.full(len(self.doc), end, dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.token = np.full(len(self.doc), end, dtype=np.int32)
         inner = np.ones(len(self.doc), dtype=bool)
         inner[last] = False
         self.token[inner] = codes
-        self.context = np.r_[start, self.token[:-1]] if len(self.token) else self.token
+        self.context = np.roll(self.token, 1)
+        self.context[:1] = start
         self.context[last[:-1] + 1] = start
 
     def pair_up(self) -> None:
         """The distinct pairs of contexts and tokens, and each token's place among them."""
         n = len(self.hashes)
-        pairs, self.pair = np.unique(self.context * n + self.token, return_inverse=True)
+        pairs, self.pair = np.unique(self.context.astype(np.int64) * n + self.token, return_inverse=True)
         self.first, self.second = pairs // n, pairs % n
 
     def codes(self) -> np.ndarray:
@@ -143,7 +144,7 @@ class Slice:
     def packed(cls, data: list[bytes]) -> Slice:
         own = cls.__new__(cls)
         own.hashes, own.sizes = unpack(data[0], np.int64), unpack(data[1], np.int64)
-        own.place(unpack(data[2], np.int32).astype(np.int64))
+        own.place(unpack(data[2], np.int32))
         return own
 
 
@@ -174,7 +175,7 @@ def requests(docs: DataFrame, buckets: int, slice_bytes: int) -> DataFrame:
         for table in gathered(batches, slice_bytes):
             own = Slice(table.column("text").combine_chunks())
             held = table.column("held").to_pylist()
-            rows = [(number, DOCS, 0, table.column("doc_id").to_pylist(), held, [pack(own.hashes), pack(own.sizes), pack(own.codes().astype(np.int32))])]
+            rows = [(number, DOCS, 0, table.column("doc_id").to_pylist(), held, [pack(own.hashes), pack(own.sizes), pack(own.codes())])]
             n = np.bincount(own.token, weights=own.learned(held), minlength=len(own.hashes)).astype(np.int64)
             rows += [(number, WORDS, bucket, None, None, [pack(own.hashes[at]), pack(n[at])]) for bucket, at in by_bucket(own.word_buckets(buckets))]
             number += 1
@@ -188,7 +189,8 @@ def pair_requests(asked: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, held, data in zip(*(batch.column(name).to_pylist() for name in ("slice", "held", "data"))):
+            for k in range(batch.num_rows):
+                number, held, data = (batch.column(name)[k].as_py() for name in ("slice", "held", "data"))
                 own, rows = Slice.packed(data), []
                 own.pair_up()
                 n = np.bincount(own.pair, weights=own.learned(held), minlength=len(own.first)).astype(np.int64)
@@ -199,7 +201,7 @@ def pair_requests(asked: DataFrame, buckets: int) -> DataFrame:
                     rows.append((number, PAIRS, bucket, None, None, [pack(own.hashes[names]), pack(steps.astype(np.uint32)), pack(place[len(at) :].astype(np.uint32)), pack(n[at])]))
                 yield request_table(rows)
 
-    return asked.where(F.col("kind") == DOCS).mapInArrow(run, REQUESTS)
+    return asked.where(F.col("kind") == DOCS).select("slice", "held", "data").mapInArrow(run, REQUESTS)
 
 
 # Counts
