@@ -4,7 +4,7 @@ The windows of the benchmark are the patterns and a document's words are the tex
 table over blocks of two words says how far the search may jump; where it may not jump, the bucket of patterns that end
 in that block (by the same block's key) is compared word by word. Patterns of one length share their tables, so short
 items don't shorten the jumps of the full windows. Words are numbers, a pattern is a place in the benchmark's words, and the
-tables are arrays of numbers: a worker holds about 15 bytes a byte of benchmark text.
+tables are arrays of numbers: a worker holds about 20 bytes a byte of benchmark text.
 
 The benchmark is the stated query set. Its size is measured first; beyond `block_bytes` it is searched in blocks of
 items, each of a bounded size: one block's tables are broadcast at a time, what it finds is written, and its broadcast is
@@ -70,16 +70,26 @@ class WuManber:
         self.starts, self.owners = starts[order].astype(np.int32), owners[order].astype(np.int32)
         self.keys, first = np.unique(last[order], return_index=True)
         self.bounds = np.append(first, len(order)).astype(np.int32)
+        # Which first and last blocks go together, by hash: what isn't marked needs no comparison.
+        self.few = (1 << max(8, int(starts.size * 8).bit_length())) - 1
+        marks = np.zeros(self.few + 1, dtype=np.uint8)
+        if length >= 4:
+            marks[self.ends(*(stream[starts + k] for k in (0, 1, length - 2, length - 1)))] = 1
+        self.marks = marks.tobytes()
 
     def slots(self, first, second):
         return (first * MIX + second) & self.mask if self.block == 2 else second & self.mask
 
+    def ends(self, a, b, c, d):
+        return ((a * MIX + b) & self.few) ^ (((c * MIX + d) & self.few) * 31 & self.few)
+
     def suffixes(self, first, second):
         return first * self.n_words + second if self.block == 2 else second
 
     def find(self, words: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         """(start, owners) of every occurrence, in order. Words that the benchmark doesn't hold are below zero."""
         at, n, length, mask, shift, two = self.length, len(words), self.length, self.mask, self.shift, self.block == 2
+        few, marks = self.few, self.marks if self.length >= 4 else None
         whole = None
         while at <= n:
             last = words[at - 1]
@@ -94,6 +104,11 @@ class WuManber:
             if jump:
                 at += jump
                 continue
+            if marks:
+                first, second = words[at - length], words[at - length + 1]
+                if first < 0 or second < 0 or not marks[((first * MIX + second) & few) ^ (((before * MIX + last) & few) * 31 & few)]:
+                    at += 1
+                    continue
             whole = np.asarray(words, dtype=np.int64) if whole is None else whole
             owners = self.confirmed(whole[at - length : at])
             if len(owners):
