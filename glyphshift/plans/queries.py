@@ -510,7 +510,7 @@ def g3_score_stream(spark, sf):
 def g4_ngram_stream(spark, sf):
     out = scratch(spark)
     lines = X.lines(spark, sf).where("lang = 'en'").select(F.lit("en").alias("model"), "line")
-    streams.ngram_stream(file_stream(spark, lines), f"{out}/store", f"{out}/checkpoint")
+    streams.ngram_stream(file_stream(spark, lines), f"{out}/store", f"{out}/checkpoint", loose=2)
     return streams.stored_model(spark, f"{out}/store").ngrams
 
 

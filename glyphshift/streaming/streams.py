@@ -15,6 +15,7 @@ from glyphshift.functions import text as T
 from glyphshift.operators.cleaning import drop_tombstones
 from glyphshift.operators.decide import decide, decision_log
 from glyphshift.operators.ngrams import Models, count_ngrams, merge_counts, model_chars, word_counts
+from glyphshift.sources.batches import Batches, keep_last
 
 
 def segment_stream(events: DataFrame, key: str = "user_id", idle: str = "15 seconds", late: str = "1 minute") -> DataFrame:
@@ -42,29 +43,56 @@ def score_stream(pairs: DataFrame, models: Models, collisions: DataFrame, path:
     per_batch(pairs, work, checkpoint)
 
 
-def log_stream(pairs: DataFrame, models: Models, collisions: DataFrame, path: str, checkpoint: str, delta: float = K.DEFAULTS.baseline) -> None:
-    """Appends the decision log of incoming pairs (with their `time`), a folder a batch."""
+LOG = "time timestamp, active_word string, shadow_word string, layout string, on_delimiter boolean, is_colliding boolean, is_ambiguous boolean, score_diff double, delta double, category string, should_switch boolean"
+
+
+def log_stream(pairs: DataFrame, models: Models, collisions: DataFrame, path: str, checkpoint: str, delta: float = K.DEFAULTS.baseline, keep: int | None = None, least_bytes: int = 10 * 1024 * 1024) -> None:
+    """Appends the decision log of incoming pairs (with their `time`), a folder a batch. With `keep`, a log beyond `least_bytes` is
+    cut to its last rows after a batch."""
 
     def work(batch: DataFrame, number: int) -> None:
-        decision_log(decide(batch, models, collisions, delta), delta).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        log = Batches(batch.sparkSession, path, LOG)
+        log.write(decision_log(decide(batch, models, collisions, delta), delta), number)
+        if keep is not None:
+            keep_last(log, keep, least_bytes)
 
     per_batch(pairs, work, checkpoint)
 
 
-def ngram_stream(lines: DataFrame, path: str, checkpoint: str) -> None:
-    """Counts each batch of lines (model, line) into the store's folder of that batch; `stored_model` merges them."""
+GRAMS, CHARS = "model string, n int, gram string, cnt long", "model string, ch string"
+#: Batches that a stream of counts leaves apart before it merges them.
+LOOSE = 8
+
+
+def ngram_stream(lines: DataFrame, path: str, checkpoint: str, loose: int = LOOSE) -> None:
+    """Counts each batch of lines (model, line) into the store. Every `loose` batches are merged into the snapshot, so that reading
+    the model doesn't grow with their number. A repeated batch changes nothing."""
 
     def work(batch: DataFrame, number: int) -> None:
+        grams, chars = stored_batches(batch.sparkSession, path)
         counts = word_counts(batch)
-        count_ngrams(counts).write.mode("overwrite").parquet(f"{path}/ngrams/batch={number}")
-        model_chars(counts).write.mode("overwrite").parquet(f"{path}/chars/batch={number}")
+        grams.write(count_ngrams(counts), number)
+        chars.write(model_chars(counts), number)
+        if len(grams.numbers()) >= loose:
+            compact(batch.sparkSession, path)
 
     per_batch(lines, work, checkpoint)
 
 
+def stored_batches(spark: SparkSession, path: str) -> tuple[Batches, Batches]:
+    return Batches(spark, f"{path}/ngrams", GRAMS), Batches(spark, f"{path}/chars", CHARS)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Merges the store's batches: counts add up, characters are united."""
+    grams, chars = stored_batches(spark, path)
+    chars.swap(lambda rows: rows.distinct())
+    grams.swap(lambda rows: merge_counts(rows))
+
+
 def stored_model(spark: SparkSession, path: str) -> Models:
-    ngrams = spark.read.parquet(f"{path}/ngrams").select("model", "n", "gram", "cnt")
-    return Models(merge_counts(ngrams), spark.read.parquet(f"{path}/chars").select("model", "ch").distinct())
+    grams, chars = stored_batches(spark, path)
+    return Models(merge_counts(grams.read()), chars.read().distinct())
 
 
 def mixed_stream(comments: DataFrame, late: str = "10 minutes") -> DataFrame:
