@@ -37,7 +37,7 @@ from glyphshift.llm._shared import id_and_text, release, slices, write_cut
 BURN, SAMPLES, CONCENTRATION = 2, 3, 1.0
 EXACT, GRID, TERMS = 256, 192, 64
 #: Bytes of text of a slice, and bytes of text whose words or pairs are counted together.
-SLICE_BYTES, BUCKET_BYTES = 8_000_000, 16_000_000
+SLICE_BYTES, BUCKET_BYTES = 6_000_000, 8_000_000
 #: Marks that no word can be, as a word has no white space.
 END, START = b"\n", b"\t"
 DOCS, WORDS, PAIRS = 0, 1, 2
@@ -200,6 +200,8 @@ def pair_requests(asked: DataFrame, buckets: int) -> DataFrame:
                     steps = np.diff(place[: len(at)], prepend=0)
                     rows.append((number, PAIRS, bucket, None, None, [pack(own.hashes[names]), pack(steps.astype(np.uint32)), pack(place[len(at) :].astype(np.uint32)), pack(n[at])]))
                 yield request_table(rows)
+                del own, rows, n
+                pa.default_memory_pool().release_unused()
 
     return asked.where(F.col("kind") == DOCS).select("slice", "held", "data").mapInArrow(run, REQUESTS)
 
@@ -216,14 +218,15 @@ def asked_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def asked_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words, training counts and the row of every pair that the rows of `table` ask for."""
-    first, second, counts, sizes = [], [], [], []
-    for d in table.column("data").to_pylist():
-        names, n = unpack(d[0], np.int64), unpack(d[3], np.int64)
-        first.append(names[np.cumsum(unpack(d[1], np.uint32))])
-        second.append(names[unpack(d[2], np.uint32)])
-        counts.append(n)
-        sizes.append(len(n))
-    return np.concatenate(first), np.concatenate(second), np.concatenate(counts), np.repeat(np.arange(len(sizes)), sizes)
+    sizes = [int.from_bytes(d[3][:8], "little") // 8 for d in table.column("data").to_pylist()]
+    first, second, counts = (np.empty(sum(sizes), dtype=np.int64) for _ in range(3))
+    for k, at in enumerate(np.cumsum(sizes) - sizes):
+        d, part = table.column("data")[k].as_py(), slice(at, at + sizes[k])
+        names = unpack(d[0], np.int64)
+        counts[part] = unpack(d[3], np.int64)
+        first[part] = names[np.cumsum(unpack(d[1], np.uint32))]
+        second[part] = names[unpack(d[2], np.uint32)]
+    return first, second, counts, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
