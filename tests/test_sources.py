@@ -1,4 +1,4 @@
-"""Files of the reference's forms: comment dumps in splits, and JSON models."""
+"""Comment dumps in splits, and JSON models."""
 
 import json
 import random
