@@ -2,9 +2,11 @@
 
 Three base patterns (assignments, access ids, hex strings) give spans of characters, end exclusive. Beyond them, the
 value in each credential context (more key names than the base, authorization headers, passwords in addresses) is priced: the
-cheapest way to cut it into dictionary words, dates, repeats, keyboard walks and brute-force spans gives the guesses,
-in powers of ten, that an attacker needs. A value that costs at least `min_guesses` is a span of kind `guess`; cheap
-values ("password", "aaaaaaaa", "qwerty123") are placeholders and add none. Base spans always stay.
+cheapest way to cut it into dictionary words and their endings, separators, dates, repeats, keyboard walks and brute-force spans
+gives the guesses, in powers of ten, that an attacker needs. A value that costs at least `min_guesses` is a span of kind `guess`;
+cheap values ("password", "aaaaaaaa", "qwerty123") are placeholders and add none. Nor do values that only refer to a secret
+(`${NAME}`, `NAME_OF_WORDS`, calls, indexed names, rooted paths), if words cut the price of the name to three fifths of brute
+force or less: a reference needs no guessing. Base spans always stay.
 
 A null or empty text has no spans. Long texts are scanned whole. Of the places where a repeat or walk may begin only those
 are kept that can still win, so that long values are priced in about linear time. Repeated rows are scanned each for itself; further columns are ignored; an empty table gives an empty table.
@@ -39,6 +41,8 @@ here insert replace todo value string name server database""".split()
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 # Digits and signs that stand for letters.
 LEET = str.maketrans("4301$57@", "aeoissta")
+# Signs that join words.
+SEPARATORS = "_-./"
 
 
 def any_case(words: str) -> str:
@@ -76,11 +80,14 @@ def in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 @lru_cache(maxsize=1)
 def lexicon() -> tuple[dict[str, float], int]:
     """log10 of the guesses for each word, and the longest word's length: the common words, then the words of three letters or
-    more in the public vocabulary, by its rank."""
-    pieces = sorted(read_ranks(RANKS).items(), key=lambda x: x[1])
-    vocabulary = [w[1:].lower() for w in (p.decode("utf-8", "replace") for p, _ in pieces) if w[:1] == " " and len(w) >= 4 and w[1:].isalpha()]
+    more in the public vocabulary, by its rank; and pieces of words in it that are no words, such as endings, by their own rank."""
+    pieces = [p.decode("utf-8", "replace") for p, _ in sorted(read_ranks(RANKS).items(), key=lambda x: x[1])]
+    vocabulary = [w[1:].lower() for w in pieces if w[:1] == " " and len(w) >= 4 and w[1:].isalpha()]
     words = list(dict.fromkeys([*COMMON_WORDS, *vocabulary]))
-    return {w: math.log10(rank) for rank, w in enumerate(words, 1)}, max(map(len, words))
+    endings = dict.fromkeys(w for w in pieces if len(w) >= 4 and w.isalpha() and w.islower())
+    costs = {w: math.log10(rank) for rank, w in enumerate(endings, 1)}
+    costs |= {w: math.log10(rank) for rank, w in enumerate(words, 1)}
+    return costs, max(map(len, costs))
 
 
 @lru_cache(maxsize=1)
@@ -102,6 +109,8 @@ DATES = [
 
 def brute_cost(char: str) -> float:
     """log10 of the alphabet that one character is guessed from."""
+    if char in SEPARATORS:
+        return math.log10(len(SEPARATORS))
     if char.isdigit():
         return 1.0
     if char.isalpha():
@@ -169,6 +178,34 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+NAME = "[A-Za-z_][A-Za-z0-9_]*"
+#: A value that says where a secret stands; group 1 is a name that must be readable, if there is one.
+REFERENCES = [
+    re.compile(f"{NAME}(?:(?:\\.|::|->){NAME})*[(\\[](?:\"[^\"\\n]*\"|'[^'\\n]*')[^)\\]\\n]*[)\\]]"),  # a key that is read by its name
+    re.compile("\\$\\{[^}\\s]*\\}|\\$\\([^)\\n]*\\)|\\{\\{[^}\\n]*\\}\\}"),
+    re.compile(f"\\$({NAME})(?![!-~])|%({NAME})%|<([A-Za-z0-9_ .-]+)>"),
+    re.compile("([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)(?![!-+/-~])"),
+    re.compile(f"({NAME}(?:(?:\\.|::|->){NAME})*)(?:\\([^\\n]*\\)|\\[[^\\n]*\\])"),
+    re.compile("((?:~|\\.{1,2})?(?:/[A-Za-z0-9_.-]+)+/?)(?![!-+:-~])"),
+]
+
+
+def readable(name: str) -> bool:
+    """Whether words cut the price of a name to three fifths of that by brute force or less."""
+    low = name.lower()
+    return guess_cost(low) <= 0.6 * sum(map(brute_cost, low))
+
+
+def refers(text: str, start: int) -> bool:
+    """Whether the value that begins here only refers to a secret."""
+    for pattern in REFERENCES:
+        if m := pattern.match(text, start):
+            name = next((g for g in m.groups() if g is not None), None)
+            if name is None or readable(name):
+                return True
+    return False
+
+
 def guess_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int, int, str]]:
     """Values of credential contexts that cost at least `min_guesses`; of those that start at one place the longest."""
     found: dict[int, int] = {}
@@ -178,7 +215,7 @@ def guess_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[int,
             quoted = text[start - 1] in "\"'" and text[end : end + 1] == text[start - 1]
             value = m[2] if quoted else m[2].rstrip("\"',;.)]}")
             end = start + len(value)
-            if len(value) >= 6 and end > found.get(start, 0) and guess_cost(value) >= min_guesses:
+            if len(value) >= 6 and end > found.get(start, 0) and guess_cost(value) >= min_guesses and not refers(text, start):
                 found[start] = end
     return [(start, end, "guess") for start, end in sorted(found.items())]
 
