@@ -9,8 +9,8 @@ by a series or the saddle point of their generating function. A dish of one cust
 customers, the concentration is a parameter. After `burn` rounds, the predictive probabilities of `samples` states are averaged,
 word by word, and a text's score is the sum of their logarithms.
 
-Texts are worked on in slices. A slice asks for what is known of its words and of its pairs of words: packed lists, dealt by the
-hash of the word or pair, meet the counts or the seating there and bring the answers back to their slice, so that no row a token is
+Texts are worked on in slices. A slice first learns its words' numbers from the buckets of their hashes. Then it asks for what is
+known of its words and of its pairs of words: packed lists of sorted numbers, dealt by the number of the word or the hash of the pair, meet the counts or the seating there and bring the answers back to their slice, so that no row a token is
 ever shuffled. In the same way the pairs, packed by the bucket of their hash, tell their words' buckets their tables in each round, and get
 back the state of the parent and of their contexts. A hot word or pair is one number a bucket. All that the driver gets are
 totals. The seating is written after each round.
@@ -52,13 +52,27 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def pack(values: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(values).tobytes()
+    """The numbers' first bytes, then their second bytes and so on, compressed."""
+    flat = np.ascontiguousarray(values).reshape(-1)
+    raw = flat.view(np.uint8).reshape(len(flat), -1).T.tobytes() if len(flat) else b""
     return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", dtype=kind)
+    size, kind = int.from_bytes(data[:8], "little"), np.dtype(kind)
+    if not size:
+        return np.empty(0, dtype=kind)
+    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+def pack_steps(values: np.ndarray) -> bytes:
+    """Numbers that mostly grow, by their steps."""
+    return pack(np.diff(values, prepend=0))
+
+
+def unpack_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.int64))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -94,8 +108,8 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]
 
 
 class Slice:
-    """The tokens of some texts: `hashes` of the distinct words, the end and the beginning; each token's and its context's place
-    therein; each token's text."""
+    """The tokens of some texts: `names` of the distinct words, the end and the beginning (their hashes, and once they are numbered
+    their numbers, in order but for the last two); each token's and its context's place therein; each token's text."""
 
     def __init__(self, texts: pa.Array):
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -104,13 +118,13 @@ class Slice:
         owner = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())[full.to_numpy(zero_copy_only=False)]
         known = flat.filter(full).dictionary_encode()
         words = known.dictionary.to_pylist()
-        self.hashes = np.asarray([xxhash.xxh64_intdigest(w) for w in (*words, END, START)], dtype=np.uint64).view(np.int64)
+        self.names = np.asarray([xxhash.xxh64_intdigest(w) for w in (*words, END, START)], dtype=np.uint64).view(np.int64)
         self.sizes = np.bincount(owner, minlength=len(split)).astype(np.int64) + 1
         self.place(known.indices.to_numpy())
 
     def place(self, codes: np.ndarray) -> None:
         """`codes` of the words, without ends, in order."""
-        end, start = len(self.hashes) - 2, len(self.hashes) - 1
+        end, start = len(self.names) - 2, len(self.names) - 1
         last = np.cumsum(self.sizes) - 1
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.token = np.full(len(self.doc), end, dtype=np.int32)
@@ -123,18 +137,15 @@ class Slice:
 
     def pair_up(self) -> None:
         """The distinct pairs of contexts and tokens, and each token's place among them."""
-        n = len(self.hashes)
+        n = len(self.names)
         pairs, self.pair = np.unique(self.context.astype(np.int64) * n + self.token, return_inverse=True)
         self.first, self.second = pairs // n, pairs % n
 
     def codes(self) -> np.ndarray:
-        return self.token[self.token != len(self.hashes) - 2]
-
-    def word_buckets(self, buckets: int) -> np.ndarray:
-        return bucket_of(self.hashes, buckets)
+        return self.token[self.token != len(self.names) - 2]
 
     def pair_buckets(self, buckets: int) -> np.ndarray:
-        return bucket_of(pair_key(self.hashes[self.first], self.hashes[self.second]), buckets)
+        return bucket_of(pair_key(self.names[self.first], self.names[self.second]), buckets)
 
     def learned(self, held: list[bool]) -> np.ndarray:
         """1 for each token of a training text."""
@@ -143,7 +154,7 @@ class Slice:
     @classmethod
     def packed(cls, data: list[bytes]) -> Slice:
         own = cls.__new__(cls)
-        own.hashes, own.sizes = unpack(data[0], np.int64), unpack(data[1], np.int64)
+        own.names, own.sizes = unpack_steps(data[0]), unpack(data[1], np.int64)
         own.place(unpack(data[2], np.int32))
         return own
 
@@ -166,7 +177,8 @@ def request_table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def requests(docs: DataFrame, buckets: int, slice_bytes: int) -> DataFrame:
-    """Of each slice its texts, as places of words, and the words that it asks for, with how often each stands in training texts."""
+    """Of each slice its texts, as places of words with their buckets, and the words that it asks for, with how often each stands in
+    training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,16 +187,51 @@ def requests(docs: DataFrame, buckets: int, slice_bytes: int) -> DataFrame:
         for table in gathered(batches, slice_bytes):
             own = Slice(table.column("text").combine_chunks())
             held = table.column("held").to_pylist()
-            rows = [(number, DOCS, 0, table.column("doc_id").to_pylist(), held, [pack(own.hashes), pack(own.sizes), pack(own.codes())])]
-            n = np.bincount(own.token, weights=own.learned(held), minlength=len(own.hashes)).astype(np.int64)
-            rows += [(number, WORDS, bucket, None, None, [pack(own.hashes[at]), pack(n[at])]) for bucket, at in by_bucket(own.word_buckets(buckets))]
+            dealt = bucket_of(own.names, buckets)
+            rows = [(number, DOCS, 0, table.column("doc_id").to_pylist(), held, [pack(dealt.astype(np.int32)), pack(own.sizes), pack(own.codes())])]
+            n = np.bincount(own.token, weights=own.learned(held), minlength=len(own.names)).astype(np.int64)
+            rows += [(number, WORDS, bucket, None, None, [pack(own.names[at]), pack(n[at])]) for bucket, at in by_bucket(dealt)]
             number += 1
             yield request_table(rows)
 
     return docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(run, REQUESTS)
 
 
-def pair_requests(asked: DataFrame, buckets: int) -> DataFrame:
+def numbered(asked: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """Of each slice its texts with the numbers of their words. A word's number is its place in its bucket times the buckets, and
+    its bucket: neighbours in a sorted list are told in a byte, a hash takes eight."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_batches([request_table([])])
+        number, ids, held, data = (left.column(name)[0].as_py() for name in ("slice", "ids", "held", "data"))
+        dealt, codes = unpack(data[0], np.int32), unpack(data[2], np.int32)
+        told, names = dict(zip(right.column("source").to_pylist(), data_of(right))), np.empty(len(dealt), dtype=np.int64)
+        for bucket, at in by_bucket(dealt):
+            names[at] = unpack(told[bucket][0], np.uint32).astype(np.int64) * buckets + bucket
+        order = np.argsort(names[:-2])
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        names = np.concatenate([names[order], names[-2:]])
+        return pa.Table.from_batches([request_table([(number, DOCS, 0, ids, held, [pack_steps(names), data[1], pack(place[codes])])])])
+
+    texts = asked.where(F.col("kind") == DOCS).groupBy("slice")
+    return texts.cogroup(by_kind(words, NUMBERS)).applyInArrow(work, REQUESTS)
+
+
+def word_requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """Of each slice its words' places in their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                names = unpack_steps(batch.column("data")[k].as_py()[0])
+                yield request_table([(batch.column("slice")[k].as_py(), WORDS, bucket, None, None, [pack_steps(names[at] // buckets)]) for bucket, at in by_bucket(names % buckets)])
+
+    return docs.select("slice", "data").mapInArrow(run, REQUESTS)
+
+
+def pair_requests(docs: DataFrame, buckets: int) -> DataFrame:
     """Of each slice the pairs that it asks for, with how often each stands in training texts, made anew from its places of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +245,12 @@ def pair_requests(asked: DataFrame, buckets: int) -> DataFrame:
                     # In order of their contexts, whose places are told by their steps.
                     names, place = np.unique(np.concatenate([own.first[at], own.second[at]]), return_inverse=True)
                     steps = np.diff(place[: len(at)], prepend=0)
-                    rows.append((number, PAIRS, bucket, None, None, [pack(own.hashes[names]), pack(steps.astype(np.uint32)), pack(place[len(at) :].astype(np.uint32)), pack(n[at])]))
+                    rows.append((number, PAIRS, bucket, None, None, [pack_steps(own.names[names]), pack(steps.astype(np.uint32)), pack(place[len(at) :].astype(np.uint32)), pack(n[at])]))
                 yield request_table(rows)
                 del own, rows, n
                 pa.default_memory_pool().release_unused()
 
-    return asked.where(F.col("kind") == DOCS).select("slice", "held", "data").mapInArrow(run, REQUESTS)
+    return docs.select("slice", "held", "data").mapInArrow(run, REQUESTS)
 
 
 # Counts
@@ -222,7 +269,7 @@ def asked_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first, second, counts = (np.empty(sum(sizes), dtype=np.int64) for _ in range(3))
     for k, at in enumerate(np.cumsum(sizes) - sizes):
         d, part = table.column("data")[k].as_py(), slice(at, at + sizes[k])
-        names = unpack(d[0], np.int64)
+        names = unpack_steps(d[0])
         counts[part] = unpack(d[3], np.int64)
         first[part] = names[np.cumsum(unpack(d[1], np.uint32))]
         second[part] = names[unpack(d[2], np.uint32)]
@@ -237,7 +284,7 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 #: Rows between words (nodes) and pairs, dealt by bucket: where they come from, whole numbers to be added up, and packed numbers.
 ROW = "source long, kind int, bucket long, a long, b long, one long, two long, data array<binary>"
-NODE, PAIR, ASKED, ANSWER = range(4)
+NODE, PAIR, ASKED, ANSWER, NUMBERS = range(5)
 
 
 def row_table(rows: list[tuple]) -> pa.Table:
@@ -254,25 +301,31 @@ def numbers(data: list[bytes]) -> list[np.ndarray]:
     return [unpack(d, np.int64) for d in data]
 
 
+def pair_numbers(data: list[bytes]) -> list[np.ndarray]:
+    return [unpack_steps(data[0]), *numbers(data[1:])]
+
+
 def by_kind(rows: DataFrame, kind: int):
     return rows.where(F.col("kind") == kind).groupBy("bucket")
 
 
 def count_words(asked: DataFrame) -> DataFrame:
-    """A row a bucket: its distinct words, how often each stands in training texts, and their sums."""
+    """A row a bucket: its distinct words, how often each stands in training texts, and their sums; and for each slice its words'
+    places among them."""
 
     def work(table: pa.Table) -> pa.Table:
-        h, n, _ = asked_words(table)
-        keys, _, _, c = summed(h, n)
-        bucket = table.column("bucket")[0].as_py()
-        return row_table([(bucket, NODE, bucket, int(c.sum()), int((c > 0).sum()), 0, 0, [pack(keys), pack(c)])])
+        h, n, owner = asked_words(table)
+        keys, _, place, c = summed(h, n)
+        bucket, slices_ = table.column("bucket")[0].as_py(), table.column("slice").to_pylist()
+        told = [(bucket, NUMBERS, s, 0, 0, 0, 0, [pack(place[a:b].astype(np.uint32))]) for s, (a, b) in zip(slices_, parts_of(owner, len(slices_)))]
+        return row_table([(bucket, NODE, bucket, int(c.sum()), int((c > 0).sum()), 0, 0, [pack(keys), pack(c)]), *told])
 
     return by_kind(asked, WORDS).applyInArrow(work, ROW)
 
 
 def asks(source: int, buckets: int, names: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """Rows that ask the buckets of `names` about them, and tell `values`."""
-    return [(source, ASKED, bucket, 0, 0, 0, 0, [pack(names[at]), *(pack(v[at].astype(np.int64)) for v in values)]) for bucket, at in by_bucket(bucket_of(names, buckets))]
+    """Rows that ask the buckets of `names`, by their places there, and tell `values`."""
+    return [(source, ASKED, bucket, 0, 0, 0, 0, [pack_steps(names[at] // buckets), *(pack(v[at].astype(np.int64)) for v in values)]) for bucket, at in by_bucket(names % buckets)]
 
 
 def told(first: np.ndarray, second: np.ndarray, tables: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +333,7 @@ def told(first: np.ndarray, second: np.ndarray, tables: np.ndarray, n: int) -> t
     return np.bincount(first, weights=tables, minlength=n), np.bincount(second, weights=tables, minlength=n)
 
 
-def count_pairs(asked: DataFrame, buckets: int) -> DataFrame:
+def count_pairs(docs: DataFrame, buckets: int) -> DataFrame:
     """Of each bucket the pairs that stand twice or more in training texts, with one table each, and what all its pairs tell their
     words: those that stand once have one table for ever, and aren't looked at again."""
 
@@ -295,11 +348,11 @@ def count_pairs(asked: DataFrame, buckets: int) -> DataFrame:
         bucket, ones = table.column("bucket")[0].as_py(), np.ones(len(many), dtype=np.int64)
         kept, place = np.unique(np.concatenate([first[many], second[many]]), return_inverse=True)
         first, second = place[: len(many)], place[len(many) :]
-        pair = [pack(names[kept]), *(pack(v.astype(np.int64)) for v in (first, second, c[many], ones, 0 * ones))]
+        pair = [pack_steps(names[kept]), *(pack(v.astype(np.int64)) for v in (first, second, c[many], ones, 0 * ones))]
         fixed = [(s, ASKED, b, 0, 0, 1, 0, d) for s, _, b, *_, d in asks(bucket, buckets, names, *once)]
         return row_table([(bucket, PAIR, bucket, 0, 0, int(one.sum()), int((c == 2).sum()), pair), *fixed, *asks(bucket, buckets, names[kept], *told(first, second, ones, len(kept)))])
 
-    return pair_requests(asked, buckets).groupBy("bucket").applyInArrow(work, ROW)
+    return pair_requests(docs, buckets).groupBy("bucket").applyInArrow(work, ROW)
 
 
 # Seating
@@ -445,10 +498,11 @@ class Level:
 
 @dataclass
 class Seating:
-    """What a fit leaves: nodes (of each bucket the words, their training counts, and of each sample their customers and tables in
+    """What a fit leaves: docs (the slices' texts with their words' numbers), nodes (of each bucket the words, their training counts, and of each sample their customers and tables in
     the parent and the tables of their own restaurants), pairs (with tables added up over the samples), the samples' parents, and
     the totals."""
 
+    docs: DataFrame
     nodes: DataFrame
     pairs: DataFrame
     levels: list[Level]
@@ -467,8 +521,8 @@ def seat_words(nodes: DataFrame, told_rows: DataFrame, level: Level, seed: int,
         bucket = left.column("bucket")[0].as_py()
         h, c, fixed_own, fixed_up, root, *kept = numbers(data_of(left)[0])
         own, up = fixed_own.copy(), fixed_up.copy()
-        asked = [(s, fixed, *numbers(d)) for s, fixed, d in zip(right.column("source").to_pylist(), right.column("one").to_pylist(), data_of(right))]
-        places = [np.searchsorted(h, a[2]) for a in asked]
+        asked = [(s, fixed, unpack_steps(d[0]), *numbers(d[1:])) for s, fixed, d in zip(right.column("source").to_pylist(), right.column("one").to_pylist(), data_of(right))]
+        places = [a[2] for a in asked]
         for (_, fixed, _, told_own, told_up), at in zip(asked, places):
             own[at] += told_own  # the names of one row are distinct
             up[at] += told_up
@@ -492,15 +546,15 @@ def seat_pairs(pairs: DataFrame, answers: DataFrame, level: Level, discount: flo
         if not left.num_rows:
             return row_table([])
         bucket = left.column("bucket")[0].as_py()
-        names, first, second, c, t, t_sum = numbers(data_of(left)[0])
+        names, first, second, c, t, t_sum = pair_numbers(data_of(left)[0])
         up, root, own = (np.zeros(len(names), dtype=np.int64) for _ in range(3))
         got = dict(zip(right.column("source").to_pylist(), data_of(right)))
-        for source, at in by_bucket(bucket_of(names, buckets)):
+        for source, at in by_bucket(names % buckets):
             up[at], root[at], own[at] = numbers(got[source])
         t_sum = t_sum + t if record else t_sum
         mark = pair_key(names[first], names[second]) + np.uint64(seed)
         t = draw_tables(c, t, own[first], level.chance(up, root)[second], discount, level.theta, mark)
-        pair = (bucket, PAIR, bucket, 0, 0, 0, 0, [pack(x) for x in (names, first, second, c, t, t_sum)])
+        pair = (bucket, PAIR, bucket, 0, 0, 0, 0, [pack_steps(names), *(pack(x) for x in (first, second, c, t, t_sum))])
         return row_table([pair, *asks(bucket, buckets, names, *told(first, second, t, len(names)))])
 
     return by_kind(pairs, PAIR).cogroup(by_kind(answers, ANSWER)).applyInArrow(work, ROW)
@@ -516,7 +570,8 @@ def fit(asked: DataFrame, buckets: int, burn: int = BURN, samples: int = SAMPLES
         h, c = numbers(data_of(table)[0])
         return row_table([(bucket, NODE, bucket, 0, 0, 0, 0, [pack(x) for x in (h, c, 0 * c, 0 * c, (c > 0).astype(np.int64))])])
 
-    nodes, pairs = by_kind(words, NODE).applyInArrow(begin, ROW), write_cut(count_pairs(asked, buckets))
+    docs = write_cut(numbered(asked, words, buckets))
+    nodes, pairs = by_kind(words, NODE).applyInArrow(begin, ROW), write_cut(count_pairs(docs, buckets))
     *_, one, two = total(pairs, PAIR)
     discount, level, levels, held = discount_of(one, two), Level(0, v, 0.5, theta, 1 / (v + 1)), [], [words]
     for k in range(burn + samples):
@@ -530,7 +585,7 @@ def fit(asked: DataFrame, buckets: int, burn: int = BURN, samples: int = SAMPLES
         fresh = write_cut(seat_pairs(pairs, nodes, level, discount, buckets, 2 * k + 1, k >= burn))
         held, pairs = [nodes, pairs], fresh
         level = Level(customers, tables, discount_of(one, two), theta, level.base)
-    return Seating(nodes, pairs, levels, n, v, discount, theta)
+    return Seating(docs, nodes, pairs, levels, n, v, discount, theta)
 
 
 # Scores
@@ -550,25 +605,25 @@ def parts_of(owner: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def answer_words(asked: DataFrame, seating: Seating) -> DataFrame:
+def answer_words(seating: Seating, buckets: int) -> DataFrame:
     """Of each slice's words the training counts, and the samples' chances and tables."""
     levels = seating.levels
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return answer_table([], WORDS, 0, [])
-        known, c, _, _, _, *kept = numbers(data_of(right)[0])
-        h, _, owner = asked_words(left)
-        at = np.searchsorted(known, h)
+        _, c, _, _, _, *kept = numbers(data_of(right)[0])
+        asked = [unpack_steps(d[0]) for d in left.column("data").to_pylist()]
+        at, owner = np.concatenate(asked), np.repeat(np.arange(len(asked)), [len(a) for a in asked])
         p = np.stack([level.chance(up, root) for level, up, root in zip(levels, kept[::3], kept[1::3])]).astype(np.float32)[:, at]
         c, tables = c[at], np.stack(kept[2::3]).astype(np.float32)[:, at]
         data = [[pack(c[a:b]), pack(p[:, a:b]), pack(tables[:, a:b])] for a, b in parts_of(owner, left.num_rows)]
         return answer_table(left.column("slice").to_pylist(), WORDS, left.column("bucket")[0].as_py(), data)
 
-    return by_kind(asked, WORDS).cogroup(by_kind(seating.nodes, NODE)).applyInArrow(work, REQUESTS)
+    return word_requests(seating.docs, buckets).groupBy("bucket").cogroup(by_kind(seating.nodes, NODE)).applyInArrow(work, REQUESTS)
 
 
-def answer_pairs(asked: DataFrame, seating: Seating, buckets: int) -> DataFrame:
+def answer_pairs(seating: Seating, buckets: int) -> DataFrame:
     """Of each slice's pairs the customers less the discounts of their tables, averaged over the samples; 0 if never learned."""
     discount, samples = seating.discount, len(seating.levels)
 
@@ -579,23 +634,23 @@ def answer_pairs(asked: DataFrame, seating: Seating, buckets: int) -> DataFrame:
         keys, _, place, c = summed(pair_key(u, w), n)
         worth = np.where(c > 0, c - discount, 0.0)
         for data in data_of(right):
-            names, first, second, customers, t, t_sum = numbers(data)
+            names, first, second, customers, t, t_sum = pair_numbers(data)
             worth[np.searchsorted(keys, pair_key(names[first], names[second]))] = customers - discount * (t_sum + t) / samples
         worth = worth[place].astype(np.float32)
         data = [[pack(worth[a:b])] for a, b in parts_of(owner, left.num_rows)]
         return answer_table(left.column("slice").to_pylist(), PAIRS, left.column("bucket")[0].as_py(), data)
 
-    return pair_requests(asked, buckets).groupBy("bucket").cogroup(by_kind(seating.pairs, PAIR)).applyInArrow(work, REQUESTS)
+    return pair_requests(seating.docs, buckets).groupBy("bucket").cogroup(by_kind(seating.pairs, PAIR)).applyInArrow(work, REQUESTS)
 
 
 #: What is known of each text.
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score(asked: DataFrame, seating: Seating, buckets: int) -> DataFrame:
+def score(seating: Seating, buckets: int) -> DataFrame:
     """The columns of SCORES, of every text."""
     n, v, discount, theta, samples = seating.n, seating.v, seating.discount, seating.theta, len(seating.levels)
-    rows = asked.where(F.col("kind") == DOCS).unionByName(answer_words(asked, seating)).unionByName(answer_pairs(asked, seating, buckets))
+    rows = seating.docs.unionByName(answer_words(seating, buckets)).unionByName(answer_pairs(seating, buckets))
 
     def work(table: pa.Table) -> pa.Table:
         kinds, at, data = table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("data").to_pylist()
@@ -603,9 +658,9 @@ def score(asked: DataFrame, seating: Seating, buckets: int) -> DataFrame:
         own = Slice.packed(data[k])
         own.pair_up()
         answers = {(kind, bucket): d for kind, bucket, d in zip(kinds, at, data)}
-        c = np.zeros(len(own.hashes), dtype=np.int64)
+        c = np.zeros(len(own.names), dtype=np.int64)
         p, tables = np.zeros((samples, len(c)), dtype=np.float32), np.zeros((samples, len(c)), dtype=np.float32)
-        for bucket, where in by_bucket(own.word_buckets(buckets)):
+        for bucket, where in by_bucket(own.names % buckets):
             got = answers[WORDS, bucket]
             c[where] = unpack(got[0], np.int64)
             p[:, where], tables[:, where] = (unpack(d, np.float32).reshape(samples, -1) for d in got[1:])
@@ -637,4 +692,5 @@ def report(docs: DataFrame, burn: int = BURN, samples: int = SAMPLES, theta: flo
     buckets = 1 + size // bucket_bytes
     asked = write_cut(requests(docs, buckets, slice_bytes))
     seating = fit(asked, buckets, burn, samples, theta)
-    return score(asked, seating, buckets).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(seating.n).cast("long").alias("train_tokens"), "base_score", "score")
+    release(asked)
+    return score(seating, buckets).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(seating.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -145,7 +145,7 @@ def test_scores_against_a_sequential_sampler(spark):
     own = lm.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     asked = lm.requests(own, 4, 200).cache()
     seating = lm.fit(asked, 4, burn=4, samples=12)
-    got = {r.doc_id: r.score for r in lm.score(asked, seating, 4).collect()}
+    got = {r.doc_id: r.score for r in lm.score(seating, 4).collect()}
     # The discounts of the fit: of the contexts, and of the parent from its last state's customers.
     wanted = dict(zip([i for i, _ in rows], sequential(rows, (seating.discount, 0.5), 1.0)))
     assert all(got[i] == pytest.approx(wanted[i], rel=0.06, abs=0.15) for i in wanted)
@@ -162,15 +162,16 @@ def test_predictions_are_a_distribution(spark):
     asked = lm.requests(lm.id_and_text(rows), 2, 10_000).cache()
     seating = lm.fit(asked, 2, burn=1, samples=2)
     h = lambda w: int(np.uint64(lm.xxhash.xxh64_intdigest(w)).view(np.int64))
-    nodes, pairs = {}, {}
+    nodes, pairs, word = {}, {}, {}
     for r in seating.nodes.where(f"kind = {lm.NODE}").collect():
         names, c, _, _, _, *kept = lm.numbers(r.data)
         for k, name in enumerate(names.tolist()):
+            word[2 * k + r.bucket] = name
             chances = [level.chance(kept[3 * s][k], kept[3 * s + 1][k]) for s, level in enumerate(seating.levels)]
             nodes[name] = (c[k], chances, [kept[3 * s + 2][k] for s in range(2)])
     for r in seating.pairs.where(f"kind = {lm.PAIR}").collect():
-        names, first, second, _, t, t_sum = lm.numbers(r.data)
-        pairs |= {(names[a], names[b]): (x + y) / 2 for a, b, x, y in zip(first, second, t, t_sum)}
+        names, first, second, _, t, t_sum = lm.pair_numbers(r.data)
+        pairs |= {(word[names[a]], word[names[b]]): (x + y) / 2 for a, b, x, y in zip(first, second, t, t_sum)}
     c = Counter(x for t in texts for x in zip(["\t", *tokens(t)], tokens(t)))
     unknown = [chances for n, chances, _ in nodes.values() if n == 0 and chances[0] > 0]
     for s in range(2):
