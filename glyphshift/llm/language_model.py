@@ -52,18 +52,28 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def pack(values: np.ndarray) -> bytes:
-    """The numbers' first bytes, then their second bytes and so on, compressed."""
+    """How many numbers, their bytes each, and their first bytes, then their second bytes and so on, compressed. Whole numbers that
+    aren't negative take only the bytes that the largest needs."""
     flat = np.ascontiguousarray(values).reshape(-1)
-    raw = flat.view(np.uint8).reshape(len(flat), -1).T.tobytes() if len(flat) else b""
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    if not len(flat):
+        return (0).to_bytes(9, "little")
+    if flat.dtype.kind in "iu" and flat.min() >= 0:
+        flat = flat.astype(np.min_scalar_type(flat.max()))
+    raw = flat.view(np.uint8).reshape(len(flat), -1).T.tobytes() if flat.itemsize > 1 else flat.tobytes()
+    return len(flat).to_bytes(8, "little") + bytes([flat.itemsize]) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def packed_size(data: bytes) -> int:
+    return int.from_bytes(data[:8], "little")
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    size, kind = int.from_bytes(data[:8], "little"), np.dtype(kind)
-    if not size:
+    n, width, kind = packed_size(data), data[8], np.dtype(kind)
+    if not n:
         return np.empty(0, dtype=kind)
-    raw = np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+    raw = np.frombuffer(pa.decompress(data[9:], n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    own = kind if width == kind.itemsize else np.dtype(f"u{width}")
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(own).reshape(-1).astype(kind, copy=False)
 
 
 def pack_steps(values: np.ndarray) -> bytes:
@@ -161,12 +171,26 @@ class Slice:
 
 def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its members, in order."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by digits
     order = np.argsort(bucket, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         if len(part):
             yield int(bucket[part[0]]), part
 
 
+def distinct(values: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, which are below `bound`, in order, and each one's place among them: by marks if there are many of them."""
+    if len(values) * 32 < bound:
+        return np.unique(values, return_inverse=True)
+    there = np.zeros(bound, dtype=bool)
+    there[values] = True
+    names = np.flatnonzero(there)
+    place = np.empty(bound, dtype=np.int64)
+    place[names] = np.arange(len(names))
+    return names, place[values]
+
+
 REQUESTS = "slice long, kind int, bucket long, ids array<long>, held array<boolean>, data array<binary>"
 
 
@@ -243,7 +267,7 @@ def pair_requests(docs: DataFrame, buckets: int) -> DataFrame:
                 n = np.bincount(own.pair, weights=own.learned(held), minlength=len(own.first)).astype(np.int64)
                 for bucket, at in by_bucket(own.pair_buckets(buckets)):
                     # In order of their contexts, whose places are told by their steps.
-                    names, place = np.unique(np.concatenate([own.first[at], own.second[at]]), return_inverse=True)
+                    names, place = distinct(np.concatenate([own.first[at], own.second[at]]), len(own.names))
                     steps = np.diff(place[: len(at)], prepend=0)
                     rows.append((number, PAIRS, bucket, None, None, [pack_steps(own.names[names]), pack(steps.astype(np.uint32)), pack(place[len(at) :].astype(np.uint32)), pack(n[at])]))
                 yield request_table(rows)
@@ -265,7 +289,7 @@ def asked_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def asked_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Contexts, words, training counts and the row of every pair that the rows of `table` ask for."""
-    sizes = [int.from_bytes(d[3][:8], "little") // 8 for d in table.column("data").to_pylist()]
+    sizes = [packed_size(d[3]) for d in table.column("data").to_pylist()]
     first, second, counts = (np.empty(sum(sizes), dtype=np.int64) for _ in range(3))
     for k, at in enumerate(np.cumsum(sizes) - sizes):
         d, part = table.column("data")[k].as_py(), slice(at, at + sizes[k])
@@ -278,7 +302,13 @@ def asked_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, a place of each, all keys' places among them, and the sums of n."""
-    keys, at, place = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(key)
+    new = np.diff(key[order], prepend=0) != 0
+    new[:1] = True
+    place = np.empty(len(key), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = order[new]
+    keys = key[at]
     return keys, at, place, np.bincount(place, weights=n, minlength=len(keys)).astype(np.int64)
 
 

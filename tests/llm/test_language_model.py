@@ -186,3 +186,19 @@ def test_held_out_perplexity_is_below_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = lm.report(docs).where("held_out").groupBy().sum("score", "base_score", "n_tokens").first()
     assert r["sum(score)"] > r["sum(base_score)"]
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for most in (0, 1, 255, 256, 70_000, 1 << 40):
+        x = rng.integers(0, most, 100, endpoint=True)
+        assert (lm.unpack(lm.pack(x), np.int64) == x).all() and (lm.unpack_steps(lm.pack_steps(x)) == x).all()
+    x = rng.integers(-(1 << 62), 1 << 62, 100)
+    assert (lm.unpack(lm.pack(x), np.int64) == x).all() and len(lm.unpack(lm.pack(x[:0]), np.int64)) == 0
+    f = rng.normal(size=(3, 50)).astype(np.float32)
+    assert (lm.unpack(lm.pack(f), np.float32).reshape(3, -1) == f).all()
+    key = rng.integers(0, 30, 500)
+    keys, at, place, n = lm.summed(key, key + 1)
+    assert (key[at] == keys).all() and (keys[place] == key).all() and (n == np.bincount(key, weights=key + 1)[keys]).all()
+    for bound in (31, 100_000):
+        assert all((a == b).all() for a, b in zip(lm.distinct(key, bound), np.unique(key, return_inverse=True)))
