@@ -1,43 +1,18 @@
-"""Scores of texts under n-gram models. Every distinct text gets a number; it is cut once into blocks of characters, each with the
-three that follow it, so that a place is a row of the text's number and its grams, however long the text is. Distinct grams meet
-the models' counts, and the places meet their steps by a single join. Texts come back to their numbers at the end."""
+"""Scores of texts under n-gram models. Tasks score texts where they lie, by tables of the models' counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphshift.functions import text as T
 from glyphshift.operators.ngrams import Models
-from glyphshift.session import stored
+from glyphshift.operators.tables import traces, with_scores
 
 #: Characters of a block.
 BLOCK = 64
 
 
-def counts(models: Models, model: str, n: int, gram: str, cnt: str) -> DataFrame:
-    return models.ngrams.where((F.col("model") == model) & (F.col("n") == n)).select(F.col("gram").alias(gram), F.col("cnt").alias(cnt))
-
-
-def with_meta(df: DataFrame, models: Models, model: str) -> DataFrame:
-    """`v` and `total`, the model's sizes, beside every row. The table of sizes has a row for each model."""
-    sizes = models.meta.select("model", F.col("vocab_size").alias("v"), F.col("total_bigrams").alias("total"))
-    return df.withColumn("model", F.lit(model)).join(F.broadcast(sizes), "model").drop("model")
-
-
-def base_score(c2: Column) -> Column:
-    return F.ln((F.coalesce(c2, F.lit(0)) + 1) / (F.col("total") + F.col("v") * F.col("v")))
-
-
-def step_score(count: Column, context: Column) -> Column:
-    return F.ln((F.coalesce(count, F.lit(0)) + 1) / (F.coalesce(context, F.lit(0)) + F.col("v")))
-
-
-def numbered(texts: DataFrame) -> DataFrame:
-    """The distinct rows with a number, `id`, which holds as they are written."""
-    return stored(texts.distinct().withColumn("id", F.monotonically_increasing_id()))
-
-
 def grams(texts: DataFrame, *sides: str) -> DataFrame:
     """id, j, first, and of each side (columns of `texts`) the four characters from place j on; the first side has four at least."""
     cut = texts.select("id", *(F.regexp_extract_all(side, F.lit(f"(?s)(?=(.{{1,{BLOCK + 3}}})).{{1,{BLOCK}}}"), F.lit(1)).alias(side) for side in sides))
@@ -48,58 +23,23 @@ def grams(texts: DataFrame, *sides: str) -> DataFrame:
     return every.select("id", j, (j == 1).alias("first"), *(F.substring(side, F.col("i"), F.lit(4)).alias(side) for side in sides))
 
 
-def with_steps(places: DataFrame, sides: dict[str, str], models: Models) -> DataFrame:
-    """`places` (of `grams`) with, for each model of `sides`, which names its side: c4, c3, c2 (the counts of the four, three and
-    first two characters), step (with the first, that of the first two characters too), and short, the score of the first three."""
-    columns = list(dict.fromkeys(sides.values()))
-    table = places.select(*columns, "first").distinct()
-    for name, side in sides.items():
-        own = table.withColumns({"g3": F.substring(side, 1, 3), "g2": F.when(F.col("first"), F.substring(side, 1, 2))})
-        for n, gram in ((4, side), (3, "g3"), (2, "g2")):
-            own = own.join(counts(models, name, n, gram, f"c{n}_{name}"), gram, "left")
-        c4, c3, c2 = (F.coalesce(f"c{n}_{name}", F.lit(0)) for n in (4, 3, 2))
-        step = step_score(c4, c3) + F.when(F.col("first"), base_score(c2)).otherwise(0.0)
-        table = with_meta(own, models, name).withColumns({f"step_{name}": step, f"short_{name}": step_score(c3, c2), f"base_{name}": base_score(c2), f"c4_{name}": c4, f"c3_{name}": c3, f"c2_{name}": c2}).drop("g3", "g2", "v", "total")
-    return places.join(table, [*columns, "first"])
-
-
 def score(texts: DataFrame, models: Models, model: str) -> DataFrame:
     """text, score of each distinct `text`."""
-    distinct = numbered(texts.select("text").where("text is not null"))
-    low = F.lower("text")
-    places = grams(distinct.select("id", low.alias("low")), "low")
-    long = with_steps(places, {model: "low"}, models).groupBy("id").agg(F.sum(f"step_{model}").alias("score"))
-    few = distinct.select("text", low.alias("low")).where("length(low) < 4").withColumns({"head2": F.substring("low", 1, 2), "head3": F.substring("low", 1, 3), "ch": F.substring("low", 1, 1), "size": F.length("low")})
-    firsts = models.firsts.where(F.col("model") == model).select("ch", F.col("total").alias("first_total"))
-    few = with_meta(few.join(counts(models, model, 2, "head2", "c2"), "head2", "left").join(counts(models, model, 3, "head3", "c3"), "head3", "left").join(firsts, "ch", "left"), models, model)
-    value = F.when(F.col("size") < 2, F.lit(0.0)).when(F.col("size") == 2, step_score(F.col("c2"), F.col("first_total"))).otherwise(step_score(F.col("c3"), F.col("c2")))
-    return distinct.join(long, "id").select("text", "score").unionByName(few.select("text", value.alias("score")))
-
-
-def traced(texts: DataFrame, models: Models, model: str) -> DataFrame:
-    """id, j, gram, c4, c3, step, total from id and low, the text in small letters: the running total along each text."""
-    heads = texts.select("id", F.substring("low", 1, 2).alias("gram")).join(counts(models, model, 2, "gram", "c4"), "gram", "left")
-    none = F.lit(0).cast("long")
-    first = with_meta(heads, models, model).select("id", F.lit(0).alias("j"), "gram", F.coalesce("c4", none).alias("c4"), none.alias("c3"), base_score(F.col("c4")).alias("step"))
-    met = with_steps(grams(texts, "low"), {model: "low"}, models)
-    own = F.col(f"step_{model}") - F.when(F.col("first"), F.col(f"base_{model}")).otherwise(0.0)
-    rest = met.select("id", "j", F.col("low").alias("gram"), F.col(f"c4_{model}").alias("c4"), F.col(f"c3_{model}").alias("c3"), own.alias("step"))
-    order = Window.partitionBy("id").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    return first.unionByName(rest).withColumn("total", F.sum("step").over(order))
+    return with_scores(texts.select("text").where("text is not null").distinct(), {"score": (model, "text")}, models)
 
 
 def score_trace(texts: DataFrame, models: Models, model: str) -> DataFrame:
     """text, j, gram, c4, c3, step, total: one row a step, step 0 the first bigram's; the long formula for any length."""
-    distinct = numbered(texts.select("text").where("text is not null"))
-    return traced(distinct.select("id", F.lower("text").alias("low")), models, model).join(distinct, "id").select("text", "j", "gram", "c4", "c3", "step", "total")
+    distinct = texts.select("text").where("text is not null").distinct()
+    return traces(distinct.select("text", F.lower("text").alias("low")), models, model).select("text", F.explode("steps").alias("s")).select("text", "s.*")
 
 
 def prefix_scores(words: DataFrame, models: Models, model: str) -> DataFrame:
     """word, j, score: of the word behind a blank, the score after its first j + 2 characters (small letters), and of the
     last j with the delimiter behind it. The word has two characters at least."""
-    distinct = numbered(words.select("word").where("length(word) >= 2"))
-    low = distinct.select("id", F.concat(F.lit(" "), F.lower("word"), F.lit(" ")).alias("low"))
-    return traced(low, models, model).where("j > 0").join(distinct, "id").select("word", "j", F.col("total").alias("score"))
+    distinct = words.select(F.col("word").alias("text")).where("length(text) >= 2").distinct()
+    padded = distinct.select("text", F.concat(F.lit(" "), F.lower("text"), F.lit(" ")).alias("low"))
+    return traces(padded, models, model).select(F.col("text").alias("word"), F.explode("steps").alias("s")).where("s.j > 0").select("word", "s.j", F.col("s.total").alias("score"))
 
 
 def best_english(words: DataFrame, models: Models, names: list[str]) -> DataFrame:
@@ -113,18 +53,16 @@ def best_english(words: DataFrame, models: Models, names: list[str]) -> DataFram
 
 def score_english(texts: DataFrame, models: Models, mode: str) -> DataFrame:
     """text, score: under the standard model, or in technical mode the better of the standard and the technical one."""
-    standard = score(texts, models, "en")
+    distinct = texts.select("text").where("text is not null").distinct()
     if mode != "technical":
-        return standard
-    technical = score(texts, models, "so").withColumnRenamed("score", "other")
-    return standard.join(technical, "text").select("text", F.greatest("score", "other").alias("score"))
+        return with_scores(distinct, {"score": ("en", "text")}, models)
+    both = with_scores(distinct, {"standard": ("en", "text"), "technical": ("so", "text")}, models)
+    return both.where("standard is not null and technical is not null").select("text", F.greatest("standard", "technical").alias("score"))
 
 
 def compare_layouts(words: DataFrame, models: Models) -> DataFrame:
     """word, score_en, score_he, diff_if_en, diff_if_he, verdict: the word as English keys and as their Hebrew shadow."""
     pairs = words.select("word").distinct().select("word", F.concat(F.lit(" "), F.lower("word"), F.lit(" ")).alias("en"), F.concat(F.lit(" "), T.shadow("word"), F.lit(" ")).alias("he"))
-    en = score(pairs.select(F.col("en").alias("text")), models, "en").select(F.col("text").alias("en"), F.col("score").alias("score_en"))
-    he = score(pairs.select(F.col("he").alias("text")), models, "he").select(F.col("text").alias("he"), F.col("score").alias("score_he"))
-    out = pairs.join(en, "en").join(he, "he")
+    out = with_scores(pairs, {"score_en": ("en", "en"), "score_he": ("he", "he")}, models).where("score_en is not null and score_he is not null")
     diff = F.col("score_he") - F.col("score_en")
     return out.select("word", "score_en", "score_he", diff.alias("diff_if_en"), (-diff).alias("diff_if_he"), F.when(diff > 0, "he").otherwise("en").alias("verdict"))
