@@ -1,12 +1,15 @@
 """Lines and samples that are scored where they lie, against rows that are joined with their evaluations."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphshift import constants as K
 from glyphshift.operators import audit, mixed, ngrams
+from glyphshift.sources.corpus import spread
 
 PARAMS = K.Params(0.5, 0.1, 1.0)
 
@@ -46,6 +49,30 @@ def test_samples_keep_their_rows(spark, basis):
             assert got == {tuple(r) for r in mixed.outcomes(found, setting).collect()} and got
 
 
+def test_samples_are_typed_in_their_task(spark, basis):
+    """Both layouts' texts of a sample are made of its distinct words, not of each of its characters in the plan."""
+    runs = mixed.text_runs(spark.createDataFrame([(1, "hello שלום"), (2, "one run")], "sample_id long, text string"))
+    typed = mixed.typed_samples(runs, *basis, [PARAMS])
+    assert "translate(" not in typed._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.sample_id, r.trap_start, r.total) for r in typed.collect()] == [(1, 6, 10)]
+
+
+def test_words_are_cut_at_blanks_newlines_and_tabs():
+    chunks = ["", "a b", " x", "  ", "שלום\tעולם\n", "é\u00a0\u2003z \U0001f600"]
+    for begin in (0, 2):
+        n, words = mixed.cut_words(pa.array(["left out", *chunks]).slice(1 + begin))
+        want = [re.split("[ \n\t]", c) for c in chunks[begin:]]
+        assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [w for each in want for w in each]
+
+
+def test_what_takes_long_stays_in_several_partitions_a_core(spark):
+    """A shuffle that is merged by size leaves a task a core or two of different length."""
+    few = spread(spark.range(100), "id")
+    assert few.join(few.withColumn("x", F.col("id") * 2), "id").where("x >= 0").count() == 100
+    few.collect()
+    assert few.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_a_detector_gets_three_evaluations_of_a_word_at_most(spark, basis):
     """The highest and the lowest that don't collide, and the last: the same decisions at any threshold."""
     lines = spark.createDataFrame([(1, "thequickbrownfoxjumps hello foxes akuo a ab zzzzzzzz")], "doc_id long, line string")
