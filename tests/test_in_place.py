@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphshift import constants as K
 from glyphshift.operators import audit, mixed, ngrams
+from glyphshift.plans import fixtures as X
 from glyphshift.sources.corpus import spread
 
 PARAMS = K.Params(0.5, 0.1, 1.0)
@@ -65,6 +66,13 @@ def test_words_are_cut_at_blanks_newlines_and_tabs():
         assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [w for each in want for w in each]
 
 
+def test_lines_meet_the_modes_of_few_sources_where_they_lie(spark):
+    rows = [(i, "en", f"src{i % 9}", 0, "a line") for i in range(50)]
+    moded = X.with_mode(spark, spark.createDataFrame(rows, "doc_id long, lang string, source string, line_no int, line string"))
+    assert "SortMergeJoin" not in moded._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.mode for r in moded.collect()} == {i: "technical" if i % 4 == 1 or i % 4 in (0, 2) and i % 9 in (0, 3) else "standard" for i in range(50)}
+
+
 def test_what_takes_long_stays_in_several_partitions_a_core(spark):
     """A shuffle that is merged by size leaves a task a core or two of different length."""
     few = spread(spark.range(100), "id")
