@@ -81,6 +81,16 @@ def test_what_takes_long_stays_in_several_partitions_a_core(spark):
     assert few.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
 
 
+def test_words_find_their_triggers_where_they_lie(spark, basis):
+    words = spark.createDataFrame([(w,) for w in "the quick Akuo akuo fox zz xq a ab foxes ugs zzzzqx hello hello".split()], "word string")
+    scored = audit.evaluations(audit.forms(words), *basis)
+    found = audit.word_triggers(words, *basis, 0.2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r) for r in audit.first_trigger(words, scored, 0.2).collect()}
+    assert {tuple(r) for r in found.collect()} == want and any(x[1] is not None for x in want) and found.count() == len(want)
+    assert [tuple(r) for r in audit.word_triggers(words.where("word = 'a'"), *basis).collect()] == [("a", None, None)]
+
+
 def test_a_detector_gets_three_evaluations_of_a_word_at_most(spark, basis):
     """The highest and the lowest that don't collide, and the last: the same decisions at any threshold."""
     lines = spark.createDataFrame([(1, "thequickbrownfoxjumps hello foxes akuo a ab zzzzzzzz")], "doc_id long, line string")
