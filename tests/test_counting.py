@@ -1,6 +1,7 @@
 """Words and grams counted in their task, against rows that are exploded and grouped."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphshift.operators import audit, counting, ngrams
+from glyphshift.plans import fixtures as X
+from glyphshift.plans import queries as Q
 
 POOL = ["a", "bc", "é", "שלום", "​", "\U0001f600", "â\x80", "€", " ", "\xa0", "\x85", "　", " ", " ", " ", "\n", "\t", "\x1c", "  "]
 
@@ -55,6 +58,22 @@ def test_small_batches_are_put_together():
     assert list(counting.put_together(iter([]))) == []
 
 
+def test_pairs_of_modes_are_made_in_their_rows(spark):
+    """A word's two layouts follow from the word: they aren't joined with its modes, and lines are read once for them."""
+    rows = [(i, "en", f"src{i % 9}", 0, f"one Two {i} two") for i in range(20)]
+    pairs = X.mode_pairs(spark, spark.createDataFrame(rows, "doc_id long, lang string, source string, line_no int, line string"))
+    assert shown(pairs).count("MapInArrow") == 1 and not re.search(r"Join.* word", shown(pairs))
+    assert {(r["mode"], r.active) for r in pairs.where("layout = 'en'").collect()} >= {("technical", "Two"), ("standard", "Two"), ("technical", "1")}
+
+
+def test_words_and_models_come_of_one_reading(spark):
+    words, counted = X.judged_words(spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in "".join(words.inputFiles() + counted.inputFiles())
+    every = X.lines(spark, "/root/testdata/sf0.001")
+    assert {r.word for r in words.collect()} == {r.word for r in ngrams.words(X.audit_lines(every)).distinct().collect()}
+    assert [r.model for r in Q.words_and_models(spark, "/root/testdata/sf0.001", "en")[1].meta.collect()] == ["en"]
+
+
 def test_lines_are_held_by_place():
     """A line's state is that of one that is held alone, whatever stands beside it."""
     rng = np.random.default_rng(4)
